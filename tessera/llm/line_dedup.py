@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WHITE, ascii_lower, text_or_empty
+from tessera.llm._common import WHITE, ascii_lower, text_or_empty, written
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -50,6 +50,7 @@ def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         .filter(F.col("__n") >= min_documents)
         .select("__h1", "__h2", "__keeper")
     )
+    shared = written(shared, "shared-lines")  # its size is known from here on, and the join below may split hot lines
     placed = (
         src.select("__id", F.xxhash64("__text").alias("__t"), F.posexplode(F.transform(lines, _key)).alias("__pos", "__k"))
         .filter(F.char_length("__k") >= min_chars)

@@ -23,7 +23,7 @@ RANGES_PER_SHARD = 64
 SAMPLES_PER_RANGE = 32
 #: A key with more than this part of a shard's share is a unit of its own.
 HEAVY = 32
-#: Rows numbered together when slots are dealt.
+#: Rows numbered together, about.
 SLOT_ROWS = 50_000
 
 
@@ -90,10 +90,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
         for (kind, key, _), home in sorted(homes.items()):
             if kind == "key":
                 pieces_of.setdefault(key, []).append(home)
-        table = spark.createDataFrame(list(pieces_of.items()), "hkey bigint, homes array<int>")  # at most HEAVY keys a shard
-        piece = F.pmod(F.xxhash64("id", F.lit("piece")), F.size("homes").cast("long")).cast("int")
-        out = out.join(F.broadcast(table), F.col("key") == F.col("hkey"), "left").withColumn("shard", F.coalesce(F.get("homes", piece), "shard"))
-    out = _slotted(out.select("id", "size", "crc", F.col("shard").cast("int").alias("shard")), count)
+        counts = {key: n for _, key, _, n in heavy}
+        table = spark.createDataFrame([(k, counts[k], h) for k, h in pieces_of.items()], "hkey bigint, hn bigint, homes array<int>")  # at most HEAVY keys a shard
+        met = out.join(F.broadcast(table), F.col("key") == F.col("hkey"), "left")
+        # Rows of a heavy key have one size: equal runs of their numbers are equal bytes.
+        runs = _numbered(met.filter(F.col("hkey").isNotNull()), "hkey", sum(counts.values())).withColumn("shard", F.get("homes", F.floor(F.col("i") * F.size("homes") / F.col("hn")).cast("int")))
+        columns = ["id", "size", "crc", "shard"]
+        out = met.filter(F.col("hkey").isNull()).select(*columns).unionByName(runs.select(*columns))
+    out = out.select("id", "size", "crc", F.col("shard").cast("int").alias("shard"))
+    out = _numbered(out, "shard", count).withColumnRenamed("i", "slot")
     return out.select(F.col("id").alias(doc_id), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -116,11 +121,11 @@ def _emptiest_first(units: list[tuple[float, tuple]], shards: int) -> dict[tuple
     return homes
 
 
-def _slotted(rows: DataFrame, count: int) -> DataFrame:
-    """Adds ``slot``: rows of a shard are numbered within buckets of bounded size, each bucket after the ones before it."""
+def _numbered(rows: DataFrame, group: str, count: int) -> DataFrame:
+    """Adds ``i``, from 0 without gaps within every ``group``: rows are numbered in buckets of bounded size, each bucket after the ones before it."""
     buckets = max(1, -(-count // SLOT_ROWS))
-    rows = written(rows.withColumn("bucket", F.pmod(F.xxhash64("id", "crc", F.lit("slot")), F.lit(buckets)).cast("int")), "sharded")
-    sizes = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    before = sizes.select(F.col("shard").alias("s"), F.col("bucket").alias("b"), (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
-    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("id", "crc", "size")))
-    return numbered.join(before, (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("slot", F.col("before") + F.col("i") - 1)
+    rows = written(rows.withColumn("bucket", F.pmod(F.xxhash64("id", "crc", F.lit("slot")), F.lit(buckets)).cast("int")), "numbered")
+    sizes = rows.groupBy(group, "bucket").agg(F.count("*").alias("n"))
+    before = sizes.select(F.col(group).alias("g"), F.col("bucket").alias("b"), (F.sum("n").over(Window.partitionBy(group).orderBy("bucket")) - F.col("n")).alias("before"))
+    inner = rows.withColumn("at", F.row_number().over(Window.partitionBy(group, "bucket").orderBy("id", "crc", "size")))
+    return inner.join(before, (F.col(group) == F.col("g")) & (F.col("bucket") == F.col("b"))).withColumn("i", F.col("before") + F.col("at") - 1)

@@ -37,9 +37,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near-duplicates the document with the smallest doc_id stays, with the rows that repeat it; rows without a doc_id stay."""
+    first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

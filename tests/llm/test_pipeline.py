@@ -1,0 +1,46 @@
+from pyspark.sql import functions as F
+
+import corpus_pipeline as cp
+from tests.llm.test_line_dedup import brute as line_brute
+from tests.llm.test_secrets import brute as secret_brute
+from tests.llm.test_simhash import brute as simhash_brute
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_each_stage_against_brute_force(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    assert [n for n, _ in cp.STAGES] == ["quality rules", "line dedup", "simhash near-dedup", "secret scans", "packing"]
+    cleaned = cp.quality_rules(spark, docs, tiny).cache()
+    assert cleaned.columns == docs.columns and 0 < cleaned.count() < docs.count()
+    assert all(r.n_chars == len(r.text) for r in cleaned.collect())
+
+    lined = cp.line_dedup(spark, cleaned, tiny).cache()
+    want = {i: t for i, _, _, t in line_brute([(r.doc_id, r.text) for r in cleaned.collect()])}
+    assert lined.columns == docs.columns and {r.doc_id: r.text for r in lined.collect()} == want
+
+    single = cp.near_dedup(spark, lined, tiny).cache()
+    first = sorted(i for i, _, c in simhash_brute([(r.doc_id, r.text) for r in lined.collect()]) if i == c)
+    assert single.columns == docs.columns and sorted(r.doc_id for r in single.collect()) == first
+
+    clean = cp.secret_scan(spark, single, tiny).cache()
+    before = {r.doc_id: r.text for r in single.collect()}
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == set(before)
+    for r in clean.collect():
+        assert (r.text == before[r.doc_id]) == (not secret_brute(before[r.doc_id])) and not secret_brute(r.text)
+        assert r.n_chars == len(r.text)
+
+    packed = cp.packing(spark, clean, tiny)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(before)
+
+
+def test_odd_rows_and_none(spark, odd, none, tiny):
+    docs = odd.withColumn("n_chars", F.col("slot").cast("long"))
+    for df in (docs, docs.limit(0)):
+        for _, stage in cp.STAGES:
+            df = stage(spark, df, tiny).cache()
+            df.count()
+        for _, stage in cp.STAGES:  # and every stage on the odd rows themselves
+            stage(spark, docs, tiny).count()

@@ -49,12 +49,12 @@ _KEYS = ", ".join(f"CASE WHEN grouping({k}) = 1 THEN '__all__' ELSE {k} END AS {
 
 @query("a11_rollups", f"SELECT arm, {_KEYS}, {METRICS} FROM {OUT} GROUP BY GROUPING SETS ({_SETS})")
 def a11(spark, d):
-    return rounded(ev.rollups(outcomes(spark, d), ev.rank_metrics()))
+    return rounded(ev.rank_rollups(outcomes(spark, d)))
 
 
 @query("p14_headline", f"SELECT arm, {METRICS} FROM {OUT} GROUP BY 1")
 def p14(spark, d):
-    whole = ev.rollups(outcomes(spark, d), ev.rank_metrics())
+    whole = ev.rank_rollups(outcomes(spark, d))
     top = whole.filter(" and ".join(f"{k} = '{ev.ALL}'" for k in ev.DIMENSIONS[1:]))
     return rounded(top.drop(*ev.DIMENSIONS[1:]))
 

@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 ALL = "__all__"
 
 
-def rank_metrics(rank: str = "rank") -> list[Column]:
-    """Metrics of a nullable 1-based rank: a miss counts as 0 in all of them but the median."""
+def rank_metrics(rank: str = "rank", weight: str | None = None) -> list[Column]:
+    """Metrics of a nullable 1-based rank: a miss counts as 0 in all of them but the median. ``weight`` is a column of counts."""
     r = F.col(rank).cast("double")
-    hit = lambda k: F.avg(F.when(r <= k, 1.0).otherwise(0.0)).alias(f"hit_at_{k}")
+    w = F.lit(1) if weight is None else F.col(weight)
+    mean = lambda x, name: (F.sum(w * F.coalesce(x, F.lit(0.0))) / F.sum(w)).alias(name)
+    hit = lambda k: mean(F.when(r <= k, 1.0), f"hit_at_{k}")
     return [
-        F.count("*").alias("n_queries"),
+        F.sum(w).cast("long").alias("n_queries"),
         hit(1),
         hit(3),
         hit(10),
-        F.avg(F.coalesce(1 / r, F.lit(0.0))).alias("mrr"),
-        F.avg(F.coalesce(1 / F.log2(r + 1), F.lit(0.0))).alias("ndcg_at_10"),
-        F.percentile(r, 0.5).alias("median_rank"),
-        F.avg(F.when(r.isNull(), 1.0).otherwise(0.0)).alias("not_found_pct"),
+        mean(1 / r, "mrr"),
+        mean(1 / F.log2(r + 1), "ndcg_at_10"),
+        F.percentile(r, 0.5, w).alias("median_rank"),
+        mean(F.when(r.isNull(), 1.0), "not_found_pct"),
     ]
 
 
@@ -43,6 +45,12 @@ def rollups(outcomes: DataFrame, metrics: list[Column], levels: tuple[tuple[str,
     return grouped.select(always, *[F.col(f"__{d}").alias(d) for d in dimensions if d != always], *names)
 
 
+def rank_rollups(outcomes: DataFrame, levels: tuple[tuple[str, ...], ...] = LEVELS, dimensions: tuple[str, ...] = DIMENSIONS, rank: str = "rank") -> DataFrame:
+    """The rank metrics at every level. Outcomes are first counted by dimensions and rank, so the levels expand a small table, whatever the number of outcomes."""
+    counts = outcomes.groupBy(*dimensions, rank).agg(F.count("*").alias("__w"))
+    return rollups(counts, rank_metrics(rank, "__w"), levels, dimensions)
+
+
 def hit_ranks(batch: DataFrame, keys: list[str], target: dict[str, str], hits: str = "hits") -> DataFrame:
     """``batch`` without its hits, with the best position (from 1) of the hit that is the target, null if none is, and the first hit.
 

@@ -7,6 +7,8 @@ so there is no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +40,17 @@ def _squeezed(text: Column) -> Column:
     return F.translate(text, WHITE, "")
 
 
-def _repeated_words(w: Column) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, even where the optimiser copies the expression, as it does when a filter on the result moves down."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeated_words(text: Column) -> Column:
     """Words within 3-word windows that occur twice or more: windows are hashed, sorted with their place, and the union of the repeated ones is measured."""
-    windows = F.when(
-        F.size(w) >= 4, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-    ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+
+    def windows(w: Column) -> Column:
+        hashed = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+        return F.array_sort(F.when(F.size(w) >= 4, hashed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
 
     def places(s: Column) -> Column:
         same = lambda i, j: F.coalesce(F.get(s, i)["h"] == F.get(s, j)["h"], F.lit(False))
@@ -52,8 +60,7 @@ def _repeated_words(w: Column) -> Column:
         gaps = F.transform(p, lambda at, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - at, F.lit(3))))
         return F.aggregate(gaps, F.lit(0), lambda a, b: a + b)
 
-    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  evaluates value once
-    return let(let(F.array_sort(windows), places), union)
+    return let(let(let(words(text), windows), places), union)
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_kept: float = LEAST_KEPT) -> DataFrame:
@@ -67,16 +74,16 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_k
     * 3-word windows are compared by 64-bit hashes within one document.
     """
     src = docs.select(F.col(doc_id).alias("__id"), text_or_empty(text).alias("__text"))
-    split = src.select("__id", "__text", words(F.col("__text")).alias("__w"), F.split("__text", "\n", -1).alias("__lines"))
+    split = src.select("__id", "__text", F.split("__text", "\n", -1).alias("__lines"))
     passed = F.filter("__lines", lambda line: ~line_fails(line))
     worded = F.filter("__lines", lambda line: F.btrim(line, F.lit(WHITE)) != "")
     counted = split.select(
         "__id",
-        F.size("__w").cast("long").alias("n_words"),
+        F.regexp_count("__text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"),
         F.char_length(_squeezed(F.col("__text"))).cast("long").alias("word_chars"),
         (F.char_length("__text") - F.char_length(F.translate("__text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         worded.alias("__worded"),
-        _repeated_words(F.col("__w")).cast("long").alias("n_repeat_words"),
+        _repeated_words(F.col("__text")).cast("long").alias("n_repeat_words"),
         F.array_join(passed, "\n").alias("kept_text"),
     )
     counted = counted.select("*", (F.size("__worded") - F.size(F.array_distinct("__worded"))).cast("long").alias("n_dup_lines"))

@@ -64,9 +64,10 @@ def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     )
     joined = src.withColumn("__t", F.xxhash64("__text")).join(losses, F.col("__id").eqNullSafe(F.col("__lid")) & (F.col("__t") == F.col("__lt")), "left")
     split = joined.select("__id", "__lost", lines.alias("__lines"))
-    kept = F.when(F.col("__lost").isNull(), F.col("__lines")).otherwise(
-        F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__lost")), lambda p: F.get(F.col("__lines"), p))
-    )
+    # The lines are bound within the expression: where a filter on the result moves down, they'd else be split again for each line.
+    left = lambda b: F.transform(F.array_except(F.sequence(F.lit(0), F.size(b["lines"]) - 1), b["lost"]), lambda p: F.get(b["lines"], p))
+    bound = F.array(F.struct(F.col("__lines").alias("lines"), F.col("__lost").alias("lost")))
+    kept = F.when(F.col("__lost").isNull(), F.col("__lines")).otherwise(F.get(F.transform(bound, left), F.lit(0)))
     return split.select("__id", F.size("__lines").cast("long").alias("n_lines"), kept.alias("__kept")).select(
         F.col("__id").alias(doc_id),
         "n_lines",

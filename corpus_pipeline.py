@@ -28,7 +28,8 @@ def _with_text(docs: DataFrame, new: DataFrame, text: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others keep the lines that pass."""
-    return _with_text(docs, quality(docs).filter("kept"), "kept_text")
+    judged = written(quality(docs).select("doc_id", "kept", "kept_text"), "judged")  # else the filter would repeat the rules
+    return _with_text(docs, judged.filter("kept"), "kept_text")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from tessera.functions.paths import chunk_id
 from tessera.functions.text import tokenise_code
 from tessera.operators.store import Store
 from tessera.schema import CHUNK_KINDS
-from tessera.session import scratch_path
+from tessera.session import scratch_path, spread
 
 KINDS = ", ".join(f"'{k}'" for k in CHUNK_KINDS)
 PATH = """CASE doc_id % 6 WHEN 0 THEN concat('src/', lang, '/m', doc_id, '.py') WHEN 1 THEN concat('tests/test_m', doc_id, '.py')
@@ -42,8 +42,13 @@ watched_refs AS (SELECT id AS repo_id, 'main' AS ref FROM repos WHERE id % 2 = 0
 """
 
 
+#: Tables whose rows are texts, which take long to parse; one small file of them would keep one core busy.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

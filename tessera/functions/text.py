@@ -130,7 +130,7 @@ def preview(content: Column, query_tokens: Column) -> Column:
     low = F.lower(content)
     counts = F.transform(F.split(low, "\n", -1), lambda line: F.size(F.filter(query_tokens, lambda t: F.contains(line, t))))
     best = F.array_position(counts, F.array_max(counts)) - 1
-    return F.struct(F.when(F.array_max(counts) > 0, best).alias("line"), F.filter(query_tokens, lambda t: F.contains(low, t)).alias("matched"))
+    return F.struct(F.when(F.array_max(counts) > 0, best.cast("int")).alias("line"), F.filter(query_tokens, lambda t: F.contains(low, t)).alias("matched"))
 
 
 #: Fixed values of usable sentences.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -38,3 +38,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         _own_folder = _own_folder or "file://" + tempfile.mkdtemp(prefix="tessera-")
         root = _own_folder
     return f"{root.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its source has fewer partitions than those, as one small file has; larger inputs stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -49,6 +49,13 @@ def dotted_to_path(module: Column) -> Column:
     return F.translate(module, ".", "/")
 
 
+def repo_relative(path: Column, root: str) -> Column:
+    """The path below ``root`` with forward slashes, without doubled ones and ``./``."""
+    slashed = F.regexp_replace(F.translate(path, "\\", "/"), r"/(?:\./)*/*(?:\./)*", "/")
+    top = "".join(c if c.isalnum() or c in "/_" else "\\" + c for c in root.rstrip("/"))
+    return F.regexp_replace(slashed, f"^(?:{top}/|\\./)", "")
+
+
 def short_ref(ref: Column) -> Column:
     return F.regexp_replace(ref, r"^refs/(heads|tags|remotes)/", "")
 

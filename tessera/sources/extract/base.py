@@ -14,6 +14,11 @@ def chunk(kind: str, name: str, start: int, end: int, content: str, scope: str =
     return {"kind": kind, "name": name, "scope": scope, "language": language, "content": content, "line_start": start, "line_end": end, "metadata": {"module": "", "names": "", "dots": "", "language_hint": ""} | meta}
 
 
+def until_next(starts: list[int], total: int) -> list[int]:
+    """Where each part ends if it goes on to the start of the next."""
+    return [*starts[1:], total] if starts else []
+
+
 def promoted(kind: str, nearest_is_class: bool) -> str:
     """A function right inside a class is a method."""
     return "method" if kind == "function" and nearest_is_class else kind

@@ -6,7 +6,7 @@ import json
 import re
 from html.parser import HTMLParser
 
-from tessera.sources.extract.base import Chunk, chunk, fold_comments
+from tessera.sources.extract.base import Chunk, chunk, fold_comments, until_next
 
 
 def json_keys(path: str, text: str) -> list[Chunk]:
@@ -49,7 +49,7 @@ def toml_tables(path: str, text: str) -> list[Chunk]:
     lines = text.split("\n")
     heads = [(i, m) for i, line in enumerate(lines) if (m := re.match(r"\s*\[\[?\s*([^\]]+?)\s*\]\]?\s*(?:#.*)?$", line))]
     out = []
-    for (i, m), end in zip(heads, [h[0] for h in heads[1:]] + [len(lines)], strict=True):
+    for (i, m), end in zip(heads, until_next([h[0] for h in heads], len(lines)), strict=True):
         parts = [p.strip().strip("\"'") for p in re.findall(r"\"[^\"]*\"|'[^']*'|[^.\s]+", m[1])]
         body = "\n".join(lines[i:end]).rstrip()
         out.append(chunk("config_key", parts[-1], i + 1, i + 1 + body.count("\n"), body, "::".join(parts[:-1]), "toml"))
@@ -60,7 +60,7 @@ def yaml_keys(path: str, text: str) -> list[Chunk]:
     lines = text.split("\n")
     heads = [(i, m[1].strip("\"'")) for i, line in enumerate(lines) if (m := re.match(r"([\w\"'./$-][^:#]*?)\s*:(?:\s|$)", line)) and not line.startswith("---")]
     out = []
-    for (i, name), end in zip(heads, [h[0] for h in heads[1:]] + [len(lines)], strict=True):
+    for (i, name), end in zip(heads, until_next([h[0] for h in heads], len(lines)), strict=True):
         while end - 1 > i and not re.match(r"\s+\S|-", lines[end - 1]):
             end -= 1
         out.append(chunk("config_key", name, i + 1, end, "\n".join(lines[i:end]), "", "yaml"))

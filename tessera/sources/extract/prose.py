@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tessera.sources.extract.base import Chunk, chunk
+from tessera.sources.extract.base import Chunk, chunk, until_next
 
 _ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#*)?[ \t]*$")
 _FENCE = re.compile(r"\s*(```|~~~)\s*([\w+-]*)")
@@ -22,7 +22,7 @@ def _local(target: str) -> tuple[str, str] | None:
 def _sections(lines: list[str], heads: list[tuple[int, int, str]], language: str) -> list[Chunk]:
     """heads: (0-based line, depth, title). A section's own text ends at the next heading of any depth."""
     out, open_ = [], []
-    for (at, depth, title), following in zip(heads, [h[0] for h in heads[1:]] + [len(lines)], strict=True):
+    for (at, depth, title), following in zip(heads, until_next([h[0] for h in heads], len(lines)), strict=True):
         open_ = [o for o in open_ if o[0] < depth]
         body = "\n".join(lines[at:following]).strip()
         out.append(chunk("doc_section", title, at + 1, following, body, "::".join(t for _, t in open_ if t), language))

@@ -5,7 +5,7 @@ from tessera.operators import chunking, diff, gc, graph, ranking, retrieval
 from tessera.operators import store as st
 from tessera.plans import build, search, tables
 from tessera.schema import META
-from tessera.sources.extract import extract_file
+from tessera.sources.extract import EXTRACTORS, extract_file
 from tessera.sources.languages import Language, Registry
 
 BASE = {"a.py": "import b\nfrom pkg.c import helper\n\ndef f():\n    return 1\n\nclass K:\n    def m(self):\n        return 2\n", "b.py": "X = 1\ndef g():\n    return f\n", "pkg/c.py": "def helper():\n    pass\n", "README.md": "# Top\nsee [f](a.py#f)\n## Sub\ntext\n"}
@@ -215,3 +215,11 @@ def test_extraction(language):
 def test_comments_fold_into_what_follows():
     got = {c["name"]: (c["kind"], c["line_start"]) for c in extract_file("f.py", "# alone\n\n# about f\ndef f():\n    # inside\n    pass\n", "python")}
     assert got == {"# alone": ("comment", 1), "f": ("function", 3)}
+
+
+@pytest.mark.parametrize("language", sorted(set(EXTRACTORS) | {"svelte", "vue", "unknown"}))
+@pytest.mark.parametrize("text", ["", "\n\n", "plain words only.\nand more | of (them [ { here\n", "\"'`/*<!--", "}}}))]]>\n# x\n; y", "é日🎉" * 50])
+def test_any_text_is_extracted(language, text):
+    """Text that isn't in the language gives windows or at least a row in it."""
+    rows = extract_file("f", text, language)
+    assert rows and all(c["line_start"] <= c["line_end"] for c in rows)

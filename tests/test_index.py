@@ -6,6 +6,7 @@ from tessera.operators import store as st
 from tessera.plans import build, search, tables
 from tessera.schema import META
 from tessera.sources.extract import EXTRACTORS, extract_file
+from tessera.sources.extract.python import doc_spans
 from tessera.sources.languages import Language, Registry
 
 BASE = {"a.py": "import b\nfrom pkg.c import helper\n\ndef f():\n    return 1\n\nclass K:\n    def m(self):\n        return 2\n", "b.py": "X = 1\ndef g():\n    return f\n", "pkg/c.py": "def helper():\n    pass\n", "README.md": "# Top\nsee [f](a.py#f)\n## Sub\ntext\n"}
@@ -223,3 +224,8 @@ def test_any_text_is_extracted(language, text):
     """Text that isn't in the language gives windows or at least a row in it."""
     rows = extract_file("f", text, language)
     assert rows and all(c["line_start"] <= c["line_end"] for c in rows)
+
+
+def test_doc_spans():
+    text = "# about f\n# more\ndef f():\n    pass\n\nclass A:\n    '''Doc\n    of A.'''\n    def m(self):\n        pass\n"
+    assert doc_spans(text) == [("f", 1, 2), ("A", 7, 8)]

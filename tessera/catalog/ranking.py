@@ -12,6 +12,7 @@ from tessera.functions.text import tokenise_code
 from tessera.operators import ranking, retrieval
 from tessera.operators import store as st
 from tessera.plans import search as hybrid
+from tessera.session import scratch_path
 
 #: BM25 over all chunks; {q} is a list of query terms.
 BM25 = (
@@ -201,6 +202,8 @@ def k17(spark, d):
 def flagship(spark, d):
     """The ten documents that match a question best: tokens, postings and BM25 end to end."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), tokenise_code(F.col("text")).alias("content_tokens"), F.lit("").alias("name_tokens"))
-    postings, stats = retrieval.build_postings(docs)
+    path = scratch_path(spark, "tokens")  # read twice, by the postings and by their statistics
+    docs.write.parquet(path)
+    postings, stats = retrieval.build_postings(spark.read.schema(docs.schema).parquet(path))
     best = retrieval.bm25(postings, stats, "licensed under version").withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "id").limit(10)
     return best.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))

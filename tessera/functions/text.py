@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Borders within an identifier besides underscores: camel case, the end of an acronym, digits.
-PART_BORDER = "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"
-_UPPER, _LOWER, _MARK = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "\x01"
+#: The character before a border within an identifier, besides underscores: camel case, the end of an acronym, digits.
+BEFORE_BORDER = "[a-z](?=[A-Z0-9])|[A-Z](?=[0-9]|[A-Z][a-z])|[0-9](?=[A-Za-z])"
+_MARK = "\x01"
 
 
 def tokenise_code(text: Column) -> Column:
     """Identifiers in lower case, each followed by its parts, without repeats, space-joined.
 
-    Borders are marked and letters lowered once for the whole text; a pattern applied word by word
-    would be compiled anew for each.
+    Borders are marked once for the whole text; a pattern that splits word by word would be
+    compiled anew for each.
     """
-    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _MARK, " "), PART_BORDER, _MARK)
-    words = F.regexp_extract_all(F.translate(marked, _UPPER, _LOWER), F.lit(f"([a-z_][a-z0-9_{_MARK}]*)"), F.lit(1))
+    given = F.coalesce(text, F.lit(""))
+    clean = F.when(F.contains(given, F.lit(_MARK)), F.translate(given, _MARK, " ")).otherwise(given)
+    words = F.regexp_extract_all(F.regexp_replace(clean, BEFORE_BORDER, f"$0{_MARK}"), F.lit(f"([A-Za-z_][A-Za-z0-9_{_MARK}]*)"), F.lit(1))
 
     def expand(word: Column) -> Column:
         parts = F.filter(F.split(F.translate(word, "_", _MARK), _MARK), lambda p: p != "")
         plain = ~F.contains(word, F.lit("_")) & ~F.contains(word, F.lit(_MARK))
         return F.when(plain, F.array(word)).otherwise(F.concat(F.array(F.translate(word, _MARK, "")), parts))
 
-    return F.array_join(F.array_distinct(F.flatten(F.transform(F.array_distinct(words), expand))), " ")
+    return F.array_join(F.array_distinct(F.flatten(F.transform(F.array_distinct(F.transform(words, F.lower)), expand))), " ")
 
 
 # --- query classification -------------------------------------------------

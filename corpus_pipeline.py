@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import written
+from tessera.llm._common import release, scratch_path, written
 from tessera.llm.line_dedup import drop_shared_lines
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality
@@ -65,7 +65,11 @@ STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("simhas
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch_path(spark, name.replace(" ", "-"))
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        release(spark, but=(path,))  # what earlier stages wrote isn't needed any more
     return docs
 
 

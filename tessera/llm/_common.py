@@ -27,8 +27,23 @@ def scratch_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
+#: Scratch tables of each application.
+_made: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession, but: tuple[str, ...] = ()) -> None:
+    """Deletes the scratch tables that this application has written, ``but`` those paths. DataFrames that read them must have been computed before."""
+    app = spark.sparkContext.applicationId
+    for name in [x for x in _made.get(app, []) if x not in but]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made[app] = [x for x in _made.get(app, []) if x in but]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

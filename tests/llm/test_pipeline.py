@@ -44,3 +44,10 @@ def test_odd_rows_and_none(spark, odd, none, tiny):
             df.count()
         for _, stage in cp.STAGES:  # and every stage on the odd rows themselves
             stage(spark, docs, tiny).count()
+
+
+def test_run_leaves_one_table(spark, tiny):
+    from tessera.llm import _common
+
+    packed = cp.run(spark, tiny)
+    assert packed.count() > 0 and len(_common._made[spark.sparkContext.applicationId]) == 1

@@ -146,7 +146,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
         others = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(own, j) * F.lit(1 << 15) + F.greatest(own, j) + 1)
         rows = rows.join(heavy, ["t", "k"], "left")
         pairs = F.explode(F.coalesce(others, F.array(F.lit(0))))
-    rows = rows.select(F.col("t").cast("short").alias("t"), "k", "fp", pairs.cast("int").alias("p"))
+    rows = rows.select(F.col("t").cast("short").alias("t"), "k", "fp", pairs.alias("p"))
     dealt = rows.repartition("t", "k", "p").sortWithinPartitions("t", "k", "p").select("t", "fp", "p")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

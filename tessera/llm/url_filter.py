@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import ascii_lower, written
 
+#: Steps before the first test of convergence; steps go on until the ranks have converged.
 ROUNDS = 8
 DAMPING = 0.85
 #: A host is blocked if distrust - trust, as shares of the mean seed, is over this.
 MARGIN = 0.05
+#: The ranks have converged if what is left to move, as a multiple of an even share, is under this part of MARGIN.
+TOLERANCE = 1e-3
 
 
 @dataclass(frozen=True)
@@ -62,11 +65,21 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return pairs.filter((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` steps from ``seeds`` (kind ``allow`` or ``block``, host, weight).
+def _left_to_move(ranks: DataFrame, before: DataFrame, shrink: float) -> float:
+    """A bound on the summed distance from ``ranks`` to the converged ones, as a multiple of an even share: changes shrink by ``shrink`` from ``before`` to ``ranks`` and on."""
+    change = ranks.unionByName(before.withColumn("rank", -F.col("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("change"))
+    summed, n = change.agg(F.sum(F.abs("change")), F.count("*")).first()
+    return (summed or 0.0) * n * shrink / (1 - shrink)
 
-    Both walks run together: trust along the links, distrust against them. Every second round is
-    written, so the plan stays short and a lost executor repeats two rounds at most.
+
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE * MARGIN) -> DataFrame:
+    """(host, trust, distrust) of the walks from ``seeds`` (kind ``allow`` or ``block``, host, weight), converged.
+
+    Both walks run together: trust along the links, distrust against them. Steps go on, ``rounds``
+    at least and without an upper limit, until no rank can be further than ``tolerance`` of an even
+    share from where it converges; each step shrinks the change by ``damping``, so that ends. Every
+    second round is written, so the plan stays short and a lost executor repeats two rounds at most;
+    the driver sees two numbers per test.
     """
     both = edges.select(F.lit("allow").alias("kind"), "src", "dst", "weight").unionByName(edges.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     out = both.groupBy("kind", "src").agg(F.sum("weight").alias("all"))
@@ -77,11 +90,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     restart = base.withColumn("rank", F.col("rank") * (1 - damping))
     ranks = base
     if not steps.isEmpty():
-        for i in range(rounds):
+        done, before, converged = 0, ranks, False
+        while not converged:
             moved = ranks.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).groupBy("kind", "dst").agg(F.sum(F.col("rank") * F.col("p") * damping).alias("rank"))
             ranks = moved.select("kind", F.col("dst").alias("host"), "rank").unionByName(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-            if i % 2:
+            done += 1
+            if done % 2 == 0:
                 ranks = written(ranks, "ranks")
+                converged = done >= rounds and _left_to_move(ranks, before, damping**2) <= tolerance
+                before = ranks
     side = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
     return ranks.groupBy("host").agg(side("allow").alias("trust"), side("block").alias("distrust"))
 
@@ -103,7 +120,7 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, page_id: st
     host, path = host_and_path(F.col(url))
     judged = pages.select(F.col(page_id).alias("__id"), host.alias("host"), path.alias("path")).withColumn("__m", matched_rule(F.col("host"), F.col("path"), rules))
     seeds = judged.filter(F.col("__m").isNotNull() & (F.col("host") != "")).groupBy(F.col("__m")["verdict"].alias("kind"), "host").agg(F.count("*").cast("double").alias("weight"))
-    scores = propagate(host_edges(pages, url, html), seeds, rounds)
+    scores = propagate(host_edges(pages, url, html), seeds, rounds, tolerance=TOLERANCE * (margin if margin > 0 else MARGIN))
     # As multiples of an even share: one host's mean rank is 1 whatever the number of hosts.
     n = scores.agg(F.count("*").alias("n"))
     scores = scores.crossJoin(F.broadcast(n)).select(F.col("host").alias("__host"), F.round(F.col("trust") * F.col("n"), 9).alias("trust"), F.round(F.col("distrust") * F.col("n"), 9).alias("distrust"))

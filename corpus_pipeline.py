@@ -6,7 +6,7 @@ shared folder and rereads it for the next. All but the last return the columns o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._common import release, scratch_path, written
@@ -18,23 +18,27 @@ from tessera.llm.secrets import redacted, secret_spans
 from tessera.llm.simhash import near_duplicates
 
 
-def _with_text(docs: DataFrame, new: DataFrame, text: str) -> DataFrame:
-    """``docs`` with the text of ``new`` (one row per doc_id), n_chars following it; columns and their order stay."""
-    new = new.select(F.col("doc_id").alias("__doc_id"), F.col(text).alias("__text"))
-    joined = docs.drop("text").join(new, F.col("doc_id").eqNullSafe(F.col("__doc_id")))
-    values = {"text": F.col("__text"), "n_chars": F.char_length("__text").cast("long")}
-    return joined.select(*[values[c].alias(c) if c in values else F.col(c) for c in docs.columns])
+def _carrying(docs: DataFrame, *but: str) -> DataFrame:
+    """doc_id, text and the row itself ``but`` those columns as __row: operators hand it on, so no row meets another with its doc_id."""
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in but]).alias("__row"))
+
+
+def _with_text(new: DataFrame, text: Column, columns: list[str]) -> DataFrame:
+    """The rows that ``new`` carries, with ``text`` and n_chars following it, as ``columns``."""
+    values = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return new.select(*[values[c].alias(c) if c in values else F.col("__row")[c].alias(c) for c in columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others keep the lines that pass."""
-    judged = written(quality(docs).select("doc_id", "kept", "kept_text"), "judged")  # else the filter would repeat the rules
-    return _with_text(docs, judged.filter("kept"), "kept_text")
+    judged = quality(_carrying(docs, "text"), carry=("__row",)).select("__row", "kept", "kept_text")
+    judged = written(judged, "judged")  # else the filter would repeat the rules
+    return _with_text(judged.filter("kept"), F.col("kept_text"), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three or more documents share stay in one of them only; documents stay, even empty ones."""
-    return _with_text(docs, drop_shared_lines(docs), "kept_text")
+    return _with_text(drop_shared_lines(_carrying(docs, "text"), carry=("__row",)), F.col("kept_text"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +50,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; documents stay."""
-    found, _ = secret_spans(docs)
-    found = found.filter(F.size("found") > 0).select(F.col("doc_id").alias("__doc_id"), "found")
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left")
-    text = F.when(F.col("found").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("found")))
-    values = {"text": text, "n_chars": F.char_length(text).cast("long")}
-    return joined.select(*[values[c].alias(c) if c in values else F.col(c) for c in docs.columns])
+    found, _ = secret_spans(_carrying(docs), carry=("__row",))
+    return _with_text(found, redacted(F.col("__row")["text"], F.col("found")), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

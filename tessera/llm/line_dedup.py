@@ -24,7 +24,7 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("__h1"), F.xxhash64(F.lit("line"), key).alias("__h2")]
 
 
-def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_dropped and kept_text.
 
     A line's key is the line without white space at both ends and with A-Z lowered. A key of
@@ -36,11 +36,12 @@ def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
       row is returned. A null doc_id counts as no document and never is the largest, but
       loses shared lines like any other.
     * Columns other than the two named are not read. An empty table gives an empty result.
+    * The columns named in ``carry`` are returned too, each row's own; their names must not clash.
 
     Only hashes of lines, never lines, are shuffled for the count; the partial counts are
     combined before each shuffle, so a line that a third of all documents hold stays cheap.
     """
-    src = docs.select(F.col(doc_id).alias("__id"), text_or_empty(text).alias("__text"))
+    src = docs.select(F.col(doc_id).alias("__id"), text_or_empty(text).alias("__text"), *carry)
     lines = F.split("__text", "\n", -1)
     long_keys = F.array_distinct(F.filter(F.transform(lines, _key), lambda k: F.char_length(k) >= min_chars))
     holders = src.select("__id", F.explode(long_keys).alias("__k")).select("__id", *_hashes(F.col("__k")))
@@ -63,14 +64,15 @@ def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         .agg(F.collect_set("__pos").alias("__lost"))
     )
     joined = src.withColumn("__t", F.xxhash64("__text")).join(losses, F.col("__id").eqNullSafe(F.col("__lid")) & (F.col("__t") == F.col("__lt")), "left")
-    split = joined.select("__id", "__lost", lines.alias("__lines"))
+    split = joined.select("__id", "__lost", lines.alias("__lines"), *carry)
     # The lines are bound within the expression: where a filter on the result moves down, they'd else be split again for each line.
     left = lambda b: F.transform(F.array_except(F.sequence(F.lit(0), F.size(b["lines"]) - 1), b["lost"]), lambda p: F.get(b["lines"], p))
     bound = F.array(F.struct(F.col("__lines").alias("lines"), F.col("__lost").alias("lost")))
     kept = F.when(F.col("__lost").isNull(), F.col("__lines")).otherwise(F.get(F.transform(bound, left), F.lit(0)))
-    return split.select("__id", F.size("__lines").cast("long").alias("n_lines"), kept.alias("__kept")).select(
+    return split.select("__id", F.size("__lines").cast("long").alias("n_lines"), kept.alias("__kept"), *carry).select(
         F.col("__id").alias(doc_id),
         "n_lines",
         (F.col("n_lines") - F.size("__kept")).alias("n_dropped"),
         F.array_join("__kept", "\n").alias("kept_text"),
+        *carry,
     )

@@ -63,7 +63,7 @@ def _repeated_words(text: Column) -> Column:
     return let(let(let(words(text), windows), places), union)
 
 
-def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_kept: float = LEAST_KEPT) -> DataFrame:
+def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_kept: float = LEAST_KEPT, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, kept_text.
 
     * kept_text has the lines that pass, joined by \\n. kept is false where the base rules fail
@@ -72,9 +72,10 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_k
     * Null or empty text: no words, so base_failed. Repeated rows are judged one by one; a null
       doc_id is returned as it is. Other columns are not read. An empty table gives none.
     * 3-word windows are compared by 64-bit hashes within one document.
+    * The columns named in ``carry`` are returned too, each row's own; their names must not clash.
     """
-    src = docs.select(F.col(doc_id).alias("__id"), text_or_empty(text).alias("__text"))
-    split = src.select("__id", "__text", F.split("__text", "\n", -1).alias("__lines"))
+    src = docs.select(F.col(doc_id).alias("__id"), text_or_empty(text).alias("__text"), *carry)
+    split = src.select("__id", "__text", F.split("__text", "\n", -1).alias("__lines"), *carry)
     passed = F.filter("__lines", lambda line: ~line_fails(line))
     worded = F.filter("__lines", lambda line: F.btrim(line, F.lit(WHITE)) != "")
     counted = split.select(
@@ -85,8 +86,9 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_k
         worded.alias("__worded"),
         _repeated_words(F.col("__text")).cast("long").alias("n_repeat_words"),
         F.array_join(passed, "\n").alias("kept_text"),
+        *carry,
     )
     counted = counted.select("*", (F.size("__worded") - F.size(F.array_distinct("__worded"))).cast("long").alias("n_dup_lines"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     enough = F.char_length(_squeezed(F.col("kept_text"))) >= F.col("word_chars") * F.lit(least_kept)
-    return counted.select(F.col("__id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & enough).alias("kept"), "kept_text")
+    return counted.select(F.col("__id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & enough).alias("kept"), "kept_text", *carry)

@@ -65,9 +65,9 @@ def _spans(text: Column, rule: Rule) -> Column:
     return F.when(F.rlike(text, F.lit(rule.hint)), F.coalesce(found, none)).otherwise(none)
 
 
-def addressed(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
+def addressed(docs: DataFrame, path: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """__path and __blob of every version; a null text is the empty blob."""
-    return docs.select(F.col(path).alias("__path"), F.sha2(text_or_empty(text), 256).alias("__blob"))
+    return docs.select(F.col(path).alias("__path"), F.sha2(text_or_empty(text), 256).alias("__blob"), *carry)
 
 
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
@@ -97,7 +97,7 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     return scanned.select(F.col("__blob").alias("blob"), F.inline("__found")).select("blob", "kind", F.col("version").cast("int").alias("version"), "spans")
 
 
-def secret_spans(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def secret_spans(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(spans of every row of ``docs``, new ledger).
 
     The first frame has one row per row of ``docs``: path and ``found``, an array of
@@ -107,6 +107,7 @@ def secret_spans(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     * Null or empty text: no spans. Rows that repeat a path or a text are each returned.
     * A null path is an ordinary path. Spans of different rules may overlap; all are returned.
     * Columns other than the two named are not read; empty tables give empty results.
+    * The first frame also has the columns named in ``carry``, each row's own; their names must not clash.
     """
     fresh = written(scan_unseen(docs, ledger, rules, path, text).dropDuplicates(["blob", "kind", "version"]), "ledger")
     whole = fresh if ledger is None else ledger.select("blob", "kind", "version", "spans").unionByName(fresh)
@@ -121,8 +122,8 @@ def secret_spans(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
         .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"))
     )
     none = F.array().cast("array<struct<start:long,place:int,end:long,kind:string>>")
-    rows = addressed(docs, path, text).join(by_blob, F.col("__blob") == F.col("blob"), "left")
-    return rows.select(F.col("__path").alias(path), "__blob", F.coalesce("found", none).alias("found")).withColumnRenamed("__blob", "blob"), whole
+    rows = addressed(docs, path, text, carry).join(by_blob, F.col("__blob") == F.col("blob"), "left")
+    return rows.select(F.col("__path").alias(path), "__blob", F.coalesce("found", none).alias("found"), *carry).withColumnRenamed("__blob", "blob"), whole
 
 
 def redacted(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:

@@ -42,10 +42,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays, with the rows that repeat it; rows without a doc_id stay."""
-    first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Of each group of near-duplicates one row stays: that with the smallest doc_id, nulls last, then by a hash of the row; rows equal in all columns are told apart by number."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    rows = written(docs.withColumn("__order", order), "rows")  # the numbers must stay the same for both reads
+    row = F.col("__order")["row"]
+    first = near_duplicates(rows, "__order").filter(row == F.col("component_id")["row"]).select(row.alias("__first"))
+    return rows.join(first, row == F.col("__first"), "left_semi").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

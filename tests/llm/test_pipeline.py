@@ -72,3 +72,14 @@ def test_repeated_and_null_ids_keep_their_own_texts(spark, tiny):
     prose = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
     more = spark.createDataFrame([(i, prose(n // 2), n, -1, n) for n, i in enumerate([1, 1, 1, None, None, None])], docs.schema)
     assert by_slot(cp.quality_rules(spark, more, tiny)) == [(r.slot, r.doc_id, r.text) for r in more.orderBy("slot").collect()]
+
+
+def test_near_dedup_keeps_one_row_of_every_group(spark, tiny):
+    a, b, c = (" ".join(f"{k}{j}" for j in range(80)) for k in "abc")
+    rows = [(None, a, 0), (7, a, 1), (None, a, 2), (3, a, 3), (3, a, 4), (3, b, 5), (2, b, 6), (None, c, 7), (None, c, 8), (None, c, 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, slot int").repartition(4)
+    kept = cp.near_dedup(spark, docs, tiny)
+    got = sorted(((r.text[0], r.doc_id, r.slot) for r in kept.collect()), key=str)
+    assert kept.columns == docs.columns and [g[:2] for g in got] == [("a", 3), ("b", 2), ("c", None)]
+    again = sorted(((r.text[0], r.doc_id, r.slot) for r in cp.near_dedup(spark, docs.repartition(3), tiny).collect()), key=str)
+    assert again == got

@@ -57,10 +57,10 @@ def matched_rule(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES)
 
 
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst, weight): how many absolute links of src's pages point to another host."""
+    """(src, dst, weight): how many absolute or scheme-relative (``//host``) links of src's pages point to another host."""
     host, _ = host_and_path(F.col(url))
-    links = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]*)"""), F.lit(1))
-    target, _ = host_and_path(F.col("__link"))
+    links = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""), F.lit(1))
+    target, _ = host_and_path(F.when(F.startswith("__link", F.lit("//")), F.concat(F.lit("relative:"), F.col("__link"))).otherwise(F.col("__link")))
     pairs = pages.select(host.alias("src"), F.explode(links).alias("__link")).select("src", target.alias("dst"))
     return pairs.filter((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").alias("weight"))
 

@@ -2,7 +2,7 @@ from collections import defaultdict
 
 import pytest
 
-from tessera.llm.url_filter import DAMPING, MARGIN, ROUNDS, RULES, judge_urls
+from tessera.llm.url_filter import DAMPING, MARGIN, ROUNDS, RULES, host_edges, judge_urls
 
 ROWS = [
     (1, "http://Good.org/x", '<a href="http://a.net/1">a</a><a href=\'https://b.net/\'>b</a>'), (2, "http://a.net/p?q#f", '<a href="http://b.net/">b</a><a href="/rel">r</a>'), (3, "https://b.net", None),
@@ -108,3 +108,9 @@ def test_chain_longer_than_eight_hosts(spark, loop):
     for host, r in got.items():
         assert abs(r.distrust - 21 * ranks[host]) < MARGIN / 100 and r.trust == 0
         assert r.verdict == "block"  # even h20 has 0.12 of an even share
+
+
+def test_scheme_relative_links(spark):
+    html = """<a href="//B.net/x?u=http://z.net">1</a><a href='//b.net'>2</a><a href=//c.net/>3</a><a href="///d.net">4</a><a href="/e//f.net">5</a><a href="g//h.net">6</a><a href="HTTPS://i.net/">7</a>"""
+    df = spark.createDataFrame([("http://a.net/", html)], "url string, html string")
+    assert sorted(map(tuple, host_edges(df).collect())) == [("a.net", "b.net", 2), ("a.net", "c.net", 1), ("a.net", "i.net", 1)]

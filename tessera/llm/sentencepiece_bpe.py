@@ -2,11 +2,15 @@
 
 The symbols of all words of a batch lie in one flat numpy array. Each round ranks the adjacent
 pairs, takes the best rank of every word, merges all its leftmost non-overlapping occurrences at
-once and compacts the array, until no pair remains. Equal words are encoded once.
+once and compacts the array, until no pair remains. Words that aren't done after a number of rounds
+(long ones without a space) go on in rounds that touch only the pairs of one rank and their
+neighbours, so that a word's cost grows with its merges, not with its square. Equal words are
+encoded once.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,6 +26,8 @@ from tessera.llm._common import limit_batches, text_or_empty
 
 SPACE = "▁"
 NO_RANK = np.iinfo(np.int64).max
+#: Rounds over whole words; what is left then is merged rank by rank.
+WHOLE_ROUNDS = 32
 #: A run of word marks and what follows it: no piece of a supported model crosses the end of one.
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -141,8 +147,14 @@ def merge_rounds(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> tupl
     n_words = len(lengths)
     done_word, done_symbol = [], []
     word = np.repeat(np.arange(n_words), lengths)
-    sym = symbols
+    sym, rounds = symbols, 0
     while len(sym):
+        if rounds == WHOLE_ROUNDS:
+            sym, word = ranked_rounds(model, sym, word)
+            done_word.append(word)
+            done_symbol.append(sym)
+            break
+        rounds += 1
         n = len(sym)
         piece, rank = np.full(n, -1, np.int64), np.full(n, NO_RANK, np.int64)
         inside = np.flatnonzero(word[1:] == word[:-1])
@@ -211,6 +223,94 @@ def _without_rivals(model: Model, sym: np.ndarray, word: np.ndarray, piece: np.n
     return at[first | ~np.isin(word[at], bad)]
 
 
+def ranked_rounds(model: Model, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merged symbols of all words, and the word of each; the same order of merges, one rank a round.
+
+    Symbols are linked to their neighbours and pairs wait by rank. A round takes the best rank that
+    waits anywhere, merges its leftmost pairs that don't overlap, and ranks the pairs so made. A rank
+    can come back when a merge makes a better pair; words don't touch one another, so each still
+    sees its own pairs in the order of a queue.
+    """
+    n = len(sym)
+    sym = sym.copy()
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[np.append(word[1:] != word[:-1], True)] = -1
+    before[np.append(True, word[1:] != word[:-1])] = -1
+    piece, rank, alive = np.full(n, -1, np.int64), np.full(n, NO_RANK, np.int64), np.ones(n, bool)
+    made, gone = np.zeros(n, bool), np.zeros(n, bool)  # marks within one round
+    waiting: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def ranked(at: np.ndarray) -> None:
+        """Ranks the pairs that begin at ``at`` and lets them wait."""
+        last = after[at] < 0
+        piece[at[last]], rank[at[last]] = -1, NO_RANK
+        at = at[~last]
+        piece[at], rank[at] = model.table.find(sym[at] * model.size + sym[after[at]])
+        at = at[rank[at] != NO_RANK]
+        wait(at[np.argsort(rank[at], kind="stable")])
+
+    def wait(at: np.ndarray) -> None:
+        r = rank[at]
+        cuts = np.flatnonzero(r[1:] != r[:-1]) + 1
+        for part in np.split(at, cuts) if len(cuts) else [at] if len(at) else []:
+            key = int(rank[part[0]])
+            if key not in waiting:
+                waiting[key] = []
+                heapq.heappush(ranks, key)
+            waiting[key].append(part)
+
+    ranked(np.arange(n))
+    while ranks:
+        r = heapq.heappop(ranks)
+        held = waiting.pop(r)
+        at = np.unique(np.concatenate(held)) if len(held) > 1 else held[0]
+        at = at[rank[at] == r]
+        if not len(at):
+            continue
+        # In a run of pairs that overlap, every second one merges.
+        new_run = np.ones(len(at), bool)
+        new_run[1:] = at[1:] != after[at[:-1]]
+        k = np.arange(len(at))
+        at = at[(k - np.maximum.accumulate(np.where(new_run, k, 0))) % 2 == 0]
+        owner = word[at]
+        if len(at) > 1 and (owner[1:] == owner[:-1]).any():
+            at, put_off = _leftmost_of_rivals(model, sym, word, piece, after, before, r, at, made, gone)
+            wait(put_off)
+        dead = after[at]
+        beyond = after[dead]
+        sym[at] = piece[at]
+        after[at] = beyond
+        before[beyond[beyond >= 0]] = at[beyond >= 0]
+        alive[dead], rank[dead] = False, NO_RANK
+        left = before[at]
+        ranked(np.unique(np.concatenate([at, left[left >= 0]])))
+    return sym[alive], word[alive]
+
+
+def _leftmost_of_rivals(model: Model, sym, word, piece, after, before, r: int, at: np.ndarray, made: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs to merge now, pairs to put off): where a merge of a word would make a pair of rank ``r`` or better, only the word's leftmost pair goes first."""
+    made[at], gone[after[at]] = True, True
+    rival = np.zeros(len(at), bool)
+    left = before[at]
+    ok = left >= 0
+    rival[ok] |= model.table.find(sym[left[ok]] * model.size + piece[at[ok]])[1] <= r
+    ok &= gone[left]  # the merge to the left takes the neighbour
+    rival[ok] |= model.table.find(piece[before[left[ok]]] * model.size + piece[at[ok]])[1] <= r
+    right = after[after[at]]
+    ok = right >= 0
+    rival[ok] |= model.table.find(piece[at[ok]] * model.size + sym[right[ok]])[1] <= r
+    ok &= made[right]
+    rival[ok] |= model.table.find(piece[at[ok]] * model.size + piece[right[ok]])[1] <= r
+    made[at], gone[after[at]] = False, False
+    if not rival.any():
+        return at, at[:0]
+    first = np.ones(len(at), bool)
+    first[1:] = word[at[1:]] != word[at[:-1]]
+    now = first | ~np.isin(word[at], word[at[rival]])
+    return at[now], at[~now]
+
+
 def encode_words(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Identifiers of all words, end to end, and their number per word."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))

@@ -1,4 +1,6 @@
 import random
+import string
+import time
 
 import pytest
 import sentencepiece
@@ -51,3 +53,21 @@ def test_operator(spark, library, odd, none, tiny):
         want = [(str(r.doc_id), library.encode(r.text or "")) for r in df.collect()]
         assert got == sorted((i, str(x), library.decode(x)) for i, x in want)
     assert sp.encoded(none, MODEL).count() == 0
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "the in g", "aab  ▁é\n<0x>日😀", string.ascii_lowercase, "-=/*# "])
+def test_rank_by_rank_from_the_start(library, monkeypatch, alphabet):
+    monkeypatch.setattr(sp, "WHOLE_ROUNDS", 0)
+    rng = random.Random(alphabet)
+    same(library, ["".join(rng.choices(alphabet, k=rng.randint(0, 80))) for _ in range(2000)])
+
+
+def test_long_words_in_seconds(library, spark, small):
+    """Words of 200,000 mixed characters without a space, and prose with its white space taken out."""
+    rng = random.Random(7)
+    prose = "".join("".join(r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").select("text").limit(300).collect()).split())
+    texts = ["".join(rng.choices(string.ascii_letters + string.digits, k=200_000)), "".join(rng.choices(string.ascii_lowercase, k=200_000)), prose[:200_000], "ab" * 100_000]
+    for t in texts:
+        began = time.time()
+        same(library, [t])
+        assert time.time() - began < 20  # about half a second; 80,000 characters took 10 s when every round read the whole word

@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by largest inner product: an inverted file with product-quantised residuals.
 
-Coarse centroids and codebooks are fitted on a bounded sample; every vector is then filed under
-its centroid with the codes of its residual. A query probes the cells whose centroids are nearest,
-reads approximate products from asymmetric distance tables, and reranks the best exactly.
+Coarse centroids and codebooks are fitted on a bounded sample; every vector is filed in the cell of
+its centroid, with the codes of its residual. A query probes the cells whose centroids are nearest
+and reads approximate products from asymmetric distance tables; the best of all its cells together
+are reranked exactly, on the original vectors.
 """
 
 from __future__ import annotations
@@ -11,45 +12,75 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import limit_batches, written
+from tessera.llm._common import written
 
 NEIGHBOURS = 20
-#: Rows that centroids and codebooks are fitted on, at most (twice this in the worst draw).
+#: Rows that centroids and codebooks are fitted on, at most.
 SAMPLE = 16_384
+#: Rows of the sample that a codebook of 256 codes is fitted on, at most.
+BOOK_SAMPLE = 4_096
+#: Centroids of either level, at most: a second level cuts every cell by the residual, so cells grow with the table to four million.
+CENTROIDS = 2_048
 #: Rows of a cell, and queries, that meet in one task's group.
 BLOCK_ROWS, BLOCK_QUERIES = 8_192, 1_024
-#: Approximate candidates of a block that are reranked, as a multiple of the neighbours asked for.
-RERANK = 6
+#: Approximate candidates of a query that are reranked, as a multiple of the neighbours asked for.
+RERANK = 4
 #: Share of the sample's true neighbours that the probed cells must hold.
 COVERAGE = 0.985
+#: A query's probed cells hold this many times the neighbours asked for, at least.
+LEAST_HELD = 8
 
 
 @dataclass
 class Index:
-    """Centroids (cells x d), codebooks (parts x codes x d / parts) and the number of cells to probe."""
+    """Coarse centroids (k1 x d), centroids of their residuals (k2 x d), codebooks (parts x codes x width) and the number of cells to probe. Cell = first * k2 + second."""
 
-    centroids: np.ndarray
+    coarse: np.ndarray
+    fine: np.ndarray
     books: np.ndarray
     probes: int
 
+    @property
+    def cells(self) -> int:
+        return len(self.coarse) * len(self.fine)
+
+    def centroid(self, cell: np.ndarray) -> np.ndarray:
+        return self.coarse[cell // len(self.fine)] + self.fine[cell % len(self.fine)]
+
     def assign(self, x: np.ndarray) -> np.ndarray:
-        return np.argmin((self.centroids**2).sum(1) - 2 * (x @ self.centroids.T), axis=1)
+        first = _closest(x, self.coarse)
+        return first * len(self.fine) + (_closest(x - self.coarse[first], self.fine) if len(self.fine) > 1 else 0)
 
     def codes(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         parts, _, width = self.books.shape
-        residual = (x - self.centroids[cell]).reshape(len(x), parts, width)
-        return np.stack([np.argmin((b**2).sum(1) - 2 * (residual[:, i] @ b.T), axis=1) for i, b in enumerate(self.books)], axis=1).astype(np.uint8)
+        residual = (x - self.centroid(cell)).reshape(len(x), parts, width)
+        return np.stack([_closest(residual[:, i], b) for i, b in enumerate(self.books)], axis=1).astype(np.uint8)
+
+    def cell_products(self, q: np.ndarray) -> np.ndarray:
+        """Inner products of every query with every cell's centroid."""
+        return ((q @ self.coarse.T)[:, :, None] + (q @ self.fine.T)[:, None, :]).reshape(len(q), self.cells)
+
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """Asymmetric distance tables, parts x codes x queries: what a code adds to a query's product."""
+        parts, _, width = self.books.shape
+        return np.matmul(self.books.astype(np.float32), q.reshape(len(q), parts, width).transpose(1, 2, 0).astype(np.float32))
+
+
+def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    half, out = (centres**2).sum(1) / 2, np.empty(len(x), np.int64)
+    for at in range(0, len(x), 4096):
+        out[at : at + 4096] = np.argmin(half - x[at : at + 4096] @ centres.T, axis=1)
+    return out
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = np.argmin((centres**2).sum(1) - 2 * (x @ centres.T), axis=1)
+        near = _closest(x, centres)
         order = np.argsort(near, kind="stable")
         cells, starts = np.unique(near[order], return_index=True)
         centres[cells] = np.add.reduceat(x[order], starts, axis=0) / np.diff(np.append(starts, len(x)))[:, None]
@@ -59,53 +90,92 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 def fit(sample: np.ndarray, total: int, k: int = NEIGHBOURS, coverage: float = COVERAGE) -> Index:
     """An index for ``total`` vectors from a sample of them.
 
-    About sqrt(total) / 2 cells; the number to probe is the least that holds ``coverage`` of the
-    true neighbours of sampled queries, so that data without clusters get more probes, not less recall.
+    About sqrt(total) cells: up to ``CENTROIDS`` by one level of centroids, beyond that by a second
+    level on the residuals. The number to probe is the least that holds ``coverage`` of the true
+    neighbours of sampled queries, so that data without clusters get more probes, not less recall.
     """
     rng, (n, d) = np.random.default_rng(0), sample.shape
-    cells = int(np.clip(round(total**0.5 / 2), 1, min(1024, max(1, n // 8))))
-    centroids = _kmeans(sample, cells, 8, rng)
-    index = Index(centroids, np.zeros((1, 1, d)), cells)
+    cells, most = max(1, round(total**0.5)), max(1, min(CENTROIDS, n // 8))
+    coarse = _kmeans(sample, min(cells, most), 8, rng)
+    left = sample - coarse[_closest(sample, coarse)]
+    fine = _kmeans(left, min(-(-cells // most), most), 8, rng) if cells > most else np.zeros((1, d))
+    width = 2 if d % 2 == 0 else 1
+    index = Index(coarse, fine, np.zeros((d // width, 1, width)), 1)
     cell = index.assign(sample)
-    parts = max(p for p in range(1, min(d, 16) + 1) if d % p == 0)
-    residual = (sample - centroids[cell]).reshape(n, parts, d // parts)
-    index.books = np.stack([_kmeans(residual[:, i], min(256, n), 6, rng) for i in range(parts)])
+    residual = (sample - index.centroid(cell)).reshape(n, d // width, width)
+    some = residual[rng.choice(n, min(n, BOOK_SAMPLE), replace=False)]
+    index.books = np.stack([_kmeans(some[:, i], min(256, n), 4, rng) for i in range(d // width)])
     ask = rng.choice(n, min(n, 256), replace=False)
-    products = sample[ask] @ sample.T
-    products[np.arange(len(ask)), ask] = -np.inf
-    near = np.argsort(-products, axis=1)[:, : min(k, n - 1)]
-    rank = np.argsort(np.argsort(-(sample[ask] @ centroids.T), axis=1), axis=1)
-    needed = np.sort(np.take_along_axis(rank, cell[near], axis=1).ravel()) + 1
-    index.probes = int(needed[min(len(needed) - 1, int(np.ceil(coverage * len(needed))))]) if len(needed) else cells
+    needed = []
+    for at in range(0, len(ask), 16):
+        q = sample[ask[at : at + 16]]
+        products = q @ sample.T
+        products[np.arange(len(q)), ask[at : at + 16]] = -np.inf
+        near = np.argpartition(-products, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)] if n > 1 else np.empty((len(q), 0), int)
+        by_cell = index.cell_products(q)
+        order = np.sort(-by_cell, axis=1)
+        needed += [np.searchsorted(o, -b[cell[x]], side="right") for o, b, x in zip(order, by_cell, near, strict=True)]
+    needed = np.sort(np.concatenate(needed))
+    index.probes = int(needed[min(len(needed) - 1, int(np.ceil(coverage * len(needed))))]) if len(needed) else index.cells
     return index
 
 
-def search_block(index: Index, cell: int, codes: np.ndarray, vectors: np.ndarray, queries: np.ndarray, keep: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, exact product) of the ``keep`` best of one cell's vectors for each query, out of its ``rerank`` best by the tables."""
-    parts, _, width = index.books.shape
-    n = len(vectors)
-    q_rows, v_rows, products = [], [], []
+def probed(index: Index, q: np.ndarray, held: np.ndarray, least: int) -> list[np.ndarray]:
+    """The cells that each query probes: the ``index.probes`` nearest, and more until they hold ``least`` of the vectors, ``held`` by cell."""
+    out = []
+    step = max(1, (1 << 22) // index.cells)
+    for at in range(0, len(q), step):
+        for products in index.cell_products(q[at : at + step]):
+            first = np.argpartition(-products, index.probes - 1)[: index.probes]
+            if held[first].sum() < least and index.probes < index.cells:
+                order = np.argsort(-products)
+                enough = int(np.searchsorted(np.cumsum(held[order]), least)) + 1
+                first = order[: max(index.probes, enough)]
+            out.append(first[held[first] > 0].astype(np.int32))
+    return out
+
+
+def floors(index: Index, q: np.ndarray, cells: list[np.ndarray], sample_cell: np.ndarray, sample_codes: np.ndarray, total: int, most: int, k: int) -> np.ndarray:
+    """For each query a product that its ``most`` best of the table surely reach: the sample's share of them and some more, read from the tables over the sample's rows in its cells; -inf where the cells hold too few of those."""
+    n = len(sample_cell)
+    mean = most * n / max(1, total)
+    wanted = max(k, int(np.ceil(mean + 4 * mean**0.5 + 1)))
+    out = np.full(len(q), -np.inf)
+    if n <= wanted:
+        return out
+    for at in range(0, len(q), 64):
+        part = q[at : at + 64]
+        tables, approx = index.tables(part), index.cell_products(part)[:, sample_cell].astype(np.float32)
+        for p in range(len(tables)):
+            approx += np.take(tables[p], sample_codes[:, p], axis=0).T
+        for i, row in enumerate(approx):
+            mine = np.zeros(index.cells, bool)
+            mine[cells[at + i]] = True
+            row = row[mine[sample_cell]]
+            if len(row) > wanted:
+                out[at + i] = np.partition(row, len(row) - wanted)[len(row) - wanted]
+    return out
+
+
+def search_block(index: Index, cell: int, codes: np.ndarray, queries: np.ndarray, floor: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vector row, approximate product) of one cell's vectors that reach the query's floor, its ``most`` best at most; by the distance tables alone."""
+    q_rows, v_rows, products = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+    base, by_part = queries @ index.centroid(np.array([cell]))[0], np.ascontiguousarray(codes.T)
     for at in range(0, len(queries), 64):
-        q = queries[at : at + 64]
-        if n <= rerank:
-            best = np.broadcast_to(np.arange(n), (len(q), n))
+        tables = index.tables(queries[at : at + 64])
+        approx = np.tile(base[at : at + 64].astype(np.float32), (len(codes), 1))
+        for p in range(len(tables)):
+            approx += np.take(tables[p], by_part[p], axis=0)
+        approx = np.ascontiguousarray(approx.T)
+        if len(codes) > most:
+            last = np.partition(approx, len(codes) - most, axis=1)[:, len(codes) - most]
+            row, col = np.nonzero(approx >= np.maximum(last, floor[at : at + 64])[:, None])
         else:
-            tables = np.einsum("qpw,pcw->pqc", q.reshape(len(q), parts, width), index.books).astype(np.float32)
-            approx = np.zeros((len(q), n), np.float32)
-            for p in range(parts):
-                approx += tables[p][:, codes[:, p]]
-            best = np.argpartition(-approx, rerank - 1, axis=1)[:, :rerank]  # the cell's share is the same for all of them
-        exact = (vectors[best] * q[:, None, :]).sum(-1)
-        order = np.argsort(-exact, axis=1, kind="stable")[:, :keep]
-        if keep < exact.shape[1]:  # all that tie with the last one kept stay
-            last = np.take_along_axis(exact, order[:, -1:], axis=1)
-            row, col = np.nonzero(exact >= last)
-        else:
-            row, col = np.nonzero(np.ones_like(exact, bool))
+            row, col = np.nonzero(approx >= floor[at : at + 64, None])
         q_rows.append(row + at)
-        v_rows.append(best[row, col])
-        products.append(exact[row, col])
-    return tuple(map(np.concatenate, (q_rows, v_rows, products)))
+        v_rows.append(col)
+        products.append(approx[row, col])
+    return np.concatenate(q_rows), np.concatenate(v_rows), np.concatenate(products)
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -117,7 +187,7 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
     """The ``k`` nearest of each query (ids divisible by ``every``): query_id, rank from 1, vec_id and score.
 
     Score is the inner product in double precision; ties go to the smaller vec_id; a query is not
@@ -130,76 +200,110 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, vec_id: st
     * Only the two columns are read. Without usable vectors the result is empty.
 
     Cells are cut into blocks of bounded rows and bounded queries, so neither a popular cell nor a
-    large table gathers in one task.
+    large table gathers in one task; what meets there is codes and queries, not vectors. A query's
+    ``rerank`` * (k + 1) best by the tables, over all its cells, meet their vectors for the exact
+    product. The driver holds the sample and one number a cell.
     """
     spark = vectors.sparkSession
-    limit_batches(spark, 4_000)
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = written(usable(vectors, vec_id, embedding), "vectors")
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if common is None:
         return empty
     rows, total, d = rows.filter(F.size("v") == common.d), common["count"], common.d
+    stored = np.dtype("<f4" if vectors.schema[embedding].dataType.elementType.typeName() == "float" else "<f8")  # the vectors as they came, exactly
 
     copies = Window.partitionBy("v").orderBy("id")
     members = rows.withColumn("i", F.row_number().over(copies)).filter(F.col("i") <= k + 1)  # cut to k + 1 a task before the shuffle
     members = written(members.withColumn("class", F.min("id").over(Window.partitionBy("v"))), "classes")
     classes = members.filter(F.col("i") == 1).select(F.col("class"), "v")
 
-    part = F.pmod(F.xxhash64("class", F.lit("sample")), F.lit(max(1, total // sample)))
-    drawn = classes.filter(part == 0).limit(2 * sample).toPandas()
+    draw = F.xxhash64("class", F.lit("sample"))
+    parts = max(1, 4 * total // (5 * sample))  # about a quarter more than wanted, of which the first by hash stay
+    drawn = classes.filter(F.pmod(draw, F.lit(parts)) == 0).orderBy(draw, "class").limit(sample).toPandas()
     if drawn.empty:
-        drawn = classes.limit(sample).toPandas()
-    index = fit(np.stack(drawn["v"]).astype(np.float64), total, k)
+        drawn = classes.orderBy(draw, "class").limit(sample).toPandas()
+    drawn = np.stack(drawn["v"]).astype(np.float64)
+    index = fit(drawn, total, k)
+    sample_cell = index.assign(drawn)
+    sample_codes = index.codes(drawn, sample_cell)
 
     def file_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
                 cell = index.assign(x)
-                codes = index.codes(x, cell)
-                yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes]), pa.array([r.tobytes() for r in x])], names=["class", "cell", "codes", "vec"])
+                yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(cell, pa.int32()), _bytes(index.codes(x, cell)), _bytes(x.astype(stored))], names=["class", "cell", "codes", "vec"])
 
     filed = written(classes.mapInArrow(file_rows, "class bigint, cell int, codes binary, vec binary"), "inverted-file")
+    in_cell = {r.cell: r["count"] for r in filed.groupBy("cell").count().collect()}  # one number a cell
+    held = np.zeros(index.cells, np.int64)
+    held[list(in_cell)] = list(in_cell.values())
 
     asked = rows.filter(F.col("id") % every == 0).select("id", F.col("v").alias("qv"))
     asked = written(asked.join(classes, F.col("qv") == F.col("v")).select(F.col("id").alias("query_id"), F.col("class").alias("qclass")), "queries")
-    centroids, probes = index.centroids, index.probes
+    most = rerank * (k + 1)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                q = np.frombuffer(b"".join(batch.column("vec").to_pylist())).reshape(-1, d)
-                cells = np.argpartition(-(q @ centroids.T), probes - 1, axis=1)[:, :probes]
-                yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("vec"), pa.array(list(cells.astype(np.int32)), pa.list_(pa.int32()))], names=["class", "vec", "cells"])
+                q = _vectors(batch.column("vec"), stored, d)
+                cells = probed(index, q, held, LEAST_HELD * (k + 1))
+                floor = floors(index, q, cells, sample_cell, sample_codes, int(held.sum()), most, k + 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cells)]), pa.int32()), pa.array(np.concatenate(cells), pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("vec"), pa.array(floor.astype(np.float32)), lists], names=["class", "vec", "floor", "cells"])
 
     one_each = asked.select("qclass").distinct()
-    probing = one_each.join(filed, F.col("qclass") == F.col("class")).select("class", "vec").mapInArrow(probe, "class bigint, vec binary, cells array<int>")
-    probing = probing.select(F.col("class").alias("q"), F.col("vec").alias("qvec"), F.explode("cells").alias("cell"))
-    probing = written(probing, "probes")
-    row_blocks = {r.cell: -(-r["count"] // BLOCK_ROWS) for r in filed.groupBy("cell").count().collect()}  # one number a cell
-    query_blocks = {r.cell: -(-r["count"] // BLOCK_QUERIES) for r in probing.groupBy("cell").count().collect()}
-    cells = range(len(centroids))
-    rb = F.get(F.array(*[F.lit(row_blocks.get(c, 1)) for c in cells]), F.col("cell"))
-    qb = F.get(F.array(*[F.lit(query_blocks.get(c, 1)) for c in cells]), F.col("cell"))
-    left = filed.withColumns({"rb": F.pmod(F.xxhash64("class", F.lit("block")), rb).cast("int"), "qb": F.explode(F.sequence(F.lit(0), qb - 1))})
-    right = probing.withColumns({"qb": F.pmod(F.xxhash64("q", F.lit("block")), qb).cast("int")}).withColumn("rb", F.explode(F.sequence(F.lit(0), rb - 1)))
-    keep, rerank = k + 1, RERANK * (k + 1)
-
-    def meet(key: tuple, x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or q.empty:
-            return pd.DataFrame({"q": np.empty(0, np.int64), "class": np.empty(0, np.int64), "score": np.empty(0)})
-        vec = np.frombuffer(b"".join(x["vec"])).reshape(-1, d)
-        codes = np.frombuffer(b"".join(x["codes"]), np.uint8).reshape(len(x), -1)
-        qs, vs, s = search_block(index, key[0], codes, vec, np.frombuffer(b"".join(q["qvec"])).reshape(-1, d), keep, rerank)
-        return pd.DataFrame({"q": q["q"].to_numpy()[qs], "class": x["class"].to_numpy()[vs], "score": s})
-
-    found = left.groupBy("cell", "rb", "qb").cogroup(right.groupBy("cell", "rb", "qb")).applyInPandas(meet, "q bigint, class bigint, score double")
+    probing = one_each.join(filed, F.col("qclass") == F.col("class")).select("class", "vec").mapInArrow(probe, "class bigint, vec binary, floor float, cells array<int>")
+    probing = written(probing.select(F.col("class").alias("q"), F.col("vec").alias("qvec"), "floor", "cells"), "probes")
+    sought = probing.select("q", "qvec", "floor", F.explode("cells").alias("cell"))
+    blocks = lambda df, size, name: df.groupBy(F.col("cell").alias("c")).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    counts = written(blocks(filed, BLOCK_ROWS, "nr").join(blocks(sought, BLOCK_QUERIES, "nq"), "c"), "blocks")  # one row a cell
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda id, n: F.pmod(F.xxhash64(id, F.lit("block")), F.col(n)).cast("int")
+    left = filed.select("class", "cell", "codes").join(counts, F.col("cell") == F.col("c")).select("class", "cell", "codes", deal("class", "nr").alias("rb"), upto("nq").alias("qb"))
+    right = sought.join(counts, F.col("cell") == F.col("c")).select("q", "qvec", "floor", "cell", deal("q", "nq").alias("qb"), upto("nr").alias("rb"))
+
+    def meet(key: tuple, x: pa.Table, q: pa.Table) -> pa.Table:
+        qs, vs, s = [], [], []
+        if x.num_rows and q.num_rows:
+            codes = _vectors(x.column("codes"), np.dtype(np.uint8), index.books.shape[0])
+            qs, vs, s = search_block(index, key[0].as_py(), codes, _vectors(q.column("qvec"), stored, d), q.column("floor").to_numpy(), most)
+        at = lambda column, i: column.to_numpy()[i] if len(i) else np.empty(0, np.int64)
+        return pa.table({"q": at(q.column("q"), qs), "class": at(x.column("class"), vs), "near": np.asarray(s, np.float32)})
+
+    found = left.groupBy("cell", "rb", "qb").cogroup(right.groupBy("cell", "rb", "qb")).applyInArrow(meet, "q bigint, class bigint, near float")
+    by_table = Window.partitionBy("q").orderBy(F.desc("near"), "class")
+    pairs = written(found.withColumn("n", F.row_number().over(by_table)).filter(F.col("n") <= most).select("q", "class"), "candidates")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.einsum("ij,ij->i", _vectors(batch.column("vec"), stored, d), _vectors(batch.column("qvec"), stored, d))
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("class"), pa.array(score)], names=["q", "class", "score"])
+
+    with_vector = pairs.join(filed.select(F.col("class").alias("c"), "vec"), F.col("class") == F.col("c")).select("q", "class", "vec")
+    both = with_vector.join(probing.select(F.col("q").alias("p"), "qvec"), F.col("q") == F.col("p")).select("q", "class", "vec", "qvec")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "class")
-    top = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= keep).select("q", F.col("class").alias("c"), "score")
+    top = both.mapInArrow(exact, "q bigint, class bigint, score double").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).select("q", F.col("class").alias("c"), "score")
     spread = members.select(F.col("class"), F.col("id").alias("member"))
-    listed = top.join(spread, F.col("c") == F.col("class")).withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "member"))).filter(F.col("n") <= keep)
+    listed = top.join(spread, F.col("c") == F.col("class")).withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "member"))).filter(F.col("n") <= k + 1)
     listed = listed.select("q", "member", "score")
     answers = asked.join(listed, F.col("qclass") == F.col("q")).filter(F.col("query_id") != F.col("member"))
     final = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "member"))).filter(F.col("rank") <= k)
     return final.select("query_id", "rank", F.col("member").alias("vec_id"), "score")
+
+
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """Every row's bytes as a binary value."""
+    rows = np.ascontiguousarray(rows)
+    n, width = len(rows), rows.itemsize * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, n * width + 1, width, dtype=np.int32) if n else np.zeros(1, np.int32)), pa.py_buffer(rows)])
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray, kind: np.dtype, d: int) -> np.ndarray:
+    """Binary values of ``d`` numbers each as the rows of an array; floats as doubles."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    begin = lambda c: int(np.frombuffer(c.buffers()[1], np.int32)[c.offset])
+    parts = [np.frombuffer(c.buffers()[2], np.uint8)[begin(c) : begin(c) + len(c) * kind.itemsize * d] for c in chunks if len(c)]
+    out = np.concatenate(parts).view(kind).reshape(-1, d) if parts else np.empty((0, d), kind)
+    return out if kind == np.uint8 else out.astype(np.float64)

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from tessera.llm import ann
 from tessera.llm.ann import nearest
 
 
@@ -57,3 +58,45 @@ def test_embeddings(spark, tiny):
     rows = df.collect()
     x = np.array([r.embedding for r in rows], np.float64)
     assert recall(answers(nearest(df)), brute([r.vec_id for r in rows], x, 20, 20)) >= 0.95
+
+
+@pytest.mark.parametrize("centroids", [2048, 12])
+def test_tables_decide(monkeypatch, centroids):
+    """Every cell is searched by the tables alone; with few centroids a second level cuts the cells."""
+    monkeypatch.setattr(ann, "CENTROIDS", centroids)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(20_000, 32)) + rng.normal(size=(40, 32))[rng.integers(0, 40, 20_000)] * 2
+    index = ann.fit(x[:6000], len(x))
+    assert (len(index.fine) > 1) == (centroids == 12) and 120 <= index.cells <= 160
+    cell = index.assign(x)
+    codes, held = index.codes(x, cell), np.bincount(cell, minlength=index.cells)
+    assert held.max() > 100
+    q = x[::400]
+    cells = ann.probed(index, q, held, 168)
+    for most, least in ((84, 0.95), (21, 0.5)):
+        floor = ann.floors(index, q, cells, cell[:6000], codes[:6000], len(x), most, 21)
+        found = [[] for _ in q]
+        for c in range(index.cells):
+            rows, asks = np.flatnonzero(cell == c), np.array([i for i, cs in enumerate(cells) if c in cs], int)
+            if len(rows) and len(asks):
+                qs, vs, near = ann.search_block(index, c, codes[rows], q[asks], floor[asks], most)
+                for a, v, s in zip(asks[qs], rows[vs], near, strict=True):
+                    found[a].append((s, v))
+        hit = 0
+        for i, best in enumerate(found):
+            kept = {v for _, v in sorted(best, reverse=True)[:most]}
+            assert len(kept) == most  # the floor leaves enough
+            hit += len(kept & set(np.argsort(-(x @ q[i]))[:21].tolist()))
+        print(f"recall of the {most} best by the tables {hit / (21 * len(q)):.3f}, {index.probes} of {index.cells} cells")
+        assert hit / (21 * len(q)) >= least
+
+
+def test_second_level_in_spark(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CENTROIDS", 8)
+    rng = np.random.default_rng(12)
+    x = (rng.normal(size=(3000, 16)) + rng.normal(size=(10, 16))[rng.integers(0, 10, 3000)] * 3).astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = nearest(df)
+    assert recall(answers(got), brute(list(range(3000)), x, 20, 20)) >= 0.9
+    for r in got.filter("rank <= 2").collect():
+        assert abs(r.score - float(x[r.query_id] @ x[r.vec_id])) < 1e-9

@@ -1,10 +1,14 @@
-"""What the corpus operators share: white space, scratch tables, Arrow batch limits."""
+"""What the corpus operators share: white space, scratch tables, slices of Arrow batches."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +21,13 @@ _own_folder: str | None = None
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a temporary folder serves a local master, as in tests; on a cluster it is an error, since executors would write to disks of their own."""
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return _own_folder
@@ -54,10 +60,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def limit_batches(spark: SparkSession, records: int = 1000, megabytes: int = 16) -> None:
-    """Bound the Arrow batches sent to Python, by rows and by bytes, so that a few long texts cannot fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", rows: int = 1000, megabytes: int = 8) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows, and of at most so many bytes of ``text`` unless one text is larger; so what Python makes of a slice stays small whatever the session's batch limits."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + (megabytes << 20), side="right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def text_or_empty(text: str) -> Column:

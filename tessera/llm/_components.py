@@ -14,7 +14,7 @@ def _stars(edges: DataFrame, of: str) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+    low = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), "least")  # so both sides of the join are plain shuffles
     tied = both.join(low, F.col("a") == F.col("n"))
     if of == "large":
         out = tied.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -28,7 +28,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Rounds go on until the stars no longer change; each is written to the shared folder, so no
     lineage grows and the driver sees two numbers per round. Minima are combined before the
-    shuffle and the join's hot keys can be split, so a hub does not gather in one task.
+    shuffle and written before they are joined to the links; neither side of that join is an
+    aggregate then, so Spark can split the links of a hub over tasks.
     """
     now = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "links")
     before = None

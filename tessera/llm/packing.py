@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm._common import limit_batches, text_or_empty, written
+from tessera.llm._common import slices, text_or_empty, written
 
 LENGTH = 1024
 OPEN = 64
@@ -96,7 +96,7 @@ def _first_level(vocabulary: str, end: int, length: int, most: int, kind: pa.Dat
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, windows = encoder(vocabulary), Windows(length, most)
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.append(encode(text), end).astype("<u4")
@@ -147,7 +147,6 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
     partitions. Every level is written to the shared folder before it is read again.
     """
     spark = docs.sparkSession
-    limit_batches(spark)
     id_type = docs.schema[doc_id].dataType.simpleString()
     kind = to_arrow_type(docs.schema[doc_id].dataType)
     schema = f"doc_id {id_type}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"

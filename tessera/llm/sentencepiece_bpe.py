@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import limit_batches, text_or_empty
+from tessera.llm._common import slices, text_or_empty
 
 SPACE = "▁"
 NO_RANK = np.iinfo(np.int64).max
@@ -391,15 +391,14 @@ def encoded(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "te
 
     * Null or empty text: no identifiers, decoded empty. Characters outside the vocabulary become bytes.
     * Repeated rows and null doc_ids are returned as they are; only the two columns are read.
-    * There is no shuffle; Arrow batches are bounded by rows and bytes. An empty table gives none.
+    * There is no shuffle; batches are encoded in slices bounded by rows and bytes. An empty table gives none.
     """
-    limit_batches(docs.sparkSession)
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
         encoder = Encoder(m)
-        for batch in batches:
+        for batch in slices(batches):
             ids = encoder.batch(batch.column("text").to_pylist())
             texts = [decode(m, x.tolist()) for x in ids]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import ascii_lower, limit_batches, text_or_empty, words, written
+from tessera.llm._common import ascii_lower, text_or_empty, words, written
 from tessera.llm._components import components
 
 SHINGLE = 4
@@ -76,7 +76,6 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     Shingles are hashed by Spark (XXH64, seed 42, over UTF-8); Python only counts bits of the
     hashes. Texts with fewer words than ``shingle`` have one shingle; without words, fp is 0.
     """
-    limit_batches(docs.sparkSession)
     src = docs.select(F.col(doc_id).alias("id"), words(ascii_lower(text_or_empty(text))).alias("w"))
     n = F.size("w")
     many = F.transform(F.sequence(F.lit(0), n - shingle), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(F.col("w"), i + j) for j in range(shingle)])))
@@ -130,44 +129,64 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
     """(a, b): links between different values of ``fp`` that join the same components as all pairs within ``radius`` bits.
 
     ``prints`` holds each fingerprint once. No bucket is capped: small ones are compared in
-    full, larger ones by growing from what is reached already, and those over ``tile`` rows
-    are cut into tiles of which every pair is compared by itself.
+    full, larger ones by growing from what is reached already. A bucket over ``tile`` rows is only
+    named by the task that meets it; its rows are then cut into tiles of which every pair is
+    compared by itself, so no task holds more than two tiles.
     """
-    spark = prints.sparkSession
-    limit_batches(spark, 100_000)
     table_masks = np.array(masks(radius), np.uint64)
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(int(m)))).alias("k")) for t, m in enumerate(table_masks)])
+    tables = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(int(m)))).alias("k")) for t, m in enumerate(table_masks)])
     rows = prints.select("fp", F.inline(tables))
-    heavy = rows.groupBy("t", "k").count().filter(F.col("count") > tile).select("t", "k", F.ceil(F.col("count") / tile).cast("int").alias("n"))
-    heavy = written(heavy, "heavy-buckets")
-    pairs = F.lit(0)
-    if not heavy.isEmpty():
-        own = F.pmod(F.xxhash64("fp", F.lit("tile")), F.col("n")).cast("int")
-        others = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(own, j) * F.lit(1 << 15) + F.greatest(own, j) + 1)
-        rows = rows.join(heavy, ["t", "k"], "left")
-        pairs = F.explode(F.coalesce(others, F.array(F.lit(0))))
-    rows = rows.select(F.col("t").cast("short").alias("t"), "k", "fp", pairs.alias("p"))
+    first = written(_linked(rows.withColumn("p", F.lit(0)), table_masks, radius, tile), "near")
+    heavy = first.filter(F.col("t").isNotNull()).select("t", "k")
+    links = first.filter(F.col("t").isNull()).select("a", "b")
+    if heavy.isEmpty():
+        return links
+    held = written(rows.join(heavy, ["t", "k"]), "heavy-rows")
+    sizes = written(held.groupBy("t", "k").agg(F.ceil(F.count("*") / tile).cast("int").alias("n")), "heavy-buckets")
+    own = F.pmod(F.xxhash64("fp", F.lit("tile")), F.col("n")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(own, j) * F.lit(1 << 15) + F.greatest(own, j))
+    tiled = held.join(sizes, ["t", "k"]).select("t", "k", "fp", F.explode(pairs).alias("p"))
+    return links.unionByName(_linked(tiled, table_masks, radius, None).select("a", "b"))
+
+
+def _linked(rows: DataFrame, table_masks: np.ndarray, radius: int, most: int | None) -> DataFrame:
+    """(a, b) of the links within equal (t, k, p) of ``rows``, and (t, k), with a and b null, of groups over ``most`` rows, which aren't compared."""
     dealt = rows.repartition("t", "k", "p").sortWithinPartitions("t", "k", "p").select("t", "fp", "p")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, fp, p = np.empty(0, np.int16), np.empty(0, np.uint64), np.empty(0, np.int32)
+        passed = None  # the group that is too large
         for batch in _with_end(batches):
             if batch is not None:
                 t, fp, p = (np.concatenate([old, batch.column(c).to_numpy(zero_copy_only=False).view(old.dtype)]) for old, c in ((t, "t"), (fp, "fp"), (p, "p")))
             if not len(fp):
                 continue
             k = fp & table_masks[t]
+            if passed is not None:
+                here = (t == passed[0]) & (k == passed[1])
+                t, fp, p, k = t[~here], fp[~here], p[~here], k[~here]
+                if not len(fp):
+                    continue
+            new = np.append(True, (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (p[1:] != p[:-1]))
+            starts = np.flatnonzero(new)
+            sizes = np.diff(np.append(starts, len(fp)))
+            large = starts[sizes > most] if most is not None else starts[:0]
+            if len(large):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(large), pa.int64()), pa.nulls(len(large), pa.int64()), pa.array(t[large]), pa.array(k[large].view(np.int64))], names=["a", "b", "t", "k"])
+                passed = (t[large[-1]], k[large[-1]])
+                fits = np.repeat(sizes <= most, sizes)
+                t, fp, p, k = t[fits], fp[fits], p[fits], k[fits]
             end = len(fp)
-            if batch is not None:  # the last run may go on in the next batch
+            if batch is not None and end:  # the last group may go on in the next batch
                 differs = np.flatnonzero((t != t[-1]) | (k != k[-1]) | (p != p[-1]))
                 end = int(differs[-1]) + 1 if len(differs) else 0
             if end:
                 a, b = bucket_links(t[:end], fp[:end], p[:end], k[:end], radius)
                 a, b = np.minimum(a.view(np.int64), b.view(np.int64)), np.maximum(a.view(np.int64), b.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int16()), pa.nulls(len(a), pa.int64())], names=["a", "b", "t", "k"])
                 t, fp, p = t[end:], fp[end:], p[end:]
 
-    return dealt.mapInArrow(link, "a bigint, b bigint")
+    return dealt.mapInArrow(link, "a bigint, b bigint, t smallint, k bigint")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -186,12 +205,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     * Only doc_id and text are read. An empty table gives an empty result.
 
     Equal fingerprints are one node from the start, so thousands of copies cost one row; links
-    and components stay in Spark.
+    and components stay in Spark. Aggregates are written before they are joined, so that a large
+    component's or a common fingerprint's rows can be split over tasks.
     """
     prints = written(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = written(components(written(near_links(nodes.select("fp"), radius).distinct(), "near")), "roots")
-    tied = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = tied.groupBy("root").agg(F.min("low").alias("component_id"))
-    label = tied.join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
+    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
+    roots = written(components(near_links(nodes.select("fp"), radius)), "roots")
+    tied = written(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "tied")
+    least = written(tied.groupBy("root").agg(F.min("low").alias("component_id")), "least")
+    label = written(tied.join(least, "root").select(F.col("fp").alias("__fp"), "component_id"), "labels")
     return prints.join(label, F.col("fp") == F.col("__fp")).select(F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

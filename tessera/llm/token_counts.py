@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm._common import limit_batches, text_or_empty, written
+from tessera.llm._common import slices, text_or_empty, written
 
 BLOCK_TOKENS = 1 << 16
 SUPER = 1024  # blocks scanned together in the lower level of the prefix scan
@@ -28,7 +28,6 @@ def flat_blocks(docs: DataFrame, vocabulary: str, separator: int, doc_id: str =
     Blocks are cut every ``block_tokens`` identifiers wherever documents end. Texts that spell
     the separator are ordinary text. Null text: no tokens, only its separator.
     """
-    limit_batches(docs.sparkSession)
     id_type = docs.schema[doc_id].dataType.simpleString()
     kind = to_arrow_type(docs.schema[doc_id].dataType)
 
@@ -37,7 +36,7 @@ def flat_blocks(docs: DataFrame, vocabulary: str, separator: int, doc_id: str =
 
         encode = encoder(vocabulary, special=False)
         file, block, ordinal, rest, held = TaskContext.get().partitionId(), 0, 0, [], 0
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("id")
             yield out([file] * len(ids), [None] * len(ids), range(ordinal, ordinal + len(ids)), ids, [None] * len(ids))
             ordinal += len(ids)
@@ -63,25 +62,45 @@ def flat_blocks(docs: DataFrame, vocabulary: str, separator: int, doc_id: str =
 
 
 def read_flat_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, payload) of token files on disk, each cut into blocks of ``block_tokens`` 16-bit identifiers."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    """(file, block, payload) of token files on disk, each cut into blocks of ``block_tokens`` 16-bit identifiers.
+
+    Spark lists the files; every block is then a byte range that a task reads by itself, so a file
+    of any length is spread over tasks and none is held whole. Folders are reached by pyarrow's
+    file systems (local paths, hdfs, s3, gs). An empty file has no blocks.
+    """
     size = 2 * block_tokens
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("content") / size).cast("int") - 1)))
-    return files.select("file", at.alias("b"), "content").select("file", F.col("b").cast("long").alias("block"), F.substring("content", F.col("b") * size + 1, F.lit(size)).alias("payload"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+    blocks = files.filter("length > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("block"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        opened: tuple[str, pa.NativeFile] | None = None
+        for batch in batches:
+            for file, block in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                if opened is None or opened[0] != file:
+                    system, at = fs.FileSystem.from_uri(file)
+                    opened = (file, system.open_input_file(at))
+                opened[1].seek(block * size)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([opened[1].read(size)], pa.binary())], names=["file", "block", "payload"])
+
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return blocks.repartition(tasks, "file", F.floor(F.col("block") / 16)).mapInArrow(read, "file string, block bigint, payload binary")
 
 
 def _scan(separator: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            firsts, lasts, sizes, inner = [], [], [], []
+            firsts, lasts, sizes, inner = [], [], [], [np.empty(0, np.int64)]
             for payload in batch.column("payload"):
                 tokens = np.frombuffer(payload.as_buffer(), "<u2")
                 ends = np.flatnonzero(tokens == separator)
                 sizes.append(len(tokens))
                 firsts.append(int(ends[0]) if len(ends) else None)
                 lasts.append(int(ends[-1]) if len(ends) else None)
-                inner.append(np.diff(ends) - 1 if len(ends) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(lasts, pa.int64()), pa.array([list(map(int, x)) for x in inner], pa.list_(pa.int64()))], names=["file", "block", "size", "first", "last", "inner"])
+                inner.append(np.diff(ends) - 1)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([len(x) for x in inner]), pa.int32()), pa.array(np.concatenate(inner), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(lasts, pa.int64()), lists], names=["file", "block", "size", "first", "last", "inner"])
 
     return scan
 
@@ -114,7 +133,6 @@ def count_tokens(blocks: DataFrame, separator: int) -> DataFrame:
       are not read.
     """
     file_type = blocks.schema["file"].dataType.simpleString()
-    limit_batches(blocks.sparkSession, 64)
     scanned = blocks.select("file", "block", "payload").mapInArrow(_scan(separator), f"file {file_type}, block bigint, size bigint, first bigint, last bigint, inner array<bigint>")
     at = _prefix(written(scanned, "separators"))
     head = F.array(F.col("begin") + F.col("first") - F.col("open"))

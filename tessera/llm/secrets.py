@@ -1,18 +1,20 @@
 """Secret scans over an incremental blob ledger. DataFrame functions only.
 
-Every historical version of a text is addressed by its content (SHA-256). A ledger holds which
-(blob, rule, rule version) were scanned and what was found, so a run scans only pairs it has not
-seen; findings are then joined back to every path that holds the blob.
+Every historical version of a text is addressed by its content (SHA-256). A ledger, kept as a
+Parquet folder that grows from run to run, holds which (blob, rule, rule version) were scanned and
+what was found, so a run scans only pairs it has not seen; findings are then joined back to every
+path that holds the blob.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import text_or_empty, written
+from tessera.llm._common import scratch_path, text_or_empty, written
 
 LEDGER_SCHEMA = "blob string, kind string, version int, spans array<struct<start:long,end:long>>"
 
@@ -70,59 +72,84 @@ def addressed(docs: DataFrame, path: str = "doc_id", text: str = "text", carry:
     return docs.select(F.col(path).alias("__path"), F.sha2(text_or_empty(text), 256).alias("__blob"), *carry)
 
 
+def stored_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger kept in ``folder``; empty where nothing has been stored yet."""
+    try:
+        return spark.read.schema(LEDGER_SCHEMA).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER_SCHEMA)
+
+
+def _rule(r: Rule) -> Column:
+    return F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))
+
+
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
     """Ledger rows for the (blob, rule version) pairs of ``docs`` that ``ledger`` lacks.
 
-    Of the rows that share a blob only the one with the smallest path is scanned. Texts are
-    dealt by (blob, path), so a blob that a third of all paths hold does not gather in one task.
+    Blobs are grouped by their hashes alone. A text moves only if a rule's hint matches it and its
+    blob is due, and of the rows that share a blob only the one with the smallest path; the others'
+    ledger rows have no spans. Texts are dealt by (blob, path), so a blob that a third of all paths
+    hold does not gather in one task.
     """
-    versions = addressed(docs, path, text)
-    todo = versions.groupBy("__blob").agg(F.min("__path").alias("__first"))
+    hinted = F.lit(False)
+    for r in rules:
+        hinted = hinted | F.rlike("__text", F.lit(r.hint))
+    texts = docs.select(F.col(path).alias("__path"), text_or_empty(text).alias("__text"))
+    blob = F.sha2("__text", 256).alias("__blob")
+    blobs = texts.select("__path", blob, hinted.alias("__hinted")).groupBy("__blob").agg(F.min("__path").alias("__first"), F.max("__hinted").alias("__hinted"))
+    wanted, none = F.array(*map(_rule, rules)), F.array().cast("array<struct<kind:string,version:int>>")
     if ledger is not None:
         done = ledger.select(F.col("blob").alias("__blob"), F.struct("kind", "version").alias("__rule")).groupBy("__blob").agg(F.collect_set("__rule").alias("__done"))
-        todo = todo.join(done, "__blob", "left")
+        blobs = blobs.join(done, "__blob", "left").withColumn("__wanted", F.array_except(wanted, F.coalesce("__done", none)))
     else:
-        todo = todo.withColumn("__done", F.lit(None).cast("array<struct<kind:string,version:int>>"))
-    wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-    todo = todo.select(F.col("__blob").alias("__b"), "__first", F.array_except(wanted, F.coalesce("__done", F.array().cast("array<struct<kind:string,version:int>>"))).alias("__wanted"))
-    todo = todo.filter(F.size("__wanted") > 0)
-    texts = docs.select(F.col(path).alias("__path"), text_or_empty(text).alias("__text"))
-    texts = texts.withColumn("__blob", F.sha2("__text", 256))
-    due = texts.join(todo, (F.col("__blob") == F.col("__b")) & F.col("__path").eqNullSafe(F.col("__first")))
-    results = [
-        F.when(F.array_contains("__wanted", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), _spans(F.col("__text"), r).alias("spans")))
-        for r in rules
-    ]
-    scanned = due.select("__blob", F.filter(F.array(*results), lambda x: x.isNotNull()).alias("__found"))
-    return scanned.select(F.col("__blob").alias("blob"), F.inline("__found")).select("blob", "kind", F.col("version").cast("int").alias("version"), "spans")
+        blobs = blobs.withColumn("__wanted", wanted)
+    todo = written(blobs.filter(F.size("__wanted") > 0).select(F.col("__blob").alias("__b"), "__first", "__hinted", "__wanted"), "due-blobs")
+    due = texts.filter(hinted).select("__path", "__text", blob).join(todo.filter("__hinted"), (F.col("__blob") == F.col("__b")) & F.col("__path").eqNullSafe(F.col("__first")))
+    results = [F.when(F.array_contains("__wanted", _rule(r)), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), _spans(F.col("__text"), r).alias("spans"))) for r in rules]
+    scanned = due.select("__blob", F.inline(F.filter(F.array(*results), lambda x: x.isNotNull())))
+    clear = todo.filter(~F.col("__hinted")).select(F.col("__b").alias("__blob"), F.inline("__wanted")).withColumn("spans", F.array().cast("array<struct<start:long,end:long>>"))
+    return scanned.unionByName(clear).select(F.col("__blob").alias("blob"), "kind", F.col("version").cast("int").alias("version"), "spans")
 
 
-def secret_spans(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def secret_spans(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(spans of every row of ``docs``, new ledger).
 
     The first frame has one row per row of ``docs``: path and ``found``, an array of
     (start, kind position, end, kind), in order of start and then of the rules. The second holds
-    ``ledger`` and the pairs scanned now, ready to be stored for the next run.
+    the ledger and the pairs scanned now. With ``folder`` the ledger is the one stored there and
+    what is new is appended to it, in one commit; otherwise it is ``ledger``, and what is new is a
+    scratch table.
 
     * Null or empty text: no spans. Rows that repeat a path or a text are each returned.
     * A null path is an ordinary path. Spans of different rules may overlap; all are returned.
     * Columns other than the two named are not read; empty tables give empty results.
     * The first frame also has the columns named in ``carry``, each row's own; their names must not clash.
+
+    Findings are gathered by blob and written before they are joined to the paths, so Spark can
+    split the paths of a common blob over tasks.
     """
-    fresh = written(scan_unseen(docs, ledger, rules, path, text).dropDuplicates(["blob", "kind", "version"]), "ledger")
-    whole = fresh if ledger is None else ledger.select("blob", "kind", "version", "spans").unionByName(fresh)
-    order = {r.kind: i for i, r in enumerate(rules)}
-    current = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-    place = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for k, i in order.items()])
+    spark = docs.sparkSession
+    if folder is not None:
+        ledger = stored_ledger(spark, folder)
+    fresh = scan_unseen(docs, ledger, rules, path, text).dropDuplicates(["blob", "kind", "version"])
+    target = folder or scratch_path(spark, "ledger")
+    fresh.write.mode("append").option("compression", "zstd").parquet(target)
+    whole = stored_ledger(spark, target)
+    if folder is None and ledger is not None:
+        whole = ledger.select("blob", "kind", "version", "spans").unionByName(whole)
+    place = F.coalesce(*[F.when(F.col("kind") == r.kind, F.lit(i)) for i, r in enumerate(rules)])
     marked = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), place.alias("place"), s["end"].alias("end"), F.col("kind").alias("kind")))
     by_blob = (
-        whole.filter((F.size("spans") > 0) & F.array_contains(current, F.struct("kind", "version")))
+        whole.filter((F.size("spans") > 0) & F.array_contains(F.array(*map(_rule, rules)), F.struct("kind", "version")))
         .select("blob", marked.alias("spans"))
         .groupBy("blob")
         .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"))
     )
     none = F.array().cast("array<struct<start:long,place:int,end:long,kind:string>>")
-    rows = addressed(docs, path, text, carry).join(by_blob, F.col("__blob") == F.col("blob"), "left")
+    rows = addressed(docs, path, text, carry).join(written(by_blob, "findings"), F.col("__blob") == F.col("blob"), "left")
     return rows.select(F.col("__path").alias(path), "__blob", F.coalesce("found", none).alias("found"), *carry).withColumnRenamed("__blob", "blob"), whole
 
 

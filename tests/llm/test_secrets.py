@@ -70,3 +70,28 @@ def test_redaction(spark):
         for a, b in merged:
             want, last = want + (r.text or "")[last:a] + "#", b
         assert (r.clean or "") == want + (r.text or "")[last:]
+
+
+def test_stored_ledger_grows_by_unseen_pairs_only(spark, tmp_path):
+    """A first half, then the whole: the second run appends only what the first hasn't scanned, and finds all spans."""
+    folder = f"file://{tmp_path}/ledger"
+    secret_spans(frame(spark, TEXTS[:6]), folder=folder)
+    first = {(r.blob, r.kind, r.version): r.spans for r in spark.read.parquet(folder).collect()}
+    found, ledger = secret_spans(frame(spark), folder=folder)
+    assert {r.doc_id: [(s.start, s.place, s.end, s.kind) for s in r.found] for r in found.collect()} == {i: brute(t) for i, t in enumerate(TEXTS)}
+    rows = ledger.collect()
+    blob = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert len(rows) == len({(r.blob, r.kind, r.version) for r in rows}) == len(RULES) * len({blob(t) for t in TEXTS})
+    new = {r.blob for r in rows if (r.blob, r.kind, r.version) not in first}
+    assert new == {blob(t) for t in TEXTS} - {blob(t) for t in TEXTS[:6]}
+    files = len(list(tmp_path.glob("ledger/*.parquet")))
+    secret_spans(frame(spark), folder=folder)
+    assert spark.read.parquet(folder).count() == len(rows) and len(list(tmp_path.glob("ledger/*.parquet"))) >= files
+
+
+def test_common_blob(spark):
+    """A text that most paths hold is scanned once and found at all of them."""
+    rows = [(i, "token=abcdefgh12" if i % 3 else f"clean {i}", "x") for i in range(900)]
+    found, ledger = secret_spans(spark.createDataFrame(rows, "doc_id bigint, text string, blob string"))
+    assert sum(len(r.found) for r in found.collect()) == 600
+    assert ledger.filter("size(spans) > 0").count() == 1

@@ -56,7 +56,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
     are cut into equal runs. Slots number the rows of each shard from 0 without gaps.
 
     * Null text: size 1, the checksum of the empty text, and grouped with empty texts.
-    * Null doc_id and repeated rows: rows like others, each with its own slot.
+    * Null doc_id and repeated rows: rows like others, each with its own slot. Rows are numbered in
+      buckets dealt by row and by place in the scratch table, so any number of copies of one row is
+      spread; beyond ``SLOT_ROWS`` rows, slots therefore depend on how the table was partitioned.
     * Only doc_id and text are read. An empty table gives an empty result.
 
     The driver holds ranges, heavy keys (each over 1/32 of a shard's share, so at most 32 a shard)
@@ -71,7 +73,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
     def range_of(key: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(cuts, key.to_numpy(), side="left").astype(np.int32))
 
-    ranged = rows.withColumn("range", range_of("key"))
+    ranged = written(rows.withColumn("range", range_of("key")), "ranged")  # read several times from here on
     share = max(1.0, total / shards)
     totals = {r.range: r.size for r in ranged.groupBy("range").agg(F.sum("size").alias("size")).collect()}
     heavy = _heavy_keys(ranged, totals, share / HEAVY)
@@ -124,7 +126,8 @@ def _emptiest_first(units: list[tuple[float, tuple]], shards: int) -> dict[tuple
 def _numbered(rows: DataFrame, group: str, count: int) -> DataFrame:
     """Adds ``i``, from 0 without gaps within every ``group``: rows are numbered in buckets of bounded size, each bucket after the ones before it."""
     buckets = max(1, -(-count // SLOT_ROWS))
-    rows = written(rows.withColumn("bucket", F.pmod(F.xxhash64("id", "crc", F.lit("slot")), F.lit(buckets)).cast("int")), "numbered")
+    spread = F.xxhash64("id", "crc", F.monotonically_increasing_id())  # rows equal in all columns are dealt out too
+    rows = written(rows.withColumn("bucket", F.pmod(spread, F.lit(buckets)).cast("int")), "numbered")
     sizes = rows.groupBy(group, "bucket").agg(F.count("*").alias("n"))
     before = sizes.select(F.col(group).alias("g"), F.col("bucket").alias("b"), (F.sum("n").over(Window.partitionBy(group).orderBy("bucket")) - F.col("n")).alias("before"))
     inner = rows.withColumn("at", F.row_number().over(Window.partitionBy(group, "bucket").orderBy("id", "crc", "size")))

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from tessera.llm import sharding
 from tessera.llm.sharding import shard
 
 
@@ -46,3 +47,14 @@ def test_sizes_are_near_equal_and_groups_stay(spark, hot):
 def test_the_same_rows_give_the_same_shards(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     assert sorted(map(tuple, shard(docs).collect())) == sorted(map(tuple, shard(docs.repartition(3)).collect()))
+
+
+def test_copies_of_whole_rows_are_spread(spark, monkeypatch):
+    """A third of the rows are one row, and as many have no id and one text: they are numbered in several buckets."""
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 100)
+    rows = [(7, "the same row")] * 1000 + [(None, "no id")] * 1000 + [(i, f"text {i}") for i in range(8, 1008)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    judge(shard(df).collect(), rows, 16)
+    one = sharding._numbered(df.filter("doc_id = 7").selectExpr("doc_id AS id", "1L AS crc", "1L AS size", "0 AS grp"), "grp", 1000)
+    per = [r["count"] for r in one.groupBy("bucket").count().collect()]
+    assert len(per) == 10 and max(per) < 200 and sorted(r.i for r in one.select("i").collect()) == list(range(1000))

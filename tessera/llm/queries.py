@@ -97,6 +97,32 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (lost)::BIGINT AS n_
 FROM judged GROUP BY doc_id
 """
 
+#: The walk is followed for 120 rounds, after which 0.85 ** 120 of it is left to move.
+OP3_SQL = r"""
+WITH RECURSIVE p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+hp AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, html, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM p)),
+rules(rule_host, rule_path, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fit AS (SELECT DISTINCT host, path, rule_host || rule_path AS rule, v FROM (SELECT DISTINCT host, path FROM hp) JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+won AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM fit GROUP BY host, path),
+judged AS (SELECT page_id, hp.host, hp.path, rule, v FROM hp LEFT JOIN won ON hp.host = won.host AND hp.path = won.path),
+link AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)\bhref[\x20\x09-\x0D]*=[\x20\x09-\x0D]*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\x20\x09-\x0D>]*)', 1)) AS target FROM hp),
+dst AS (SELECT src, translate(regexp_extract(target[strpos(target, '//') + 2:], '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM link),
+edge AS (SELECT src, dst, count(*) AS w FROM dst WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
+step AS (SELECT kind, src, dst, w / sum(w) OVER (PARTITION BY kind, src) AS share FROM (SELECT 'allow' AS kind, src, dst, w FROM edge UNION ALL SELECT 'block', dst, src, w FROM edge)),
+base AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS rank FROM (SELECT v AS kind, host, count(*) AS n FROM judged WHERE v IS NOT NULL AND host <> '' GROUP BY 1, 2)),
+walk AS (
+  SELECT 0 AS i, kind, host, rank FROM base
+  UNION ALL
+  SELECT i + 1, kind, host, sum(rank) FROM (
+    SELECT walk.i, walk.kind, step.dst AS host, 0.85 * walk.rank * step.share AS rank FROM walk JOIN step ON walk.kind = step.kind AND walk.host = step.src WHERE walk.i < 120
+    UNION ALL SELECT walk.i, walk.kind, walk.host, 0.15 * walk.rank FROM (SELECT DISTINCT walk.i AS i, base.kind, base.host, base.rank FROM walk, base WHERE walk.i < 120) walk)
+  GROUP BY i, kind, host),
+last AS (SELECT kind, host, rank / sum(rank) OVER (PARTITION BY kind) AS share FROM walk WHERE i = (SELECT max(i) FROM walk)),
+spread AS (SELECT host, (coalesce(sum(share) FILTER (kind = 'block'), 0) - coalesce(sum(share) FILTER (kind = 'allow'), 0)) * (SELECT count(DISTINCT host) FROM last) > 0.05 AS bad FROM last GROUP BY host)
+SELECT page_id, judged.host, path, rule, coalesce(v, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM judged LEFT JOIN spread ON judged.host = spread.host
+"""
+
 _ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
 
 OP7_SQL = f"""
@@ -144,4 +170,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND left_chars >= word_chars * 0.5 AS kept FROM m
 """
 
-SQL = {"op1_line_dedup": OP1_SQL, "op7_secrets": OP7_SQL, "op9_quality": OP9_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op3_url_filter": OP3_SQL, "op7_secrets": OP7_SQL, "op9_quality": OP9_SQL}

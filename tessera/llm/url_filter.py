@@ -78,11 +78,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     Both walks run together: trust along the links, distrust against them. Steps go on, ``rounds``
     at least and without an upper limit, until no rank can be further than ``tolerance`` of an even
     share from where it converges; each step shrinks the change by ``damping``, so that ends. Every
-    second round is written, so the plan stays short and a lost executor repeats two rounds at most;
-    the driver sees two numbers per test.
+    round is written, so the plan stays short, a lost executor repeats one round at most and a hub's
+    links can be split; the driver sees two numbers per test. The ranks are those of the walk that
+    ends at a host without links. Divided by their sum they are the PageRank in which that walk
+    starts again from the seeds, since both differ by one factor a kind.
     """
     both = edges.select(F.lit("allow").alias("kind"), "src", "dst", "weight").unionByName(edges.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    out = both.groupBy("kind", "src").agg(F.sum("weight").alias("all"))
+    both = written(both, "links")  # neither side of the joins below is an aggregate, so Spark can split the links of a hub
+    out = written(both.groupBy("kind", "src").agg(F.sum("weight").alias("all")), "link-counts")
     steps = written(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("all")).alias("p")), "steps")
     base = written(seeds, "seeds")
     total = base.groupBy("kind").agg(F.sum("weight").alias("all"))
@@ -92,11 +95,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     if not steps.isEmpty():
         done, before, converged = 0, ranks, False
         while not converged:
-            moved = ranks.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).groupBy("kind", "dst").agg(F.sum(F.col("rank") * F.col("p") * damping).alias("rank"))
-            ranks = moved.select("kind", F.col("dst").alias("host"), "rank").unionByName(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+            moved = ranks.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("p") * damping).alias("rank"))
+            ranks = written(moved.unionByName(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "ranks")
             done += 1
             if done % 2 == 0:
-                ranks = written(ranks, "ranks")
                 converged = done >= rounds and _left_to_move(ranks, before, damping**2) <= tolerance
                 before = ranks
     side = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
@@ -106,25 +108,29 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
 def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, page_id: str = "page_id", url: str = "url", html: str = "html", rounds: int = ROUNDS, margin: float = MARGIN) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, trust and distrust.
 
-    A rule decides where one fits. Elsewhere the host is blocked if its distrust, as a multiple
-    of an even share of the seeds, exceeds its trust by more than ``margin``; a host that
-    nothing reaches is allowed.
+    A rule decides where one fits. Elsewhere the host is blocked if its share of all distrust
+    exceeds its share of all trust by more than ``margin`` of an even share (one by the number of
+    hosts that either reaches); a host that nothing reaches is allowed. Trust and distrust are
+    given as multiples of an even share, before they are divided by their sums.
 
     * Null url, or one without ``://``: empty host and path, no rule, allowed. Null html: no links.
     * Repeated rows and page_ids, null page_ids: judged one by one. Other columns are not read.
     * No page that a rule allows or blocks: no seeds of that kind and no spread from it.
 
-    Links are counted per pair of hosts before the shuffle; pages meet scores by host in a join
-    whose hot hosts can be split, and html is read once and never shuffled.
+    Links are counted per pair of hosts before the shuffle; pages meet written scores by host in a
+    join whose hot hosts can be split, and html is read once and never shuffled.
     """
     host, path = host_and_path(F.col(url))
     judged = pages.select(F.col(page_id).alias("__id"), host.alias("host"), path.alias("path")).withColumn("__m", matched_rule(F.col("host"), F.col("path"), rules))
     seeds = judged.filter(F.col("__m").isNotNull() & (F.col("host") != "")).groupBy(F.col("__m")["verdict"].alias("kind"), "host").agg(F.count("*").cast("double").alias("weight"))
     scores = propagate(host_edges(pages, url, html), seeds, rounds, tolerance=TOLERANCE * (margin if margin > 0 else MARGIN))
-    # As multiples of an even share: one host's mean rank is 1 whatever the number of hosts.
-    n = scores.agg(F.count("*").alias("n"))
-    scores = scores.crossJoin(F.broadcast(n)).select(F.col("host").alias("__host"), F.round(F.col("trust") * F.col("n"), 9).alias("trust"), F.round(F.col("distrust") * F.col("n"), 9).alias("distrust"))
-    spread = F.when(F.col("distrust") - F.col("trust") > margin, F.lit("block")).otherwise(F.lit("allow"))
+    scores = written(scores, "scores")
+    sums = scores.agg(F.count("*").alias("n"), F.sum("trust").alias("t"), F.sum("distrust").alias("d"))  # one row
+    share = lambda c, all: F.when(F.col(all) > 0, F.col(c) / F.col(all)).otherwise(F.lit(0.0))
+    bad = F.round((share("distrust", "d") - share("trust", "t")) * F.col("n"), 9) > margin
+    even = lambda c: F.round(F.col(c) * F.col("n"), 9).alias(c)
+    scores = written(scores.crossJoin(F.broadcast(sums)).select(F.col("host").alias("__host"), even("trust"), even("distrust"), bad.alias("__bad")), "host-verdicts")
+    spread = F.when(F.col("__bad"), F.lit("block")).otherwise(F.lit("allow"))
     zero = F.lit(0.0)
     rows = judged.join(scores, F.col("host") == F.col("__host"), "left").withColumns({"trust": F.coalesce("trust", zero), "distrust": F.coalesce("distrust", zero)})
     return rows.select(F.col("__id").alias(page_id), "host", "path", F.col("__m")["rule"].alias("rule"), F.coalesce(F.col("__m")["verdict"], spread).alias("verdict"), "trust", "distrust")

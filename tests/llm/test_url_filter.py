@@ -114,3 +114,57 @@ def test_scheme_relative_links(spark):
     html = """<a href="//B.net/x?u=http://z.net">1</a><a href='//b.net'>2</a><a href=//c.net/>3</a><a href="///d.net">4</a><a href="/e//f.net">5</a><a href="g//h.net">6</a><a href="HTTPS://i.net/">7</a>"""
     df = spark.createDataFrame([("http://a.net/", html)], "url string, html string")
     assert sorted(map(tuple, host_edges(df).collect())) == [("a.net", "b.net", 2), ("a.net", "c.net", 1), ("a.net", "i.net", 1)]
+
+
+def test_verdict_is_that_of_pagerank_whose_dangling_mass_restarts(spark):
+    """Hosts without links give their mass back to the seeds: the shares that the verdict compares are those ranks."""
+    import numpy as np
+
+    edges = {("good.org", "a.net"): 1, ("a.net", "dead.net"): 1, ("good.org", "b.net"): 3, ("b.net", "www.example.org"): 2, ("c.net", "www.example.org"): 1, ("c.net", "b.net"): 1}
+    rows = [(i, f"http://{a}/" + ("es/" if a == "www.example.org" else ""), " ".join([f'<a href="http://{b}/">x</a>'] * n)) for i, ((a, b), n) in enumerate(edges.items())]
+    rows += [(50 + i, f"http://{h}/" + ("es/" if h == "www.example.org" else ""), "") for i, h in enumerate(["dead.net", "www.example.org"])]
+    seeds = {"allow": {"good.org": 2.0}, "block": {"www.example.org": 1.0}}
+    hosts = sorted({h for e in edges for h in e})
+    shares = {}
+    for kind in seeds:
+        step = np.zeros((len(hosts), len(hosts)))
+        for (a, b), n in edges.items():
+            a, b = (a, b) if kind == "allow" else (b, a)
+            step[hosts.index(b), hosts.index(a)] += n
+        base = np.array([seeds[kind].get(h, 0.0) for h in hosts]) / sum(seeds[kind].values())
+        step = np.where(step.sum(0) > 0, step / np.maximum(step.sum(0), 1), base[:, None])  # no links: back to the seeds
+        rank = base
+        for _ in range(400):
+            rank = (1 - DAMPING) * base + DAMPING * step @ rank
+        assert abs(rank.sum() - 1) < 1e-9
+        shares[kind] = rank
+    got = {r.host: r.verdict for r in judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect() if r.rule is None}
+    want = {h: "block" if len(hosts) * (shares["block"][i] - shares["allow"][i]) > MARGIN else "allow" for i, h in enumerate(hosts)}
+    assert len(got) == 4 and all(want[h] == v for h, v in got.items()) and set(got.values()) == {"allow", "block"}
+
+
+def test_common_host(spark):
+    """A host that most pages and links share."""
+    rows = [(i, f"http://hub.net/{i}", f'<a href="http://h{i}.net/">x</a><a href="http://www.example.org/es/">bad</a>') for i in range(2000)] + [(5000, "http://www.example.org/es/", "")]
+    got = judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(8))
+    assert got.groupBy("host", "verdict").count().filter("host = 'hub.net'").collect()[0]["count"] == 2000
+    assert {r.verdict for r in got.select("verdict").distinct().collect()} == {"block"}
+
+
+@pytest.mark.parametrize("rows", [ROWS, "chain", "pages"])
+def test_sql_says_the_same(spark, tiny, rows):
+    """The SQL of the query, on rows with links and on the pages."""
+    import duckdb
+    import pandas as pd
+
+    from tessera.llm.queries import OP3_SQL
+
+    if rows == "chain":
+        rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i - 1}.net/">x</a><a href="//h{i // 2}.net">') for i in range(2, 30)] + [(1, "http://h1.net/", '<a href="http://example.org/es/">x</a>'), (0, "http://example.org/es/", '<a href="http://h29.net">'), (50, "http://w.org/", '<a href="http://h7.net">')]
+    df = spark.read.parquet(f"{tiny}/pages.parquet").select("page_id", "url", "html") if rows == "pages" else spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    pages = pd.DataFrame([tuple(r) for r in df.collect()], columns=["page_id", "url", "html"], dtype=object)
+    con = duckdb.connect()
+    con.register("raw", pages)
+    con.execute("CREATE VIEW pages AS SELECT page_id::BIGINT AS page_id, url::VARCHAR AS url, html::VARCHAR AS html FROM raw")
+    want = sorted(con.execute(OP3_SQL).fetchall(), key=str)
+    assert sorted((tuple(r) for r in judge_urls(df).select("page_id", "host", "path", "rule", "verdict").collect()), key=str) == want

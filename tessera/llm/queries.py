@@ -148,24 +148,33 @@ joined AS (
 SELECT doc_id, n_assign, n_access, n_hex, sha256(spans) AS base_sha256, spans FROM joined
 """
 
-OP9_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, string_split(text, chr(10)) AS lines FROM d),
-win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
-rep AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (
-  SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
-line AS (SELECT doc_id, text, w, lines, list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS worded,
-  list_filter(lines, lambda x: NOT (
-    len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) > 0 AND (
-      (regexp_matches(x, '[#*$%&|<>!?~^=_»›·•]') AND (
-        len(regexp_extract_all(x, '[#*$%&|<>!?~^=_]{2,}(?:[\x20\x09-\x0D]|$)')) * 4 >= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))
-        OR len(list_filter(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), lambda y: y IN ('|', '>', '»', '›', '·', '•'))) * 3 >= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))))
-      OR (regexp_matches(x, '(?i)\b(all rights reserved|cookie policy|privacy policy|terms of (use|service)|click here|sign up|log in|subscribe to|javascript|lorem ipsum|share this|skip to content)\b')
-        AND len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) <= 20)))) AS kept FROM w),
-m AS (SELECT line.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
-  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(worded) - len(list_distinct(worded)))::BIGINT AS n_dup_lines,
-  coalesce(rep.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(array_to_string(kept, chr(10)), '[\x20\x09-\x0D]', '', 'g')) AS left_chars
-  FROM line LEFT JOIN rep ON line.doc_id = rep.doc_id)
+_W = r"[\x20\x09-\x0D]"
+
+OP9_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(text, '{_W}+'), lambda x: x <> '') AS w FROM d),
+win AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+rep AS (SELECT r, count(DISTINCT p)::BIGINT AS n FROM (
+  SELECT r, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1) GROUP BY r),
+line AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
+parts AS (SELECT *, list_filter(regexp_split_to_array(line, '{_W}+'), lambda x: x <> '') AS w, length(regexp_replace(line, '{_W}', '', 'g')) AS chars FROM line),
+judged AS (SELECT *, len(w) > 0 AND (
+    len(regexp_extract_all(line, '[#*$%&|<>!?~^=_]{{2,}}(?:{_W}|$)')) * 4 >= len(w)
+    OR len(list_filter(w, lambda y: y IN ('|', '>', '»', '›', '·', '•'))) * 3 >= len(w)
+    OR len(regexp_extract_all(line, '[#*$%&|<>=_~^{{}}\\+@]')) * 3 >= chars
+    OR (len(w) >= 30 AND NOT regexp_matches(line, '[.,;:!?…。！？、，]'))
+    OR len(list_filter(w, lambda y: regexp_matches(y, '^(https?://|www\.).') OR regexp_matches(y, '^[^@]+@[^@]+\.[a-z]+$'))) * 2 >= len(w)
+    OR (len(w) >= 3 AND len(regexp_extract_all(line, '[0-9]')) * 2 >= chars)
+    OR (len(w) <= 20 AND length(line) <= 400 AND (
+      regexp_matches(line, '(?i)\b(all rights reserved|cookie policy|privacy policy|terms of (use|service)|click here|sign up|log in|subscribe to|javascript|lorem ipsum|share this|skip to content)\b')
+      OR regexp_matches(line, '(?i)(^|[^a-z0-9_])(alle rechte vorbehalten|datenschutzerkl|cookie-richtlinie|nutzungsbedingungen|hier klicken|tous droits r|politique de confidentialit|mentions l.gales|cliquez ici|conditions d.utilisation|todos los derechos reservados|aviso legal|haga clic aqu|condiciones de uso|iniciar sesi|© ?[0-9]{{4}}|\(c\) ?[0-9]{{4}}|copyright [0-9]{{4}})')))) AS fails,
+  len(w) BETWEEN 1 AND 4 AND length(line) <= 200 AND NOT regexp_matches(line, '[.,;:!?…！？"''\])”’»]{_W}*$') AS entry FROM parts),
+run AS (SELECT r, pos, entry AND count(*) OVER (PARTITION BY r, entry, island) >= 4 AS menu FROM (
+  SELECT r, pos, entry, row_number() OVER (PARTITION BY r ORDER BY pos) - row_number() OVER (PARTITION BY r, entry ORDER BY pos) AS island FROM judged WHERE len(w) > 0)),
+left_over AS (SELECT judged.r, sum(chars) AS word_chars, sum(chars) FILTER (NOT fails AND NOT coalesce(menu, false)) AS left_chars, count(*) FILTER (len(w) > 0) - count(DISTINCT line) FILTER (len(w) > 0) AS dup
+  FROM judged LEFT JOIN run ON judged.r = run.r AND judged.pos = run.pos GROUP BY judged.r),
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(left_chars, 0) AS left_chars
+  FROM d JOIN w ON d.r = w.r JOIN left_over ON d.r = left_over.r LEFT JOIN rep ON d.r = rep.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND left_chars >= word_chars * 0.5 AS kept FROM m
 """

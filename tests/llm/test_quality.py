@@ -59,3 +59,96 @@ def test_labelled_documents(spark, small):
     good = [kept[d] for d in kept if labels[d] == 1]
     bad = [kept[d] for d in kept if labels[d] == 0]
     assert all(good) and sum(bad) <= 0.1 * len(bad)
+
+
+PHRASES = re.compile(r"\b(all rights reserved|cookie policy|privacy policy|terms of (use|service)|click here|sign up|log in|subscribe to|javascript|lorem ipsum|share this|skip to content)\b", re.I | re.A)
+OTHERS = re.compile(r"(?<![A-Za-z0-9_])(alle rechte vorbehalten|datenschutzerkl|cookie-richtlinie|nutzungsbedingungen|hier klicken|tous droits r|politique de confidentialit|mentions l.gales|cliquez ici|conditions d.utilisation|todos los derechos reservados|aviso legal|haga clic aqu|condiciones de uso|iniciar sesi|© ?[0-9]{4}|\(c\) ?[0-9]{4}|copyright [0-9]{4})", re.I)
+
+
+def line_goes(line):
+    w = WORD.findall(line)
+    if not w:
+        return False
+    n, chars = len(w), sum(map(len, w))
+    tail = [re.search(r"[#*$%&|<>!?~^=_]+$", x) for x in w]
+    return (
+        4 * sum(bool(m and len(m[0]) >= 2) for m in tail) >= n
+        or 3 * sum(x in "|>»›·•" for x in w) >= n
+        or 3 * sum(c in "#*$%&|<>=_~^{}\\+@" for c in line) >= chars
+        or (n >= 30 and not any(c in ".,;:!?…。！？、，" for c in line))
+        or 2 * sum(bool(re.match(r"(https?://|www\.).", x) or re.fullmatch(r"[^@]+@[^@]+\.[a-z]+", x)) for x in w) >= n
+        or (n >= 3 and 2 * sum(c in "0123456789" for c in line) >= chars)
+        or (n <= 20 and len(line) <= 400 and bool(PHRASES.search(line) or OTHERS.search(line)))
+    )
+
+
+def cleaned(text):
+    """(kept_text, whether enough is left) by the rules of the docstrings."""
+    lines = (text or "").split("\n")
+    entry = [1 <= len(WORD.findall(x)) <= 4 and len(x) <= 200 and WORD.findall(x)[-1][-1] not in ".,;:!?…！？\"')]”’»" for x in lines]
+    worded = [i for i, x in enumerate(lines) if WORD.search(x)]
+    menu, run = set(), []
+    for i in [*worded, None]:
+        if i is not None and entry[i]:
+            run.append(i)
+        else:
+            menu |= set(run) if len(run) >= 4 else set()
+            run = []
+    left = [x for i, x in enumerate(lines) if i not in menu and not line_goes(x)]
+    chars = lambda s: sum(map(len, WORD.findall(s)))
+    return "\n".join(left), 2 * chars("\n".join(left)) >= chars(text or "")
+
+
+def check_kept(df):
+    want = []
+    for r in df.collect():
+        left, enough = cleaned(r.text)
+        want.append((str(r.doc_id), left, not base(r.text)[-1] and enough))
+    assert sorted((str(r.doc_id), r.kept_text, r.kept) for r in quality(df).collect()) == sorted(want)
+
+
+def test_kept_like_brute_force(spark, odd, small):
+    check_kept(odd)
+    check_kept(spark.read.parquet(f"{small}/documents.parquet"))
+
+
+def test_each_rule_and_its_limits(spark):
+    prose = "A sentence of plain words stands here, and another one follows it. " * 2
+    menu = ["Home", "Produkte und Preise", "Über uns", "Kontakt"]
+    lines = [
+        "a## b c d", "a## b c d e", "== x ==", "mot | mot", "a | b | c d e", "x = {y: [1]} + @z", "word " * 30, "word " * 29, "word " * 29 + "word,", "http://a.b/c text", "see http://a.b/c for more", "mail a.b@c.de", "a@b text more words",
+        "12 34 56", "2024-01-01 12:00", "call 555 12345 now", "Alle Rechte vorbehalten.", "ALLE RECHTE VORBEHALTEN", "Malle rechte vorbehalten", "© 2024 Verlag", "(c) 2024", "Mentions légales", "click here " + "w " * 19, "click here " + "w " * 18, "x" * 400 + " click here", "=" * 3000 + "x", "a@" * 2000,
+    ]
+    texts = [prose * 3 + "\n" + x for x in lines]
+    texts += [prose + "\n" + sep.join(menu) + "\n" + prose for sep in ("\n", "\n\n \n", "\n" + prose + "\n")] + ["\n".join(menu[:3]) + "\n" + prose, "\n".join([*menu, "Ende."]), "\n".join(menu * 3000), "\n".join(["Home.", "Back:", "a\u2028", *menu[:3]])]
+    check_kept(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+
+
+def test_clashing_hashes_are_told_apart(spark):
+    """Keys that share their upper bits are compared by whole hashes."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import quality as q
+
+    texts = ["a b c d e f g h i j k l m n", "a b c x a b c y z a b c", "p q r s p q r s p", *[" ".join("abcab"[i * k % 5] for i in range(40)) for k in range(1, 5)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bits, q._PLACE_BITS = q._PLACE_BITS, 62  # two bits of the hash are left: nearly all keys clash
+    try:
+        got = [r.n for r in df.select("doc_id", q._repeated_words(q.words(F.col("text"))).alias("n")).orderBy("doc_id").collect()]
+    finally:
+        q._PLACE_BITS = bits
+    assert got == [base(t)[4] for t in texts]
+
+
+def test_sql_says_the_same(spark, odd, small):
+    import duckdb
+    import pandas as pd
+
+    from tessera.llm.queries import OP9_SQL
+
+    columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
+    for df in (odd, spark.read.parquet(f"{small}/documents.parquet")):
+        con = duckdb.connect()
+        con.register("raw", pd.DataFrame([(r.doc_id, r.text) for r in df.collect()], columns=["doc_id", "text"], dtype=object))
+        con.execute("CREATE VIEW documents AS SELECT doc_id::BIGINT AS doc_id, text::VARCHAR AS text FROM raw")
+        assert sorted(con.execute(OP9_SQL).fetchall(), key=str) == sorted((tuple(r) for r in quality(df).select(*columns).collect()), key=str)

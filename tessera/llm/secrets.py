@@ -99,18 +99,18 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
         hinted = hinted | F.rlike("__text", F.lit(r.hint))
     texts = docs.select(F.col(path).alias("__path"), text_or_empty(text).alias("__text"))
     blob = F.sha2("__text", 256).alias("__blob")
-    blobs = texts.select("__path", blob, hinted.alias("__hinted")).groupBy("__blob").agg(F.min("__path").alias("__first"), F.max("__hinted").alias("__hinted"))
+    blobs = texts.select("__path", blob).groupBy("__blob").agg(F.min("__path").alias("__first"))
     wanted, none = F.array(*map(_rule, rules)), F.array().cast("array<struct<kind:string,version:int>>")
     if ledger is not None:
         done = ledger.select(F.col("blob").alias("__blob"), F.struct("kind", "version").alias("__rule")).groupBy("__blob").agg(F.collect_set("__rule").alias("__done"))
         blobs = blobs.join(done, "__blob", "left").withColumn("__wanted", F.array_except(wanted, F.coalesce("__done", none)))
     else:
         blobs = blobs.withColumn("__wanted", wanted)
-    todo = written(blobs.filter(F.size("__wanted") > 0).select(F.col("__blob").alias("__b"), "__first", "__hinted", "__wanted"), "due-blobs")
-    due = texts.filter(hinted).select("__path", "__text", blob).join(todo.filter("__hinted"), (F.col("__blob") == F.col("__b")) & F.col("__path").eqNullSafe(F.col("__first")))
+    todo = written(blobs.filter(F.size("__wanted") > 0).select(F.col("__blob").alias("__b"), "__first", "__wanted"), "due-blobs")
+    due = texts.filter(hinted).select("__path", "__text", blob).join(todo, (F.col("__blob") == F.col("__b")) & F.col("__path").eqNullSafe(F.col("__first")))
     results = [F.when(F.array_contains("__wanted", _rule(r)), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), _spans(F.col("__text"), r).alias("spans"))) for r in rules]
-    scanned = due.select("__blob", F.inline(F.filter(F.array(*results), lambda x: x.isNotNull())))
-    clear = todo.filter(~F.col("__hinted")).select(F.col("__b").alias("__blob"), F.inline("__wanted")).withColumn("spans", F.array().cast("array<struct<start:long,end:long>>"))
+    scanned = written(due.select("__blob", F.inline(F.filter(F.array(*results), lambda x: x.isNotNull()))), "scanned")
+    clear = todo.join(scanned.select(F.col("__blob").alias("__b")), "__b", "left_anti").select(F.col("__b").alias("__blob"), F.inline("__wanted")).withColumn("spans", F.array().cast("array<struct<start:long,end:long>>"))
     return scanned.unionByName(clear).select(F.col("__blob").alias("blob"), "kind", F.col("version").cast("int").alias("version"), "spans")
 
 

@@ -27,7 +27,7 @@ def build(store: st.Store, repo_id: int, snapshot: str, files: DataFrame, regist
     current = st.blobs_current(store, text.select("blob_sha", "language").distinct(), serials).filter("up_to_date").select("blob_sha")
     present = store.chunks.select("blob_sha", "file_path").distinct()
     due = text.join(text.join(current, "blob_sha", "left_semi").join(present, ["blob_sha", "file_path"], "left_semi").select("blob_sha", "file_path"), ["blob_sha", "file_path"], "left_anti")
-    chunks = st.upsert_chunks(store.chunks, extract_symbols(due, registry.serials()).select(*store.chunks.columns))
+    chunks = st.upsert_chunks(store.chunks, extract_symbols(due, registry.serials(), registry.languages).select(*store.chunks.columns))
     rows = text.select(F.lit(repo_id).cast("int").alias("repo_id"), F.lit(snapshot).alias("snapshot_sha"), "file_path", "blob_sha", F.col("language").alias("detected_language"))
     staged = store.but(chunks=chunks, file_snapshots=st.replace_snapshot(store.file_snapshots, repo_id, snapshot, rows))
     seen = st.at_snapshots(staged, repo_id=repo_id, snapshot=snapshot)

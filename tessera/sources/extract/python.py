@@ -8,10 +8,17 @@ import re
 from tessera.sources.extract.base import Chunk, chunk, fold_comments, promoted
 
 
-def extract(path: str, text: str) -> list[Chunk]:
+def parsed(text: str) -> ast.Module | None:
+    """The syntax tree; None where the parser gives up, by its own stack (which it reports as a lack of memory) or ours too."""
     try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+        return ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
+def extract(path: str, text: str) -> list[Chunk]:
+    tree = parsed(text)
+    if tree is None:
         return []
     lines = text.split("\n")
     out: list[Chunk] = []
@@ -61,9 +68,8 @@ def extract(path: str, text: str) -> list[Chunk]:
 
 def doc_spans(text: str) -> list[tuple[str, int, int]]:
     """(symbol, first line, last line) of docstrings, and of comment blocks right above a symbol without one."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    tree = parsed(text)
+    if tree is None:
         return []
     lines, out = text.split("\n"), []
     for node in ast.walk(tree):

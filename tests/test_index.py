@@ -7,7 +7,7 @@ from tessera.plans import build, search, tables
 from tessera.schema import META
 from tessera.sources.extract import EXTRACTORS, extract_file
 from tessera.sources.extract.python import doc_spans
-from tessera.sources.languages import Language, Registry
+from tessera.sources.languages import Embedded, Language, Registry, Symbols
 
 BASE = {"a.py": "import b\nfrom pkg.c import helper\n\ndef f():\n    return 1\n\nclass K:\n    def m(self):\n        return 2\n", "b.py": "X = 1\ndef g():\n    return f\n", "pkg/c.py": "def helper():\n    pass\n", "README.md": "# Top\nsee [f](a.py#f)\n## Sub\ntext\n"}
 HEAD = BASE | {"a.py": BASE["a.py"].replace("return 1", "return 3").replace("def m", "def n"), "d.py": "def new():\n    pass\n"}
@@ -229,3 +229,42 @@ def test_any_text_is_extracted(language, text):
 def test_doc_spans():
     text = "# about f\n# more\ndef f():\n    pass\n\nclass A:\n    '''Doc\n    of A.'''\n    def m(self):\n        pass\n"
     assert doc_spans(text) == [("f", 1, 2), ("A", 7, 8)]
+
+
+def test_registered_extractors_patterns_and_hooks_are_called(spark, tmp_path):
+    r = Registry()
+    r.register(Language("ini", (".ini",), symbols=(Symbols("config_key", r"^(?P<name>\w+)\s*=.*$", one_line=True), Symbols("class", r"^\[(?P<name>\w+)\]$"), Symbols("import", r"^include (?P<name>(?P<module>\S+))$", one_line=True)), import_hook=lambda c, text: {"names": "all"}))
+    r.register(Language("shout", (".shout",), extractor=lambda path, text: [{"kind": "function", "name": w, "line_start": 1, "line_end": 1, "content": w} for w in text.split()], name_hook=lambda c, text: None if c["name"] == "no" else c["name"].upper(), scope_hook=lambda c, text: str(len(text.split()))))
+    r.register(Language("broken", (".broken",), extractor=lambda path, text: 1 / 0))
+    r.register(Language("page", (".page",), embedded=(Embedded(r"<<(?P<language>\w+)\n(?P<code>[\s\S]*?)>>", priority=2), Embedded(r"<<(?P<code>[\s\S]*?)>>", "ini", 1))))
+    given = {"a.ini": "[A]\nx = 1\n\ny=2\ninclude b.ini\n", "b.shout": "yes no maybe", "c.broken": "some text\n", "d.page": "text\n<<shout\nhello\n>>\n<<z = 3>>\n", "e.py": "(" * 5000}
+    s = build.build(tables.empty(spark), 1, "head", files(spark, given), r)
+    got = {(x.file_path, x.kind, x.name, x.scope, x.language, x.line_start, x.line_end) for x in s.chunks.collect()}
+    assert {("a.ini", "class", "A", "", "ini", 1, 1), ("a.ini", "config_key", "x", "", "ini", 2, 2), ("a.ini", "config_key", "y", "", "ini", 4, 4), ("a.ini", "import", "b.ini", "", "ini", 5, 5)} <= got
+    assert {g[2:4] for g in got if g[0] == "b.shout"} == {("YES", "3"), ("MAYBE", "3")}
+    assert ("c.broken", "raw_chunk", "c.broken:1-2", "", "broken", 1, 2) in got and ("e.py", "raw_chunk", "e.py:1-1", "", "python", 1, 1) in got
+    assert {(g[1], g[2], g[4], g[5]) for g in got if g[0] == "d.page"} == {("raw_chunk", "d.page:1-6", "page", 1), ("function", "HELLO", "shout", 3), ("config_key", "z", "ini", 5)}
+    imports = s.chunks.filter("kind = 'import'").first()
+    assert imports.metadata.module == "b.ini" and imports.metadata.names == "all"
+
+
+def test_discovery_skips_what_cannot_be_loaded(monkeypatch):
+    from importlib.metadata import EntryPoint
+
+    from tessera.sources import languages
+
+    points = [EntryPoint("good", "fake_languages:GOOD", languages.GROUP), EntryPoint("made", "fake_languages:make", languages.GROUP), EntryPoint("bad", "fake_languages:missing", languages.GROUP)]
+    module = type(languages)("fake_languages")
+    module.GOOD, module.make = Language("good", (".good",)), lambda: Language("made", (".made",))
+    monkeypatch.setitem(__import__("sys").modules, "fake_languages", module)
+    monkeypatch.setattr(languages, "entry_points", lambda group: points)
+    r = Registry()
+    assert r.discover() == ["good", "made"] and "made" in r.languages
+    with pytest.raises(ValueError):
+        r.discover()
+
+
+def test_parser_that_runs_out_of_stack():
+    deep = "x = " + "(" * 3000 + ")" * 3000
+    assert [c["kind"] for c in extract_file("f.py", deep, "python")] == ["raw_chunk"]
+    assert doc_spans(deep) == []

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.paths import chunk_id
 from tessera.functions.text import tokenise_code
+from tessera.operators.retrieval import with_postings, write_postings
 from tessera.operators.store import Store
 from tessera.schema import CHUNK_KINDS
 from tessera.session import scratch_path, spread
@@ -83,9 +84,11 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
         tables = {}
         for f in fields(Store):
             df = getattr(made, f.name)
-            df.write.parquet(f"{root}/{f.name}")
-            tables[f.name] = spark.read.schema(df.schema).parquet(f"{root}/{f.name}")
-        _written[key] = Store(**tables)
+            if df is not None:
+                df.write.parquet(f"{root}/{f.name}")
+                tables[f.name] = spark.read.schema(df.schema).parquet(f"{root}/{f.name}")
+        write_postings(tables["chunks"], root)
+        _written[key] = with_postings(Store(**tables), root)
     return _written[key]
 
 

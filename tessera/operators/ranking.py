@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
@@ -30,8 +30,7 @@ def scaled(df: DataFrame, columns: list[str], over: list[str] | None = None) ->
     """
     ends = [e for c in columns for e in (F.min(c).alias(f"__min_{c}"), F.max(c).alias(f"__max_{c}"))]
     if over:
-        w = Window.partitionBy(*over)
-        out = df.withColumns({f"__min_{c}": F.min(c).over(w) for c in columns} | {f"__max_{c}": F.max(c).over(w) for c in columns})
+        out = df.join(df.groupBy(*over).agg(*ends), over)  # partial extremes come before the shuffle, so a common key costs no more
     else:
         out = df.crossJoin(F.broadcast(df.agg(*ends)))  # one row
     low, span = (lambda c: F.col(f"__min_{c}")), (lambda c: F.col(f"__max_{c}") - F.col(f"__min_{c}"))
@@ -69,9 +68,15 @@ def signals(candidates: DataFrame, query: str, degree: DataFrame | None = None)
     return out.join(degree.select("id", "degree"), "id", "left").withColumn("importance", tx.importance(F.coalesce("degree", F.lit(0)))).drop("degree")
 
 
-def fuse(candidates: DataFrame, weights: tuple[float, float, float], over: list[str] | None = None) -> DataFrame:
-    """Adds ``score``: the weighted sum of the min-max scaled signals, times the multipliers that are there."""
-    alpha, beta, gamma = map(float, weights)
+def weight_columns(kind: Column, has_semantic: Column, override: tuple[float, float, float] | None = None) -> tuple[Column, Column, Column]:
+    """``weights_for`` as columns, where the class of the query and whether there is a semantic signal are columns."""
+    pick = lambda i, has: F.coalesce(*[F.when(kind == k, F.lit(float(weights_for(k, has, override)[i]))) for k in WEIGHTS])
+    return tuple(F.when(has_semantic, pick(i, True)).otherwise(pick(i, False)) for i in range(3))
+
+
+def fuse(candidates: DataFrame, weights: tuple[float | Column, ...], over: list[str] | None = None) -> DataFrame:
+    """Adds ``score``: the weighted sum of the min-max scaled signals, times the multipliers that are there. Weights are numbers or columns of ``candidates``."""
+    alpha, beta, gamma = (w if isinstance(w, Column) else F.lit(float(w)) for w in weights)
     total = alpha * F.col("scaled_semantic") + beta * F.col("scaled_lexical") + gamma * F.col("scaled_name_score")
     for factor in ("kind_boost", "file_penalty", "importance", "proximity"):
         if factor in candidates.columns:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenise_code
@@ -25,14 +25,42 @@ def build_postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tokens_of(chunks).select("term", "id", "tf", "dl"), lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def write_postings(chunks: DataFrame, path: str, buckets: int = 64) -> None:
-    """Postings by bucket of term, so that a query reads only the buckets of its terms."""
+#: Buckets of terms that written postings are partitioned by.
+BUCKETS = 64
+
+
+def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_postings(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Postings by bucket of term, so that a query reads only the buckets of its terms. A very common term's bucket is cut by chunk, so that no task writes all of it."""
     postings, stats = build_postings(chunks)
-    bucketed = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    bucketed.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    bucketed = postings.withColumn("bucket", bucket_of(F.col("term"), buckets))
+    spread = bucketed.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term")
+    spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
+def with_postings(store: Store, path: str) -> Store:
+    """The store with the full-text index that is written under ``path``, in ``BUCKETS`` buckets."""
+    spark = store.chunks.sparkSession
+    postings = spark.read.schema("term string, id string, tf bigint, dl int, bucket int").parquet(f"{path}/postings")
+    return store.but(chunks=store.chunks, postings=postings, posting_stats=spark.read.schema("n bigint, avgdl double").parquet(f"{path}/stats"))
+
+
+def postings_for(store: Store, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) of the store: those written, of which only the buckets of ``terms`` are read; where none are, they are built from the chunks."""
+    if store.postings is None:
+        postings, stats = build_postings(store.chunks)
+        return (postings if terms is None else postings.filter(F.col("term").isin(terms))), stats
+    if terms is None:
+        return store.postings, store.posting_stats
+    spark = store.chunks.sparkSession
+    buckets = spark.createDataFrame([(t,) for t in terms], "term string").select(bucket_of(F.col("term"))).distinct().collect() if terms else []  # a request's words
+    return store.postings.filter(F.col("bucket").isin([r[0] for r in buckets]) & F.col("term").isin(terms)), store.posting_stats
+
+
 def bm25(postings: DataFrame, stats: DataFrame, query: str | DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(id, score), or with many queries (query, id, score): BM25 with every term's IDF held at 1.
 
@@ -50,8 +78,9 @@ def bm25(postings: DataFrame, stats: DataFrame, query: str | DataFrame, k1: floa
 
 def lexical(store: Store, refs: DataFrame, query: str, k: int) -> DataFrame:
     """The ``k`` best chunks by BM25 among those visible at ``refs``; ties go to the smaller id and repository."""
-    postings, stats = build_postings(store.chunks)
-    seen = at_snapshots(store, refs, once=True)
+    row = store.chunks.sparkSession.range(1).select(F.split(tokenise_code(F.lit(query)), " ").alias("t")).first()
+    postings, stats = postings_for(store, [t for t in row.t if t])
+    seen = at_snapshots(store, refs, once=True).select("id", "repo_id")
     return bm25(postings, stats, query).join(seen, "id").orderBy(F.desc("score"), "id", "repo_id").limit(k).withColumnRenamed("score", "lexical")
 
 

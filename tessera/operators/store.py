@@ -26,8 +26,14 @@ class Store:
     repos: DataFrame
     indexed_snapshots: DataFrame
     watched_refs: DataFrame
+    #: The full-text index over ``chunks``, where one has been written: (term, id, tf, dl, bucket) and one row of statistics.
+    postings: DataFrame | None = None
+    posting_stats: DataFrame | None = None
 
     def but(self, **tables: DataFrame) -> Store:
+        """The store with other tables; postings don't outlive the chunks that they were built from."""
+        if "chunks" in tables and "postings" not in tables:
+            tables |= {"postings": None, "posting_stats": None}
         return replace(self, **tables)
 
 
@@ -150,15 +156,17 @@ def resolve_refs(wanted: DataFrame, refs: DataFrame) -> DataFrame:
 def upsert_chunks(chunks: DataFrame, staged: DataFrame) -> DataFrame:
     """Staged chunks replace stored ones of the same id, but a vector that is stored stays. Repeats of an id within the batch count once."""
     columns = chunks.columns
+    ids = staged.select("id").distinct()
+    untouched = chunks.join(ids, "id", "left_anti").select(*columns)  # a small batch is broadcast here, and the store isn't shuffled
     new = staged.select("*", F.lit(0).alias("__age"))
-    old = chunks.select("*", F.lit(1).alias("__age"))
+    old = chunks.join(ids, "id", "left_semi").select("*", F.lit(1).alias("__age"))
     both = new.unionByName(old, allowMissingColumns=True)
     w = Window.partitionBy("id")
     ranked = both.withColumn("__n", F.row_number().over(w.orderBy("__age", *[F.col(c) for c in ("file_path", "line_start") if c in both.columns])))
     kept = ranked.withColumn("embedding", F.max(F.struct((F.col("__age") == 1).alias("o"), F.col("embedding"))).over(w)["embedding"])
     if "embedding_truncated" in both.columns:
         kept = kept.withColumn("embedding_truncated", F.coalesce(F.max(F.when(F.col("__age") == 1, F.col("embedding_truncated"))).over(w), F.lit(False)))
-    return kept.filter("__n = 1").select(*columns)
+    return untouched.unionByName(kept.filter("__n = 1").select(*columns))
 
 
 def replace_rows(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -235,7 +243,7 @@ def sweep_incomplete(store: Store) -> Store:
 def forget_repo(store: Store, repo_id: int) -> Store:
     """Everything of a repository but its chunks, which others may share."""
     gone = lambda table: delete_where(table, F.col("repo_id") == repo_id)
-    return Store(store.chunks, gone(store.file_snapshots), gone(store.edges), delete_where(store.repos, F.col("id") == repo_id), gone(store.indexed_snapshots), gone(store.watched_refs))
+    return store.but(file_snapshots=gone(store.file_snapshots), edges=gone(store.edges), repos=delete_where(store.repos, F.col("id") == repo_id), indexed_snapshots=gone(store.indexed_snapshots), watched_refs=gone(store.watched_refs))
 
 
 def orphan_repo_ids(store: Store) -> DataFrame:

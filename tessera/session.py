@@ -31,15 +31,24 @@ def session(master: str | None = None, **more: str) -> SparkSession:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a temporary folder only where that is unset."""
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Where that is unset a temporary folder serves a local master; on a cluster it is an error, since executors would write to disks of their own."""
     global _own_folder
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         _own_folder = _own_folder or "file://" + tempfile.mkdtemp(prefix="tessera-")
         root = _own_folder
     return f"{root.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: its plan runs once, and its size is known from here on."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its source has fewer partitions than those, as one small file has; larger inputs stay as they are, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -268,3 +268,30 @@ def test_parser_that_runs_out_of_stack():
     deep = "x = " + "(" * 3000 + ")" * 3000
     assert [c["kind"] for c in extract_file("f.py", deep, "python")] == ["raw_chunk"]
     assert doc_spans(deep) == []
+
+
+def test_search_reads_the_written_postings(spark, built):
+    """The index on disk gives what postings built on the spot give, and only the buckets of the words are read."""
+    refs = st.latest_snapshots(built)
+    assert built.postings is not None and built.but(chunks=built.chunks).postings is None
+    for text in ("helper", "return new", "nothing of the kind", ""):
+        a = [tuple(r) for r in retrieval.lexical(built, refs, text, 5).select("id", "lexical").collect()]
+        assert a == [tuple(r) for r in retrieval.lexical(built.but(chunks=built.chunks), refs, text, 5).select("id", "lexical").collect()]
+    plan = retrieval.postings_for(built, ["helper"])[0]._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+
+
+def test_commit_of_changed_tables_keeps_the_others(spark, built, tmp_path):
+    root = f"file://{tmp_path}/store"
+    tables.commit(built, root)
+    more = built.but(watched_refs=spark.createDataFrame([(1, "main")], "repo_id int, ref string"))
+    version = tables.commit(more, root, changed=("watched_refs",))
+    assert [p.name for p in sorted((tmp_path / "store" / version).iterdir())] == ["manifest", "watched_refs"]
+    again = tables.load(spark, root)
+    assert again.watched_refs.count() == 1 and again.chunks.count() == built.chunks.count() and again.postings.count() == built.postings.count()
+
+
+def test_weights_as_columns(spark):
+    df = spark.createDataFrame([(k, h) for k in ranking.WEIGHTS for h in (True, False)], "k string, h boolean")
+    for r in df.select("k", "h", *[w.alias(f"w{i}") for i, w in enumerate(ranking.weight_columns(F.col("k"), F.col("h")))]).collect():
+        assert [r.w0, r.w1, r.w2] == pytest.approx(list(ranking.weights_for(r.k, r.h)))

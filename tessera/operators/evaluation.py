@@ -107,7 +107,7 @@ def grid_scores(candidates: DataFrame, grid: DataFrame, keys: list[str], second:
     span = F.max(second).over(w) - F.min(second).over(w)
     scaled = F.when(span == 0, 0.0).otherwise((F.col(second) - F.min(second).over(w)) / span)
     blended = pooled.withColumn("blended", F.col("blend") * F.col(first) + (1 - F.col("blend")) * scaled)
-    return blended.withColumn("rank", F.row_number().over(w.orderBy(F.desc("blended"), "id")))
+    return blended.withColumn("rank", F.row_number().over(w.orderBy(F.desc("blended"), "id", *[c for c in ("repo_id",) if c in candidates.columns])))
 
 
 def cheapest_within(results: DataFrame, scope: list[str], tolerance: float, cost: str = "pool", value: str = "mrr") -> DataFrame:

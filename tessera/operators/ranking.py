@@ -60,9 +60,9 @@ def proximity(candidates: DataFrame, edges: DataFrame, paths: DataFrame, changed
     return out.withColumn("proximity", value).select(*candidates.columns, "proximity")
 
 
-def signals(candidates: DataFrame, query: str, degree: DataFrame | None = None) -> DataFrame:
+def signals(candidates: DataFrame, query: str | Column, degree: DataFrame | None = None) -> DataFrame:
     """Adds name, kind_boost, file_penalty and importance to candidates with semantic and lexical scores."""
-    out = candidates.withColumns({"name_score": tx.name_score(F.lit(query), F.col("name")), "kind_boost": tx.kind_boost(F.col("kind")), "file_penalty": tx.file_penalty(F.col("file_path"))})
+    out = candidates.withColumns({"name_score": tx.name_score(query if isinstance(query, Column) else F.lit(query), F.col("name")), "kind_boost": tx.kind_boost(F.col("kind")), "file_penalty": tx.file_penalty(F.col("file_path"))})
     if degree is None:
         return out.withColumn("importance", F.lit(1.0))
     return out.join(degree.select("id", "degree"), "id", "left").withColumn("importance", tx.importance(F.coalesce("degree", F.lit(0)))).drop("degree")

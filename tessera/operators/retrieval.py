@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenise_code
@@ -49,39 +49,50 @@ def with_postings(store: Store, path: str) -> Store:
     return store.but(chunks=store.chunks, postings=postings, posting_stats=spark.read.schema("n bigint, avgdl double").parquet(f"{path}/stats"))
 
 
-def postings_for(store: Store, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(postings, statistics) of the store: those written, of which only the buckets of ``terms`` are read; where none are, they are built from the chunks."""
-    if store.postings is None:
-        postings, stats = build_postings(store.chunks)
-        return (postings if terms is None else postings.filter(F.col("term").isin(terms))), stats
-    if terms is None:
-        return store.postings, store.posting_stats
-    spark = store.chunks.sparkSession
-    buckets = spark.createDataFrame([(t,) for t in terms], "term string").select(bucket_of(F.col("term"))).distinct().collect() if terms else []  # a request's words
-    return store.postings.filter(F.col("bucket").isin([r[0] for r in buckets]) & F.col("term").isin(terms)), store.posting_stats
+def words_of(spark: SparkSession, text: str) -> tuple[list[str], list[int]]:
+    """The terms of a request's text and their buckets."""
+    terms = F.filter(F.split(tokenise_code(F.lit(text)), " "), lambda t: t != "")
+    row = spark.range(1).select(terms.alias("t")).select("t", F.transform("t", lambda t: bucket_of(t)).alias("b")).first()
+    return list(row.t), sorted(set(row.b))
+
+
+def postings_for(store: Store, terms: list[str] | None = None, buckets: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) of the store, all or those of ``terms``. Written ones are read by ``buckets``, if these are given; where none are written, they are built from the chunks."""
+    postings, stats = build_postings(store.chunks) if store.postings is None else (store.postings, store.posting_stats)
+    if terms is not None:
+        postings = postings.filter(F.col("term").isin(terms))
+        if buckets is not None and store.postings is not None:
+            postings = postings.filter(F.col("bucket").isin(buckets))
+    return postings, stats
 
 
-def bm25(postings: DataFrame, stats: DataFrame, query: str | DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(postings: DataFrame, stats: DataFrame, query: str | DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(id, score), or with many queries (query, id, score): BM25 with every term's IDF held at 1.
 
     ``query`` is a text, or a DataFrame (query, text) of a request's queries. A constant IDF
-    cancels when scores are normalised within a query.
+    cancels when scores are normalised within a query. Without a query all of ``postings`` count,
+    which are then those of its terms.
     """
     spark = postings.sparkSession
+    if query is None:
+        return postings.crossJoin(F.broadcast(stats)).groupBy("id").agg(F.sum(_part(k1, b)).alias("score"))
     queries = spark.createDataFrame([(0, query)], "query bigint, text string") if isinstance(query, str) else query.select("query", "text")
     terms = queries.select("query", F.explode(F.split(tokenise_code(F.col("text")), " ")).alias("term")).filter("term <> ''").distinct()
     hits = postings.join(terms, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    out = hits.groupBy("query", "id").agg(F.sum(part).alias("score"))
+    out = hits.groupBy("query", "id").agg(F.sum(_part(k1, b)).alias("score"))
     return out.drop("query") if isinstance(query, str) else out
 
 
+def _part(k1: float, b: float) -> Column:
+    """What a posting adds to a chunk's score."""
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+
+
 def lexical(store: Store, refs: DataFrame, query: str, k: int) -> DataFrame:
     """The ``k`` best chunks by BM25 among those visible at ``refs``; ties go to the smaller id and repository."""
-    row = store.chunks.sparkSession.range(1).select(F.split(tokenise_code(F.lit(query)), " ").alias("t")).first()
-    postings, stats = postings_for(store, [t for t in row.t if t])
+    postings, stats = postings_for(store, *words_of(store.chunks.sparkSession, query))
     seen = at_snapshots(store, refs, once=True).select("id", "repo_id")
-    return bm25(postings, stats, query).join(seen, "id").orderBy(F.desc("score"), "id", "repo_id").limit(k).withColumnRenamed("score", "lexical")
+    return bm25(postings, stats).join(seen, "id").orderBy(F.desc("score"), "id", "repo_id").limit(k).withColumnRenamed("score", "lexical")
 
 
 def semantic(store: Store, refs: DataFrame, queries: list[list[float]], k: int) -> DataFrame:

@@ -277,7 +277,7 @@ def test_search_reads_the_written_postings(spark, built):
     for text in ("helper", "return new", "nothing of the kind", ""):
         a = [tuple(r) for r in retrieval.lexical(built, refs, text, 5).select("id", "lexical").collect()]
         assert a == [tuple(r) for r in retrieval.lexical(built.but(chunks=built.chunks), refs, text, 5).select("id", "lexical").collect()]
-    plan = retrieval.postings_for(built, ["helper"])[0]._jdf.queryExecution().toString()
+    plan = retrieval.postings_for(built, *retrieval.words_of(spark, "helper"))[0]._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
 
 

@@ -33,8 +33,7 @@ def s3(spark, d):
 @query("s4_read_blob", "SELECT blob_sha, content FROM c1 WHERE snapshot_sha = 'head' AND doc_id = 12", True)
 def s4(spark, d):
     s = store(spark, d)
-    at = s.file_snapshots.filter("snapshot_sha = 'head'").filter(F.col("file_path").rlike(r"/m12\.py$"))
-    return s.chunks.join(at.select("file_path", "blob_sha"), ["file_path", "blob_sha"], "left_semi").select("blob_sha", "content")
+    return st.read_blob(s, "head", s.file_snapshots.filter(F.col("file_path").rlike(r"/m12\.py$")))
 
 
 @query("s5_get_chunks", f"SELECT {ROW} FROM {SEEN} WHERE {AT}", True)
@@ -77,13 +76,12 @@ def s9_language(spark, d):
 
 @query("s10_has_indexed", "SELECT r.id, count(*) FILTER (i.snapshot_sha = 'head') > 0 AS has_head, count(i.snapshot_sha) > 0 AS has_any FROM repos r LEFT JOIN indexed_snapshots i ON r.id = i.repo_id GROUP BY r.id", True)
 def s10(spark, d):
-    s = store(spark, d)
-    return s.repos.join(s.indexed_snapshots, F.col("id") == F.col("repo_id"), "left").groupBy("id").agg((F.count_if(F.col("snapshot_sha") == "head") > 0).alias("has_head"), (F.count("snapshot_sha") > 0).alias("has_any"))
+    return st.indexed_flags(store(spark, d), "head").withColumnRenamed("has", "has_head")
 
 
 @query("s13_all_content", "SELECT file_path, name, line_start, content FROM chunks", True)
 def s13(spark, d):
-    return store(spark, d).chunks.select("file_path", "name", "line_start", "content")
+    return st.all_content(store(spark, d))
 
 
 @query("s18_chunk_paths", "SELECT id, file_path FROM chunks WHERE id IN (SELECT id FROM chunks WHERE file_path LIKE 'docs/%')", True)

@@ -12,14 +12,37 @@ from tessera.operators import evaluation as ev
 from tessera.operators import graph, retrieval
 from tessera.operators import store as st
 from tessera.plans import build as plan
+from tessera.schema import CHUNK_KINDS
 from tessera.session import scratch_path
 from tessera.sources.languages import Registry
 
 
 @query("s11_meta_lookup", "SELECT key, value FROM (VALUES ('schema_version', '2024.6.1'), ('embedding_model', 'm')) v(key, value)")
 def s11(spark, d):
-    meta = spark.createDataFrame([("schema_version", "2024.6.1"), ("embedding_model", "m"), ("other", "x")], "key string, value string")
-    return meta.filter(F.col("key").isin("schema_version", "embedding_model"))
+    """A value that is set again replaces the one before."""
+    s = st.set_meta(store(spark, d), schema_version="2023.1.0", embedding_model="m", other="x")
+    return st.get_meta(st.set_meta(s, schema_version="2024.6.1"), "schema_version", "embedding_model", "absent")
+
+
+_REFS = "refs(repo_id, name, sha) AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'main' ELSE 'origin/main' END, CASE WHEN id % 3 = 0 THEN 'base' ELSE 'head' END FROM repos WHERE id % 5 <> 0)"
+
+
+@query("q7_status", f"WITH {_REFS}, n AS (SELECT fs.repo_id, fs.snapshot_sha, count(*) AS total, count(*) FILTER (c.has_embedding) AS embedded FROM {SEEN} GROUP BY 1, 2) SELECT w.repo_id, w.ref, r.sha, i.repo_id IS NOT NULL AS indexed, CASE WHEN i.repo_id IS NULL THEN 0 ELSE coalesce(n.total, 0) END::BIGINT AS total, CASE WHEN i.repo_id IS NULL THEN 0 ELSE coalesce(n.embedded, 0) END::BIGINT AS embedded FROM watched_refs w LEFT JOIN refs r ON r.repo_id = w.repo_id AND r.name IN (w.ref, 'origin/' || w.ref) LEFT JOIN indexed_snapshots i ON i.repo_id = w.repo_id AND i.snapshot_sha = r.sha LEFT JOIN n ON n.repo_id = w.repo_id AND n.snapshot_sha = r.sha", True)
+def q7(spark, d):
+    """Every watched ref with the snapshot that it resolves to, by its own name or at origin, and that snapshot's counts."""
+    s = store(spark, d)
+    known = s.repos.filter("id % 5 <> 0").select(F.col("id").alias("repo_id"), F.when(F.col("id") % 4 == 0, "main").otherwise("origin/main").alias("name"), F.when(F.col("id") % 3 == 0, "base").otherwise("head").alias("sha"))
+    return st.watched_status(s, known)
+
+
+@query("q17_profile", "SELECT language, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in CHUNK_KINDS) + ", count(*) AS total FROM chunks GROUP BY 1", True)
+def q17(spark, d):
+    return plan.profile(store(spark, d))[0]
+
+
+@query("q17_profile_percent", "SELECT language, " + ", ".join(f"round(100.0 * count(*) FILTER (kind = '{k}') / count(*), 1)::DOUBLE AS {k}" for k in CHUNK_KINDS) + " FROM chunks GROUP BY 1", True)
+def q17_percent(spark, d):
+    return plan.profile(store(spark, d))[1]
 
 
 @query("p1_presence_flag", f"SELECT c.has_embedding, count(*) AS n FROM {SEEN} WHERE {AT} GROUP BY 1", True)
@@ -200,3 +223,22 @@ def q8(spark, d):
     files = documents(spark, d).select("file_path", F.col("text").alias("content"))
     made = plan.build(tables.empty(spark), 1, "head", files)
     return made.chunks.groupBy("language", "kind").agg(F.count("*").alias("n"))
+
+
+_TEXT_FILES = "f0 AS (SELECT 'notes/' || doc_id || '.txt' AS file_path, text AS content, md5(text) AS blob_sha FROM documents WHERE text IS NOT NULL), l0 AS (SELECT *, string_split(content, chr(10)) AS l FROM f0), s0 AS (SELECT *, unnest(range(0, len(l), 45)) AS s FROM l0), w0 AS (SELECT file_path, blob_sha, s, least(s + 50, len(l)) AS e, array_to_string(l[s + 1:s + 50], chr(10)) AS body FROM s0)"
+
+
+@query(
+    "q8_build_text",
+    f"WITH {_TEXT_FILES}, kept AS (SELECT *, file_path || ':' || (s + 1) || '-' || e AS name FROM w0 WHERE regexp_matches(body, '\S')) "
+    "SELECT substr(sha256(file_path || ':' || blob_sha || ':' || name || ':' || s), 1, 16) AS id, file_path, 'raw_chunk' AS kind, name, language, (s + 1)::INT AS line_start, e::INT AS line_end FROM kept, (SELECT '' AS language) "
+    "UNION ALL SELECT substr(sha256(file_path || ':' || blob_sha || ':' || file_path || ':host:0'), 1, 16), file_path, 'raw_chunk', file_path || ':host', '', 1, 1 FROM f0 WHERE file_path NOT IN (SELECT file_path FROM kept)",
+)
+def q8_text(spark, d):
+    """Every document as a file of plain text, built into an index: line windows with their ids, and a row for a file without any."""
+    from tessera.plans import tables
+
+    docs = table(spark, d, "documents").filter(F.col("text").isNotNull())
+    files = docs.select(F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), F.col("text").alias("content"))
+    made = plan.build(tables.empty(spark), 1, "head", files)
+    return made.chunks.select("id", "file_path", "kind", "name", "language", "line_start", "line_end")

@@ -10,7 +10,7 @@ from tessera.functions.paths import ignored
 from tessera.functions.text import first_sentence
 from tessera.operators import chunking
 from tessera.operators import store as st
-from tessera.sources.files import admitted
+from tessera.sources.files import MAX_FILE_BYTES, admitted
 from tessera.sources.languages import Registry, resolve_language
 from tessera.sources.symbols import extract_symbols
 
@@ -18,9 +18,9 @@ FILES = f"(SELECT doc_id, text, lang, source, {PATH} AS file_path FROM documents
 IGNORE = ["vendor/", "*.toml", "!c1*.toml", "/docs/fr/**"]
 
 
-@query("s1_list_files", f"SELECT file_path, md5(text) AS blob_sha FROM {FILES} WHERE strlen(text) <= 4000 AND NOT contains(file_path, 'vendor/') AND NOT (file_path LIKE '%.toml' AND NOT regexp_matches(file_path, '(^|/)c1[^/]*\\.toml$')) AND NOT file_path LIKE 'docs/fr/%'")
+@query("s1_admitted_files", f"SELECT file_path, md5(text) AS blob_sha FROM {FILES} WHERE strlen(text) <= {MAX_FILE_BYTES} AND NOT contains(file_path, 'vendor/') AND NOT (file_path LIKE '%.toml' AND NOT regexp_matches(file_path, '(^|/)c1[^/]*\\.toml$')) AND NOT file_path LIKE 'docs/fr/%'")
 def s1(spark, d):
-    files = documents(spark, d).select("file_path", F.col("text").cast("binary").alias("content")).filter(F.octet_length("content") <= 4000)
+    files = documents(spark, d).select("file_path", F.col("text").cast("binary").alias("content")).filter(F.octet_length("content") <= MAX_FILE_BYTES)
     return admitted(files, IGNORE).select("file_path", F.md5("content").alias("blob_sha"))
 
 

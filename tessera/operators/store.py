@@ -6,7 +6,7 @@ result is a chunk in a repository at a snapshot. Mutations return the new table.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +29,8 @@ class Store:
     #: The full-text index over ``chunks``, where one has been written: (term, id, tf, dl, bucket) and one row of statistics.
     postings: DataFrame | None = None
     posting_stats: DataFrame | None = None
+    #: (key, value): the version of the schema, the embedding model and its version.
+    meta: DataFrame | None = None
 
     def but(self, **tables: DataFrame) -> Store:
         """The store with other tables; postings don't outlive the chunks that they were built from."""
@@ -118,6 +120,48 @@ def snapshot_status(store: Store) -> DataFrame:
     return at_snapshots(store).groupBy(*SNAPSHOT_KEY).agg(F.count("*").alias("total"), F.count("embedding").alias("embedded"))
 
 
+def read_blob(store: Store, snapshot: str, paths: DataFrame, repo_id: int | None = None) -> DataFrame:
+    """Stored chunks (blob_sha, content) of the given paths at a snapshot, of one repository or all."""
+    at = store.file_snapshots.filter(F.col("snapshot_sha") == snapshot).join(paths.select("file_path").distinct(), "file_path", "left_semi")
+    at = at if repo_id is None else at.filter(F.col("repo_id") == repo_id)
+    return store.chunks.join(at.select("file_path", "blob_sha"), ["file_path", "blob_sha"], "left_semi").select("blob_sha", "content")
+
+
+def indexed_flags(store: Store, snapshot: str) -> DataFrame:
+    """(id, has, has_any) of every repository: whether ``snapshot``, and whether any, is indexed."""
+    per = store.indexed_snapshots.groupBy("repo_id").agg(F.max(F.col("snapshot_sha") == snapshot).alias("has"), F.lit(True).alias("has_any"))
+    out = store.repos.join(per, F.col("id") == F.col("repo_id"), "left")
+    return out.select("id", F.coalesce("has", F.lit(False)).alias("has"), F.coalesce("has_any", F.lit(False)).alias("has_any"))
+
+
+def all_content(store: Store) -> DataFrame:
+    return store.chunks.select("file_path", "name", "line_start", "content")
+
+
+def watched_status(store: Store, refs: DataFrame) -> DataFrame:
+    """(repo_id, ref, sha, indexed, total, embedded) of every watched ref.
+
+    ``refs`` holds (repo_id, name, sha). A ref is the one of that name, else that of the name at
+    origin, else a full sha as it stands; a ref that resolves to nothing has a null sha. Counts are
+    those of the snapshot, 0 where it isn't indexed.
+    """
+    names = refs.groupBy("repo_id", "name").agg(F.max("sha").alias("sha"))
+    exact = names.select("repo_id", F.col("name").alias("ref"), F.col("sha").alias("s1"))
+    remote = names.filter(F.startswith("name", F.lit("origin/"))).select("repo_id", F.substr("name", F.lit(8)).alias("ref"), F.col("sha").alias("s2"))
+    literal = F.when(F.rlike("ref", F.lit("^[0-9a-fA-F]{40}$")), F.col("ref"))
+    at = store.watched_refs.join(exact, ["repo_id", "ref"], "left").join(remote, ["repo_id", "ref"], "left").select("repo_id", "ref", F.coalesce("s1", "s2", literal).alias("sha"))
+    done = store.indexed_snapshots.select("repo_id", F.col("snapshot_sha").alias("sha"), F.lit(True).alias("indexed"))
+    counts = snapshot_status(store).withColumnRenamed("snapshot_sha", "sha")
+    out = at.join(done, ["repo_id", "sha"], "left").join(counts, ["repo_id", "sha"], "left")
+    zero = lambda c: F.when(F.col("indexed"), F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c)
+    return out.select("repo_id", "ref", "sha", F.coalesce("indexed", F.lit(False)).alias("indexed"), zero("total"), zero("embedded"))
+
+
+def get_meta(store: Store, *keys: str) -> DataFrame:
+    """(key, value) of those keys that are set."""
+    return store.meta.filter(F.col("key").isin(*keys))
+
+
 def blobs_current(store: Store, wanted: DataFrame, serials: DataFrame) -> DataFrame:
     """(blob_sha, up_to_date) of ``wanted`` (blob_sha, language).
 
@@ -169,6 +213,19 @@ def upsert_chunks(chunks: DataFrame, staged: DataFrame) -> DataFrame:
     return untouched.unionByName(kept.filter("__n = 1").select(*columns))
 
 
+def set_meta(store: Store, **values: str) -> Store:
+    """The keys take these values; others keep theirs."""
+    spark = store.chunks.sparkSession
+    rows = spark.createDataFrame(list(values.items()), "key string, value string")
+    return store.but(meta=rows if store.meta is None else replace_rows(store.meta, rows, ["key"]))
+
+
+def wipe(store: Store) -> Store:
+    """Every table without its rows; the settings go too."""
+    none = lambda df: None if df is None else df.limit(0)
+    return Store(*[none(getattr(store, f.name)) for f in fields(Store)])
+
+
 def replace_rows(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` take the place of rows with the same keys."""
     return table.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)

@@ -8,8 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import evaluation as ev
 from tessera.operators import store as st
 from tessera.operators.graph import infer_edges
+from tessera.plans import tables
+from tessera.schema import CHUNK_KINDS
+from tessera.session import written
 from tessera.sources.languages import Registry
 from tessera.sources.symbols import extract_symbols
 
@@ -112,6 +116,47 @@ def model_gate(store: st.Store, stored: tuple[str, str] | None, own: tuple[str,
     return store if stored == own else store.but(chunks=st.clear_embeddings(store.chunks))
 
 
+def opened(store: st.Store, schema: str, model: tuple[str, str]) -> st.Store:
+    """The store as a program of this ``schema`` version and embedding ``model`` (name, version) may use it.
+
+    An older or unmarked schema is wiped, a newer one is refused; vectors of another model go. The
+    settings are then those of the program.
+    """
+    held = {} if store.meta is None else {r.key: r.value for r in st.get_meta(store, "schema_version", "embedding_model", "embedding_version").collect()}  # three rows
+    verdict = version_gate(held.get("schema_version"), schema)
+    if verdict == "refuse":
+        raise ValueError(f"the index has schema {held['schema_version']}, which is newer than {schema}")
+    if verdict == "wipe":
+        store = st.wipe(store)
+    else:
+        store = model_gate(store, (held.get("embedding_model"), held.get("embedding_version")), model)
+    return st.set_meta(store, schema_version=schema, embedding_model=model[0], embedding_version=model[1])
+
+
+def embed_pages(spark, root: str, model: Callable[[list[str]], list[tuple[list[float], bool]]], page: int = 100_000) -> int:
+    """Embeds what has no vector yet in the store at ``root``, ``page`` chunks to a commit; the pages done now.
+
+    Chunks without a vector are the queue, so whatever ends the work, the next call goes on with
+    the page that wasn't committed.
+    """
+    pages = 0
+    while True:
+        store = tables.load(spark, root)
+        due = store.chunks.filter(F.col("embedding").isNull()).orderBy("id").limit(page)
+        if due.isEmpty():
+            return pages
+        done = embed(store.but(chunks=due.select(*store.chunks.columns)), model).chunks.select("id", "embedding", F.col("embedding_truncated").alias("truncated"))
+        tables.commit(store.but(chunks=st.update_embeddings(store.chunks, written(done, "vectors"))), root, changed=("chunks",))
+        pages += 1
+
+
+def profile(store: st.Store) -> tuple[DataFrame, DataFrame]:
+    """(chunks by language and kind with their total, the same as percentages of the language)."""
+    label = F.when(F.col("language") == "", "(plaintext)").otherwise(F.col("language"))
+    counts = ev.pivot(store.chunks.withColumn("language", label), "language", "kind", list(CHUNK_KINDS), F.count(F.lit(1)), total="total")
+    return counts, ev.row_percent(counts.drop("total"), list(CHUNK_KINDS))
+
+
 def pending_jobs(store: st.Store, desired: DataFrame) -> DataFrame:
     """(repo_id, snapshot_sha, job) for ``desired`` snapshots: builds of those not indexed, then embeds of those with chunks that lack vectors."""
     wanted = desired.select(*st.SNAPSHOT_KEY).distinct()

@@ -295,3 +295,73 @@ def test_weights_as_columns(spark):
     df = spark.createDataFrame([(k, h) for k in ranking.WEIGHTS for h in (True, False)], "k string, h boolean")
     for r in df.select("k", "h", *[w.alias(f"w{i}") for i, w in enumerate(ranking.weight_columns(F.col("k"), F.col("h")))]).collect():
         assert [r.w0, r.w1, r.w2] == pytest.approx(list(ranking.weights_for(r.k, r.h)))
+
+
+def test_settings_gate_and_wipe(spark, built):
+    own = ("model", "2")
+    marked = build.opened(built, "2024.1", own)
+    assert marked.chunks.count() == 0 and {(r.key, r.value) for r in marked.meta.collect()} == {("schema_version", "2024.1"), ("embedding_model", "model"), ("embedding_version", "2")}
+    full = st.set_meta(built, schema_version="2024.1", embedding_model="model", embedding_version="2")
+    same = build.opened(full, "2024.1", own)
+    assert same.chunks.filter("embedding is null").count() == 0 and same.chunks.count() == built.chunks.count()
+    assert build.opened(full, "2024.1", ("model", "3")).chunks.filter("embedding is not null").count() == 0
+    with pytest.raises(ValueError):
+        build.opened(full, "2023.9", own)
+    assert {r.value for r in st.get_meta(st.set_meta(full, schema_version="9"), "schema_version", "absent").collect()} == {"9"}
+
+
+def test_watched_refs_resolve_by_name_then_origin_then_sha(spark, built):
+    sha = "a" * 40
+    s = built.but(watched_refs=spark.createDataFrame([(1, "main"), (1, "dev"), (1, sha), (1, "gone"), (2, "main")], "repo_id int, ref string"))
+    refs = spark.createDataFrame([(1, "main", "head"), (1, "origin/main", "base"), (1, "origin/dev", "base"), (2, "main", "head")], "repo_id int, name string, sha string")
+    got = {(r.repo_id, r.ref): (r.sha, r.indexed, r.total > 0, r.total == r.embedded) for r in st.watched_status(s, refs).collect()}
+    assert got == {(1, "main"): ("head", True, True, True), (1, "dev"): ("base", True, True, True), (1, sha): (sha, False, False, True), (1, "gone"): (None, False, False, True), (2, "main"): ("head", False, False, True)}
+
+
+def test_embedding_resumes_after_a_crash(spark, built, tmp_path):
+    root, calls = f"file://{tmp_path}/store", tmp_path / "calls"
+    tables.commit(built.but(chunks=st.clear_embeddings(built.chunks)), root)
+    total = built.chunks.count()
+
+    def failing(texts):
+        seen = int(calls.read_text()) if calls.exists() else 0
+        calls.write_text(str(seen + len(texts)))
+        if seen >= 5:
+            raise RuntimeError("the model went away")
+        return build.hashed_vectors(texts)
+
+    with pytest.raises(Exception):  # noqa: B017  Spark wraps what the model raises
+        build.embed_pages(spark, root, failing, page=5)
+    left = tables.load(spark, root).chunks.filter("embedding is null").count()
+    assert left == total - 5
+    assert build.embed_pages(spark, root, build.hashed_vectors, page=5) == -(-left // 5)
+    done = tables.load(spark, root)
+    assert done.chunks.filter("embedding is null").count() == 0 and done.chunks.count() == total
+
+
+def test_profile_counts_kinds_by_language(spark, built):
+    counts, percent = build.profile(built)
+    rows = {r.language: r for r in counts.collect()}
+    assert rows["python"].total == built.chunks.filter("language = 'python'").count() and rows["markdown"].doc_section == built.chunks.filter("kind = 'doc_section'").count()
+    for r in percent.collect():
+        assert abs(sum(v for k, v in r.asDict().items() if k != "language") - 100) < 1
+
+
+def test_batch_search_agrees_with_single_searches(spark, built):
+    from tessera.plans import batch
+
+    refs = st.latest_snapshots(built)
+    texts = ["helper", "g", "return something of the kind", "K", "", "nothing\\here", "h%r"]
+    vectors = [[build.hashed_vectors([t])[0][0]] for t in texts]
+    queries = spark.createDataFrame(list(zip(range(len(texts)), texts, vectors, strict=True)), "query bigint, text string, vectors array<array<double>>")
+    got = {}
+    for r in batch.search_many(built, refs, queries, 3).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r.id, round(r.score, 6)))
+    for i, t in enumerate(texts):
+        want = [(r.id, round(r.score, 6)) for r in search.search(built, refs, t, vectors[i], k=3).collect()]
+        assert got.get(i, []) == want, t
+    targets = queries.select("query", "text", F.lit("pkg/c.py").alias("t_file"), F.lit("helper").alias("t_name"), F.lit("a").alias("arm"))
+    found, report = batch.measure(built, refs, targets.limit(0), {"file_path": "t_file", "name": "t_name"}, levels=((),), dimensions=("arm",))
+    assert found.count() == 0 and report.count() == 0
+    found, _ = batch.measure(built, refs, targets, {"file_path": "t_file", "name": "t_name"}, levels=((),), dimensions=("arm",))
+    assert {r["query"]: r["rank"] for r in found.collect()}[0] == 1 and found.count() == len(texts)

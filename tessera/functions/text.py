@@ -39,9 +39,13 @@ CODE_KEYWORDS = (
     "static struct super switch template this throw throws trait type typedef typename typeof union unless unsafe unsigned until "
     "use using val var virtual void volatile where while yield"
 ).split()
+#: The thresholds of the classes.
 CODE_THRESHOLD = 2
 CONCEPT_WORDS = 3
 CONCEPT_PUNCTUATION = 0.04
+#: Patterns of syntax that score two points each, and those that score one.
+STRONG_MARKS = (r"[{}]", r"\w\(", r"==|!=|<=|>=|=>|->", r";")
+WEAK_MARKS = (r"\w=\w", r"(?m):\s*$")
 
 
 def code_score(query: Column) -> Column:
@@ -50,17 +54,11 @@ def code_score(query: Column) -> Column:
     points = lambda condition, n: F.when(condition, n).otherwise(0)
     call, opened, closed = has(r"\w\("), has(r"<\w"), has(r"\w>")
     first = F.lower(F.regexp_extract(query, r"^(\S*)", 1))
-    return (
-        points(has(r"[{}]"), 2)
-        + points(call, 2)
-        + points(has(r"==|!=|<=|>=|=>|->"), 2)
-        + points(has(";"), 2)
-        + F.when(opened & closed, 2).when(opened | closed, 1).otherwise(0)
-        + points(~call & has(r"[()]"), 1)
-        + points(has(r"\w=\w"), 1)
-        + points(has(r"(?m):\s*$"), 1)
-        + points(first.isin(CODE_KEYWORDS), 1)
-    )
+    total = F.when(opened & closed, 2).when(opened | closed, 1).otherwise(0) + points(~call & has(r"[()]"), 1) + points(first.isin(CODE_KEYWORDS), 1)
+    for marks, n in ((STRONG_MARKS, 2), (WEAK_MARKS, 1)):
+        for mark in marks:
+            total = total + points(has(mark), n)
+    return total
 
 
 def punctuation_ratio(query: Column) -> Column:

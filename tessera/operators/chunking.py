@@ -74,12 +74,16 @@ def comment_runs(lines: DataFrame, key: str = "file_path", line: str = "line_sta
     return lines.withColumn("__new", starts).withColumn("run", F.sum("__new").over(w)).drop("__new")
 
 
+#: Marks of each markup.
+RST_MARKS = (r"(?m)^[=\-~^\"'+#*]{3,}$", r"(?m)^\.\.\s+\w+::", r":\w+:`[^`]+`")
+MARKDOWN_MARKS = (r"(?m)^#{1,6}\s+", r"(?m)^```")
+
+
 def prose_markup(text: Column) -> Column:
     """``rst``, ``markdown`` or null: which of the two has more marks in the first 2048 characters; rst only if it has strictly more."""
     head = F.substring(F.coalesce(text, F.lit("")), 1, 2048)
     count = lambda patterns: sum((F.regexp_count(head, F.lit(p)) for p in patterns[1:]), F.regexp_count(head, F.lit(patterns[0])))
-    rst = count([r"(?m)^[=\-~^\"'+#*]{3,}$", r"(?m)^\.\.\s+\w+::", r":\w+:`[^`]+`"])
-    md = count([r"(?m)^#{1,6}\s+", r"(?m)^```"])
+    rst, md = count(RST_MARKS), count(MARKDOWN_MARKS)
     return F.when((rst == 0) & (md == 0), F.lit(None).cast("string")).when(rst > md, "rst").otherwise("markdown")
 
 

@@ -28,8 +28,8 @@ BOILERPLATE_WORDS, BOILERPLATE_CHARS = 20, 400
 SYMBOLS = r"[#*$%&|<>=_~^{}\\+@]"
 #: A word that is an address.
 LINK = r"^(?:https?://|www\.).|^[^@]+@[^@]+\.[a-z]+\z"
-#: Marks that divide sentences; a line of so many words without one is a list.
-DIVIDER, LIST_WORDS = r"[.,;:!?\x{2026}\x{3002}\x{FF01}\x{FF1F}\x{3001}\x{FF0C}]", 30
+#: A word that is a number, a date or a time.
+NUMBER = r"(?<![^\x20\x09-\x0D])[0-9][0-9.,:/%+-]*+(?![^\x20\x09-\x0D])"
 #: A line of a few words and characters that doesn't end in one of these marks may be an entry of a menu; so many in a row are one.
 TERMINAL, ENTRY_WORDS, ENTRY_CHARS, ENTRIES = r"[.,;:!?\x{2026}\x{3002}\x{FF01}\x{FF1F}\x22')\]\x{201D}\x{2019}\x{BB}][\x20\x09-\x0D]*\z", 4, 200, 4
 #: A document is rejected if it keeps less than this share of its word characters.
@@ -62,20 +62,19 @@ def signs(text: Column) -> Column:
 def line_fails(line: Column, has: Column) -> Column:
     """True where a rule removes the line by itself; lines without a word stay. ``has`` are the signs of the line or of a text that holds it.
 
-    * Punctuation: one word in four or more ends in doubled symbols; a third or more of the word
-      characters are symbols; or 30 words or more have no mark that divides sentences.
+    * Punctuation: one word in four or more ends in doubled symbols, or a third or more of the word
+      characters are symbols.
     * Navigation: a third or more of the words are separators of a menu, or half or more are addresses.
-    * Digits: three words or more, of whose characters half or more are digits.
+    * Digits: three words or more, half or more of them numbers, dates or times.
     * Boilerplate: 20 words and 400 characters at most, with a phrase of page furniture.
     """
     n = _count(line, WORD)  # counted only where a rule comes to need it
     noisy = (has["symbols"] | has["marks"]) & let(n, lambda m: (_count(line, DOUBLED) * 4 >= m) | (_count(line, SEPARATOR) * 3 >= m))
     symbols = has["symbols"] & (_count(line, SYMBOLS) * 3 >= _word_chars(line))
-    listed = ~F.rlike(line, F.lit(DIVIDER)) & (n >= LIST_WORDS)
     links = has["links"] & F.rlike(line, F.lit("@|www|://")) & (F.size(F.filter(words(line), lambda w: F.rlike(w, F.lit(LINK)))) * 2 >= n)
-    digits = has["digits"] & F.rlike(line, F.lit("[0-9]")) & (_count(line, "[0-9]") * 2 >= _word_chars(line)) & (n >= 3)
+    digits = has["digits"] & F.rlike(line, F.lit("[0-9]")) & (_count(line, NUMBER) * 2 >= n) & (n >= 3)
     furniture = (F.char_length(line) <= BOILERPLATE_CHARS) & (F.rlike(line, F.lit(BOILERPLATE)) | F.rlike(line, F.lit(FURNITURE))) & (n <= BOILERPLATE_WORDS)
-    return (F.btrim(line, F.lit(WHITE)) != "") & (noisy | symbols | listed | links | digits | furniture)
+    return (F.btrim(line, F.lit(WHITE)) != "") & (noisy | symbols | links | digits | furniture)
 
 
 def passing(text: Column) -> Column:

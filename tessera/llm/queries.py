@@ -162,9 +162,8 @@ judged AS (SELECT *, len(w) > 0 AND (
     len(regexp_extract_all(line, '[#*$%&|<>!?~^=_]{{2,}}(?:{_W}|$)')) * 4 >= len(w)
     OR len(list_filter(w, lambda y: y IN ('|', '>', '»', '›', '·', '•'))) * 3 >= len(w)
     OR len(regexp_extract_all(line, '[#*$%&|<>=_~^{{}}\\+@]')) * 3 >= chars
-    OR (len(w) >= 30 AND NOT regexp_matches(line, '[.,;:!?…。！？、，]'))
     OR len(list_filter(w, lambda y: regexp_matches(y, '^(https?://|www\.).') OR regexp_matches(y, '^[^@]+@[^@]+\.[a-z]+$'))) * 2 >= len(w)
-    OR (len(w) >= 3 AND len(regexp_extract_all(line, '[0-9]')) * 2 >= chars)
+    OR (len(w) >= 3 AND len(list_filter(w, lambda y: regexp_matches(y, '^[0-9][0-9.,:/%+-]*$'))) * 2 >= len(w))
     OR (len(w) <= 20 AND length(line) <= 400 AND (
       regexp_matches(line, '(?i)\b(all rights reserved|cookie policy|privacy policy|terms of (use|service)|click here|sign up|log in|subscribe to|javascript|lorem ipsum|share this|skip to content)\b')
       OR regexp_matches(line, '(?i)(^|[^a-z0-9_])(alle rechte vorbehalten|datenschutzerkl|cookie-richtlinie|nutzungsbedingungen|hier klicken|tous droits r|politique de confidentialit|mentions l.gales|cliquez ici|conditions d.utilisation|todos los derechos reservados|aviso legal|haga clic aqu|condiciones de uso|iniciar sesi|© ?[0-9]{{4}}|\(c\) ?[0-9]{{4}}|copyright [0-9]{{4}})')))) AS fails,

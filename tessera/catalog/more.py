@@ -230,7 +230,7 @@ _TEXT_FILES = "f0 AS (SELECT 'notes/' || doc_id || '.txt' AS file_path, text AS
 
 @query(
     "q8_build_text",
-    f"WITH {_TEXT_FILES}, kept AS (SELECT *, file_path || ':' || (s + 1) || '-' || e AS name FROM w0 WHERE regexp_matches(body, '\S')) "
+    f"WITH {_TEXT_FILES}, kept AS (SELECT *, file_path || ':' || (s + 1) || '-' || e AS name FROM w0 WHERE regexp_matches(body, '\\S')) "
     "SELECT substr(sha256(file_path || ':' || blob_sha || ':' || name || ':' || s), 1, 16) AS id, file_path, 'raw_chunk' AS kind, name, language, (s + 1)::INT AS line_start, e::INT AS line_end FROM kept, (SELECT '' AS language) "
     "UNION ALL SELECT substr(sha256(file_path || ':' || blob_sha || ':' || file_path || ':host:0'), 1, 16), file_path, 'raw_chunk', file_path || ':host', '', 1, 1 FROM f0 WHERE file_path NOT IN (SELECT file_path FROM kept)",
 )

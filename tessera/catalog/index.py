@@ -343,7 +343,11 @@ def q3(spark, d):
     return plain(hybrid.read_symbol(store(spark, d), refs(spark, *TWO), "The"))
 
 
-@query("e11_infer_edges")
+@query(
+    "e11_infer_edges",
+    "WITH p AS (SELECT page_id, 'site/' || split_part(url, '/', 4) AS dir FROM pages), f AS (SELECT DISTINCT dir, page_id, dir || '/p' || page_id || '.html' AS path FROM p) "
+    "SELECT 'i' || md5(a.path) AS source_id, md5(b.path) AS target_id, 'imports' AS kind FROM f a JOIN f b ON b.dir = a.dir AND b.page_id = a.page_id + 1",
+)
 def e11(spark, d):
     """Pages as files that import each other by relative links."""
     pages = table(spark, d, "pages").select(F.concat(F.lit("site/"), F.element_at(F.split("url", "/"), 4), F.lit("/p"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), "html", "page_id")

@@ -162,18 +162,45 @@ _SEARCH_SQL = (
     "SELECT id, repo_id, round(score, 6) AS score FROM fused ORDER BY round(score, 9) DESC, id, repo_id LIMIT 10"
 )
 
+_PREVIEW = (
+    ", best AS (SELECT id, repo_id, score FROM fused ORDER BY round(score, 9) DESC, id, repo_id LIMIT 10), "
+    "shown AS (SELECT best.id, best.repo_id, file_path, kind, name, round(score, 6) AS score, lower(content) AS low, ['the', 'tion', 'with'] AS q, list_transform(string_split(lower(content), chr(10)), lambda x: len(list_filter(['the', 'tion', 'with'], lambda y: contains(x, y)))) AS n FROM best JOIN chunks USING (id)) "
+    "SELECT id, repo_id, file_path, kind, name, 'concept' AS query_kind, CASE WHEN list_max(n) > 0 THEN list_position(n, list_max(n)) - 1 END::INT AS preview_line, array_to_string(list_filter(q, lambda y: contains(low, y)), ' ') AS matched_terms, score FROM shown"
+)
+
 
 @query("q1_search", _SEARCH_SQL, True)
 def q1(spark, d):
     return _search(spark, d).select("id", "repo_id", F.round("score", 6).alias("score"))
 
 
-@query("q1_search_preview")
+@query("q1_search_preview", _SEARCH_SQL.split(" SELECT id, repo_id, round(score, 6)")[0] + _PREVIEW, True)
 def q1_preview(spark, d):
-    return _search(spark, d).select("id", "repo_id", "file_path", "kind", "name", "query_kind", "preview_line", "matched_terms", F.round("score", 6).alias("score"))
+    return _search(spark, d).select("id", "repo_id", "file_path", "kind", "name", "query_kind", "preview_line", F.array_join("matched_terms", " ").alias("matched_terms"), F.round("score", 6).alias("score"))
+
+
+_TERMS = "['class', 'of', 'the', 'ring']"
+_RERANKED_SQL = (
+    "WITH seen AS (SELECT DISTINCT c.id, fs.repo_id, c.kind, c.file_path, c.name, c.content FROM chunks c JOIN file_snapshots fs ON c.blob_sha = fs.blob_sha AND c.file_path = fs.file_path JOIN indexed_snapshots i ON i.repo_id = fs.repo_id AND i.snapshot_sha = fs.snapshot_sha), "
+    + BM25.format(q="('class', 'of', 'the', 'ring')")
+    + ", lex AS (SELECT s.id, s.repo_id, bm.lexical FROM seen s JOIN bm USING (id) ORDER BY bm.lexical DESC, s.id, s.repo_id LIMIT 50), "
+    "nam0 AS (SELECT id, repo_id, CASE WHEN name = 'class of the ring' THEN 1 WHEN name ILIKE 'class of the ring' THEN 2 WHEN name ILIKE 'class of the ring%' THEN 3 ELSE 4 END AS t FROM seen WHERE name ILIKE '%class of the ring%'), "
+    "keys AS (SELECT id, repo_id FROM lex UNION SELECT id, repo_id FROM nam0 WHERE t = (SELECT min(t) FROM nam0)), "
+    "deg AS (SELECT target_id AS id, count(*) AS n FROM edges JOIN indexed_snapshots i USING (repo_id, snapshot_sha) GROUP BY 1), "
+    "cand AS (SELECT s.*, coalesce(lex.lexical, 0) AS lexical, CASE WHEN lower(s.name) = 'class of the ring' THEN 1.0 WHEN starts_with(lower(s.name), 'class of the ring') THEN 0.8 WHEN contains(lower(s.name), 'class of the ring') THEN 0.5 "
+    f"WHEN len(list_filter({_TERMS}, lambda t: NOT contains(lower(s.name), t))) = 0 THEN 0.4 ELSE 0 END AS name_score, coalesce(deg.n, 0) AS degree FROM keys JOIN seen s USING (id, repo_id) LEFT JOIN lex USING (id, repo_id) LEFT JOIN deg USING (id)), "
+    "m AS (SELECT min(lexical) l0, max(lexical) l1, min(name_score) n0, max(name_score) n1 FROM cand), "
+    "fused AS (SELECT cand.*, (0.8 * CASE WHEN l1 = l0 THEN 0 ELSE (lexical - l0) / (l1 - l0) END + 0.2 * CASE WHEN n1 = n0 THEN 0 ELSE (name_score - n0) / (n1 - n0) END) "
+    + _SEARCH_SQL[_SEARCH_SQL.index("* CASE kind") : _SEARCH_SQL.index(" AS score FROM cand")]
+    + " AS score FROM cand, m), "
+    "pool AS (SELECT *, len(list_distinct(list_filter(regexp_split_to_array(lower(name || chr(10) || content), '\\s+'), "
+    f"lambda x: list_contains({_TERMS}, x)))) / 4.0::DOUBLE AS second FROM (SELECT * FROM fused ORDER BY score DESC, id, repo_id LIMIT 20)), "
+    "e AS (SELECT min(second) AS a, max(second) AS b FROM pool) "
+    "SELECT id, repo_id, round(0.25 * score + 0.75 * CASE WHEN a = b THEN 0 ELSE (second - a) / (b - a) END, 6) AS blended FROM pool, e ORDER BY 0.25 * score + 0.75 * CASE WHEN a = b THEN 0 ELSE (second - a) / (b - a) END DESC, id LIMIT 10"
+)
 
 
-@query("q2_search_all_reranked")
+@query("q2_search_all_reranked", _RERANKED_SQL, True)
 def q2(spark, d):
     s = store(spark, d)
     found = hybrid.search(s, s.indexed_snapshots, "class of the ring", k=10, scorer=hybrid.overlap_scorer)

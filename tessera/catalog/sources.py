@@ -91,7 +91,21 @@ def x3(spark, d):
     return chunking.comment_runs(e, "user_id", "event_id", "end").select("user_id", "event_id", "run")
 
 
-@query("x6_markdown_sections")
+_HEADED = "h AS (SELECT doc_id::VARCHAR AS file_path, '# Top' || chr(10) || regexp_replace(text, '(?m)^(\\w+) (.*)$', '## \\1' || chr(10) || '\\2', 'g') AS content FROM documents WHERE text IS NOT NULL)"
+
+
+@query(
+    "x6_markdown_sections",
+    f"WITH {_HEADED}, l AS (SELECT file_path, unnest(string_split(content, chr(10))) AS line, unnest(range(len(string_split(content, chr(10))))) AS n FROM h), "
+    "f AS (SELECT *, sum(regexp_matches(line, '^\\s*(```|~~~)')::INT) OVER (PARTITION BY file_path ORDER BY n) % 2 = 1 AS fenced FROM l), "
+    "m AS (SELECT *, CASE WHEN NOT fenced AND regexp_matches(line, '^ {0,3}#{1,6}(\\s|$)') THEN length(regexp_extract(line, '^ *(#+)', 1)) END AS level FROM f), "
+    "s AS (SELECT *, count(level) OVER (PARTITION BY file_path ORDER BY n) AS section FROM m), "
+    "head AS (SELECT file_path, section, level, n, regexp_replace(regexp_replace(line, '^\\s*#+\\s*', ''), '\\s+#*\\s*$', '') AS name FROM s WHERE level IS NOT NULL), "
+    "body AS (SELECT file_path, section, string_agg(line, chr(10) ORDER BY n) AS content FROM s WHERE section > 0 GROUP BY 1, 2), "
+    # only levels 1 and 2 occur, and level 1 once a file, at its top
+    "scope AS (SELECT file_path, name AS top FROM head WHERE level = 1) "
+    "SELECT file_path, name, CASE WHEN level > 1 THEN top ELSE '' END AS scope, level::INT AS level, (n + 1)::INT AS line_start, content FROM head JOIN body USING (file_path, section) JOIN scope USING (file_path)",
+)
 def x6(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.regexp_replace("text", r"(?m)^(\w+) (.*)$", "## $1\n$2").alias("content"))
     return chunking.markdown_sections(docs.withColumn("content", F.concat(F.lit("# Top\n"), "content")))
@@ -103,7 +117,18 @@ def x7(spark, d):
     return chunking.markdown_links(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), body.alias("content")))
 
 
-@query("x2_extract_symbols")
+_CODE = "'import os' || chr(10) || chr(10) || '# about' || chr(10) || 'def f' || doc_id || '(a):' || chr(10) || '    return a' || chr(10) || chr(10) || 'class C' || doc_id || ':' || chr(10) || '    def m(self):' || chr(10) || '        pass' || chr(10)"
+
+
+@query(
+    "x2_extract_symbols",
+    f"WITH f AS (SELECT 'm' || doc_id || '.py' AS file_path, md5({_CODE}) AS blob_sha, doc_id FROM documents), s AS ("
+    "SELECT *, 'import' AS kind, 'import os' AS name, '' AS scope, 1 AS line_start, 1 AS line_end, 'import os' AS name_tokens FROM f "
+    "UNION ALL SELECT *, 'function', 'f' || doc_id, '', 3, 5, 'f' || doc_id || ' f ' || doc_id FROM f "
+    "UNION ALL SELECT *, 'class', 'C' || doc_id, '', 7, 9, 'c' || doc_id || ' c ' || doc_id FROM f "
+    "UNION ALL SELECT *, 'method', 'm', 'C' || doc_id, 8, 9, 'm' FROM f) "
+    "SELECT file_path, substr(sha256(file_path || ':' || blob_sha || ':' || name || ':' || (line_start - 1)), 1, 16) AS id, kind, name, scope, line_start::INT AS line_start, line_end::INT AS line_end, name_tokens FROM s",
+)
 def x2(spark, d):
     docs = table(spark, d, "documents")
     code = F.concat(F.lit("import os\n\n# about\ndef f"), "doc_id", F.lit("(a):\n    return a\n\nclass C"), "doc_id", F.lit(":\n    def m(self):\n        pass\n"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tessera.catalog.fixture import table
 from tessera.catalog.registry import query
 from tessera.operators import evaluation as ev
+from tessera.operators.graph import first_by
 from tessera.operators.store import insert_missing
-from tessera.streaming.incremental import unseen
+from tessera.session import scratch_path
+from tessera.streaming.incremental import completion_log, first_targets, process, unseen
 
 #: Line items as outcomes of searches: the line number is the rank, 7 is a miss.
 OUT = "(SELECT l_returnflag AS arm, l_linestatus AS slug, (l_quantity % 3)::INT::VARCHAR AS language, (l_suppkey % 4)::VARCHAR AS symbol_kind, (l_partkey % 2)::VARCHAR AS provenance, (l_orderkey % 3)::VARCHAR AS query_kind, CASE WHEN l_linenumber < 6 THEN l_linenumber * 2 - 1 END AS rank, l_extendedprice AS latency_ms FROM lineitem)"
@@ -172,7 +174,7 @@ def w8(spark, d):
 @query("w6_first_definition", "WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS n FROM lineitem) SELECT l_orderkey, l_linenumber, l_suppkey FROM r WHERE n = 1")
 def w6(spark, d):
     li = table(spark, d, "lineitem")
-    return li.groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_suppkey")).alias("x")).select("l_orderkey", "x.l_linenumber", "x.l_suppkey")
+    return first_by(li, ["l_orderkey"], ["l_linenumber", "l_suppkey"], "l_linenumber", "l_suppkey")
 
 
 @query("a6_scalar_aggregates", "SELECT count(*) AS n, (SELECT min(o_totalprice) FROM orders) AS low, (SELECT count(*) FROM lineitem) AS items FROM orders")
@@ -237,7 +239,16 @@ def st3(spark, d):
 
 @query("st4_dedup_targets", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
 def st4(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    return first_targets(table(spark, d, "events"), ["user_id", "event_type"], "event_id")
+
+
+@query("st3_stream_completions", "SELECT 1::BIGINT AS batches, count(DISTINCT user_id)::BIGINT AS n FROM events")
+def st3_stream(spark, d):
+    """The events as a stream through ``process``, keyed by user, and what its completion log then holds."""
+    root = scratch_path(spark, "stream")
+    events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    process(events, root, ["user_id"], lambda fresh: fresh.select("user_id")).awaitTermination()
+    return completion_log(spark, root).agg(F.count("*").alias("batches"), F.sum("n").alias("n"))
 
 
 @query("k3_insert_missing_rows", "SELECT user_id, event_type FROM events WHERE event_type = 'click' UNION SELECT user_id, event_type FROM events")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.catalog.fixture import refs, some_ids, store, table
+from tessera.catalog.fixture import documents, refs, some_ids, store, table
 from tessera.catalog.registry import query
 from tessera.operators import diff, gc, graph
 from tessera.operators import store as st
@@ -64,14 +64,13 @@ def s8(spark, d):
 @query("s9_list_repos", "SELECT r.id, path, count(w.ref) AS watched FROM repos r LEFT JOIN watched_refs w ON r.id = w.repo_id GROUP BY r.id, path", True)
 def s9(spark, d):
     s = store(spark, d)
-    return s.repos.join(s.watched_refs, F.col("id") == F.col("repo_id"), "left").groupBy("id", "path").agg(F.count("ref").alias("watched")).orderBy("path")
+    return st.list_repos(s)
 
 
 @query("s9_snapshot_language", "SELECT detected_language FROM file_snapshots WHERE repo_id = (SELECT repo_id FROM d WHERE doc_id = 12) AND file_path LIKE '%/m12.py' ORDER BY snapshot_sha LIMIT 1", True)
 def s9_language(spark, d):
     s = store(spark, d)
-    rows = s.file_snapshots.filter(F.col("file_path").rlike(r"/m12\.py$"))
-    return rows.orderBy("snapshot_sha").limit(1).select("detected_language")
+    return st.snapshot_languages(s, documents(spark, d).filter("doc_id = 12")).select("detected_language")
 
 
 @query("s10_has_indexed", "SELECT r.id, count(*) FILTER (i.snapshot_sha = 'head') > 0 AS has_head, count(i.snapshot_sha) > 0 AS has_any FROM repos r LEFT JOIN indexed_snapshots i ON r.id = i.repo_id GROUP BY r.id", True)

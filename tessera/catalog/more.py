@@ -8,8 +8,9 @@ from tessera.catalog.fixture import refs, store, table
 from tessera.catalog.index import AT, REFS, ROW, SEEN, TWO, plain
 from tessera.catalog.registry import query
 from tessera.functions import paths as p
+from tessera.functions import text as tx
 from tessera.operators import evaluation as ev
-from tessera.operators import graph, retrieval
+from tessera.operators import graph, ranking, retrieval
 from tessera.operators import store as st
 from tessera.plans import build as plan
 from tessera.schema import CHUNK_KINDS
@@ -82,7 +83,7 @@ def j3(spark, d):
 
 @query("j14_parameter_grid", "SELECT p_partkey, w::DOUBLE AS w FROM part, (VALUES (0.0), (0.5), (1.0)) v(w)")
 def j14(spark, d):
-    return table(spark, d, "part").select("p_partkey").crossJoin(spark.createDataFrame([(0.0,), (0.5,), (1.0,)], "w double"))
+    return ev.with_settings(table(spark, d, "part").select("p_partkey"), spark.createDataFrame([(0.0,), (0.5,), (1.0,)], "w double"))
 
 
 @query("j19_first_definitions", "WITH r AS (SELECT file_path, name, id AS symbol, line_start, row_number() OVER (PARTITION BY file_path, name ORDER BY line_start, id) AS n FROM chunks WHERE kind IN ('function', 'class', 'method', 'variable')) SELECT file_path, name, symbol, line_start FROM r WHERE n = 1", True)
@@ -121,7 +122,7 @@ def j21(spark, d):
 def j22(spark, d):
     c = table(spark, d, "conversations")
     more = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("expansion"))
-    return c.select("conv_id", "turn").join(more, ["conv_id", "turn"], "left")
+    return ev.with_expansions(c.select("conv_id", "turn"), more, ["conv_id", "turn"])
 
 
 @query("a21_sum_of_counts", "SELECT sum(n)::BIGINT AS chunks, count(*) AS repos FROM (SELECT repo_id, count(*) AS n FROM file_snapshots GROUP BY 1)", True)
@@ -131,14 +132,14 @@ def a21(spark, d):
 
 @query("w7_first_symbol_per_file", "SELECT file_path, min(name) AS name FROM (SELECT file_path, name, row_number() OVER (PARTITION BY file_path ORDER BY line_start, id) AS n FROM chunks) WHERE n = 1 GROUP BY 1", True)
 def w7(spark, d):
-    return store(spark, d).chunks.groupBy("file_path").agg(F.min_by("name", F.struct("line_start", "id")).alias("name"))
+    return graph.first_by(store(spark, d).chunks, ["file_path"], ["line_start", "id"], "name")
 
 
 @query("t4_pools", "WITH a AS (SELECT p_partkey, p_type, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 100) SELECT p_partkey, p_retailprice FROM a WHERE p_partkey % 3 <> 0 ORDER BY p_retailprice DESC, p_partkey LIMIT 50")
 def t4(spark, d):
     """The limit comes before the filter, so the pool may end up short."""
-    best = table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(100).filter("p_partkey % 3 <> 0")
-    return best.orderBy(F.desc("p_retailprice"), "p_partkey").limit(50).select("p_partkey", "p_retailprice")
+    pool = table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(100)
+    return retrieval.kept_of_pool(pool, F.col("p_partkey") % 3 != 0, 50, "p_retailprice", "p_partkey").select("p_partkey", "p_retailprice")
 
 
 @query("t7_seeded_examples", "WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY sha256(p_partkey || '|1'), p_partkey) AS n FROM part) SELECT p_partkey, p_brand FROM r WHERE n <= 3")
@@ -155,12 +156,12 @@ def u1(spark, d):
 
 @query("f10_has_semantic", "SELECT max(label) <> 0 AS has FROM embeddings")
 def f10(spark, d):
-    return table(spark, d, "embeddings").agg((F.max("label") != 0).alias("has"))
+    return ranking.has_semantic(table(spark, d, "embeddings"), column="label").withColumnRenamed("has_semantic", "has")
 
 
 @query("f17_instruction", "SELECT conv_id, turn, 'Find code: ' || text AS q FROM conversations")
 def f17(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("Find code: "), "text").alias("q"))
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.instructed(F.col("text"), "Find code: ").alias("q"))
 
 
 @query("f30_unnest", "SELECT l_orderkey, unnest(list(l_partkey ORDER BY l_linenumber, l_partkey)) AS part, unnest(range(count(*)))::INT AS pos FROM lineitem GROUP BY 1")
@@ -187,7 +188,7 @@ def q15(spark, d):
     """A grid over the weight instead of trials: every weight rescored in one job."""
     c = table(spark, d, "orders").select(F.col("o_custkey").alias("q"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 500000).alias("a"), (F.col("o_orderkey") % 13 / F.lit(12.0)).alias("b"))
     grid = spark.createDataFrame([(0.0,), (0.3,), (0.7,), (1.0,)], "w double")
-    scored = c.crossJoin(grid).withColumn("score", F.col("w") * F.col("a") + (1 - F.col("w")) * F.col("b"))
+    scored = ev.with_settings(c, grid).withColumn("score", F.col("w") * F.col("a") + (1 - F.col("w")) * F.col("b"))
     ranked = retrieval.per_query_top(scored, 1 << 30, ["w", "q"])
     return ranked.filter("id % 5 = 0").groupBy("w").agg(F.count("*").alias("n"), F.round(F.avg(1 / F.col("rank")), 8).alias("mrr"))
 

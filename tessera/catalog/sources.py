@@ -10,7 +10,7 @@ from tessera.functions.paths import ignored
 from tessera.functions.text import first_sentence
 from tessera.operators import chunking
 from tessera.operators import store as st
-from tessera.sources.files import MAX_FILE_BYTES, admitted
+from tessera.sources.files import MAX_FILE_BYTES, admitted, footprint_by
 from tessera.sources.languages import Registry, resolve_language
 from tessera.sources.symbols import extract_symbols
 
@@ -38,7 +38,7 @@ def s12(spark, d):
 
 @query("s14_footprint", "SELECT source, count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1")
 def s14(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"))
+    return footprint_by(table(spark, d, "documents"), "source", "text")
 
 
 @query("s15_detect_language", f"SELECT file_path, CASE regexp_extract(file_path, '(\\.[^.]+)$', 1) WHEN '.py' THEN 'python' WHEN '.md' THEN 'markdown' WHEN '.js' THEN 'javascript' WHEN '.toml' THEN 'toml' WHEN '.go' THEN 'go' ELSE '' END AS language FROM {FILES}")

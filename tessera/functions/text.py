@@ -144,6 +144,11 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def instructed(query: Column, instruction: str = "") -> Column:
+    """The text of a query as it is embedded: a model's instruction first, if it takes one."""
+    return F.concat(F.lit(instruction), query) if instruction else query
+
+
 def first_sentence(text: Column, end: str = SENTENCE_END) -> Column:
     """The first sentence, cut at 200 characters; null if shorter than 15 or if it opens with boilerplate. With ``BODY_END`` the final mark is dropped."""
     least, most = SENTENCE_CHARS

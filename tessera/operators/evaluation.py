@@ -96,12 +96,22 @@ def frequent_groups(df: DataFrame, by: str, least: int) -> tuple[DataFrame, Data
     return df.join(sizes.filter(F.col("n") >= least).select(by), by, "left_semi"), sizes.filter(F.col("n") < least)
 
 
+def with_settings(rows: DataFrame, grid: DataFrame) -> DataFrame:
+    """Every row under every setting of ``grid``, a handful of parameter rows; Spark broadcasts it by its measured size."""
+    return rows.crossJoin(grid)
+
+
+def with_expansions(queries: DataFrame, expansions: DataFrame, keys: list[str]) -> DataFrame:
+    """``queries`` with what a model added to them, null where it added nothing; ``expansions`` has one row a key."""
+    return queries.join(expansions, keys, "left")
+
+
 def grid_scores(candidates: DataFrame, grid: DataFrame, keys: list[str], second: str = "reranker", first: str = "score") -> DataFrame:
     """Every candidate under every (pool, blend) of a grid: those within the pool are blended, rescored and ranked anew.
 
-    The grid is a handful of parameter rows; Spark broadcasts it by its measured size.
+    The grid is a handful of parameter rows.
     """
-    pooled = candidates.crossJoin(grid).filter(F.col("position") <= F.col("pool"))
+    pooled = with_settings(candidates, grid).filter(F.col("position") <= F.col("pool"))
     group = ["pool", "blend", *keys]
     w = Window.partitionBy(*group)
     span = F.max(second).over(w) - F.min(second).over(w)

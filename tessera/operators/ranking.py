@@ -38,6 +38,11 @@ def scaled(df: DataFrame, columns: list[str], over: list[str] | None = None) ->
     return out.drop(*[f"__{e}_{c}" for c in columns for e in ("min", "max")])
 
 
+def has_semantic(candidates: DataFrame, over: list[str] | None = None, column: str = "semantic") -> DataFrame:
+    """``has_semantic``: whether any candidate has a similarity other than 0; one row, or one for each key of ``over``."""
+    return candidates.groupBy(*over or []).agg((F.coalesce(F.max(F.abs(column)), F.lit(0.0)) != 0).alias("has_semantic"))
+
+
 def merge_channels(*channels: tuple[DataFrame, str], keys: tuple[str, ...] = ("id", "repo_id")) -> DataFrame:
     """One row per key with every channel's score, 0 where it has none: one union and one aggregate instead of full joins."""
     names = [n for _, n in channels]

@@ -101,6 +101,11 @@ def semantic(store: Store, refs: DataFrame, queries: list[list[float]], k: int)
     return seen.withColumn("semantic", best_cosine(F.col("embedding"), queries)).filter(F.col("semantic").isNotNull()).orderBy(F.desc("semantic"), "id", "repo_id").limit(k)
 
 
+def kept_of_pool(pool: DataFrame, keep: Column, k: int, score: str, *ties: str) -> DataFrame:
+    """The ``k`` best rows of an over-fetched pool that ``keep`` lets pass. The pool was cut before, so fewer than ``k`` may be left."""
+    return pool.filter(keep).orderBy(F.desc(score), *ties).limit(k)
+
+
 def name_tiers(df: DataFrame, name: str, column: str = "name") -> DataFrame:
     """Rows whose name matches, with match_tier: 1 equal, 2 equal but for case, 3 prefix, 4 within.
 

@@ -109,10 +109,22 @@ def latest_snapshots(store: Store) -> DataFrame:
     return store.indexed_snapshots.groupBy("repo_id").agg(F.max_by("snapshot_sha", F.struct("indexed_at", "snapshot_sha")).alias("snapshot_sha"), F.max("indexed_at").alias("indexed_at"))
 
 
+def snapshot_languages(store: Store, paths: DataFrame) -> DataFrame:
+    """(repo_id, file_path, detected_language): for every (repo_id, file_path) that some snapshot has, the language stored at the snapshot that is first by name."""
+    rows = store.file_snapshots.join(paths.select("repo_id", "file_path").distinct(), ["repo_id", "file_path"], "left_semi")
+    return rows.groupBy("repo_id", "file_path").agg(F.min_by("detected_language", "snapshot_sha").alias("detected_language"))
+
+
 def snapshot_language(store: Store, repo_id: int, file_path: str) -> DataFrame:
-    """The language stored for a path at the snapshot that is first by name."""
+    """``snapshot_languages`` of one path."""
     rows = store.file_snapshots.filter((F.col("repo_id") == repo_id) & (F.col("file_path") == file_path))
-    return rows.orderBy("snapshot_sha").limit(1).select("detected_language")
+    return rows.groupBy("repo_id", "file_path").agg(F.min_by("detected_language", "snapshot_sha").alias("detected_language")).select("detected_language")
+
+
+def list_repos(store: Store) -> DataFrame:
+    """Repositories by path, with the number of their watched refs."""
+    watched = store.watched_refs.groupBy(F.col("repo_id").alias("id")).agg(F.count("*").alias("watched"))
+    return store.repos.join(watched, "id", "left").select("id", "path", F.coalesce("watched", F.lit(0)).cast("long").alias("watched")).orderBy("path")
 
 
 def snapshot_status(store: Store) -> DataFrame:

@@ -128,10 +128,9 @@ def ranked(candidates: DataFrame, k: int, weights: tuple[Column, Column, Column]
     """The ``k`` best candidates of every query (of every key of ``over``), with score and rank; by default under the weights of the query's class."""
     keys = list(over)
     if weights is None:
-        has = candidates.groupBy(*keys).agg((F.coalesce(F.max(F.abs("semantic")), F.lit(0.0)) != 0).alias("__has"))
-        candidates = candidates.join(has, keys)
-        weights = ranking.weight_columns(tx.classify_query(F.col("text")), F.col("__has"))
-    fused = ranking.fuse(candidates, weights, keys).drop("__has").withColumn("score", F.round("score", 9))
+        candidates = candidates.join(ranking.has_semantic(candidates, keys), keys)
+        weights = ranking.weight_columns(tx.classify_query(F.col("text")), F.col("has_semantic"))
+    fused = ranking.fuse(candidates, weights, keys).drop("has_semantic").withColumn("score", F.round("score", 9))
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "id", "repo_id")
     return fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -180,7 +179,7 @@ def tune(candidates: DataFrame, queries: DataFrame, target: dict[str, str], grid
     """
     if by not in queries.columns:
         queries = queries.withColumn(by, tx.classify_query(F.col("text")))
-    rescored = ranked(candidates.crossJoin(F.broadcast(grid)), k, (F.col("alpha"), F.col("beta"), F.col("gamma")), ("trial", "query"))
+    rescored = ranked(ev.with_settings(candidates, grid), k, (F.col("alpha"), F.col("beta"), F.col("gamma")), ("trial", "query"))
     trials = _hit_mrr(rescored, queries, target, ["trial"], [by])
     return trials, trials.groupBy(by).agg(F.min_by(F.struct("trial", "mrr"), F.struct(-F.col("mrr"), F.col("trial"))).alias("b")).select(by, "b.trial", "b.mrr")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,22 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in struct_of(table)])
 
 
+def frame(spark: SparkSession, table: str, rows: list[dict], **same) -> DataFrame:
+    """Rows given as dictionaries as a DataFrame of the table's columns; ``same`` holds for all of them, and no rows give an empty table.
+
+    A column that the table lacks, a null in its key and vectors of unequal length are errors.
+    """
+    fields = struct_of(table)
+    for row in rows:
+        if unknown := (row.keys() | same.keys()) - set(fields.names):
+            raise ValueError(f"{table} has no column {sorted(unknown)}")
+        if missing := [k for k in TABLES[table][1] if {**same, **row}.get(k) is None]:
+            raise ValueError(f"{table} needs {missing} in every row")
+    if len({len(r["embedding"]) for r in rows if r.get("embedding") is not None}) > 1:
+        raise ValueError("vectors differ in length")
+    return spark.createDataFrame([tuple({**same, **r}.get(n) for n in fields.names) for r in rows], fields)
+
+
 def unique(df: DataFrame, table: str, *order) -> DataFrame:
     """One row per primary key: the first in ``order``."""
     keys = TABLES[table][1]

@@ -37,6 +37,11 @@ def read_parts(spark: SparkSession, *patterns: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(*patterns)
 
 
+def footprint_by(files: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """(key, files, bytes) of files that are rows already; bytes are those of the content in UTF-8."""
+    return files.groupBy(key).agg(F.count("*").alias("files"), F.coalesce(F.sum(F.octet_length(content)), F.lit(0)).alias("bytes"))
+
+
 def footprint(spark: SparkSession, root: str) -> DataFrame:
     """(files, bytes) under a folder, from file metadata alone."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("length").agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))

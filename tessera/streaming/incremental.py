@@ -3,14 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def unseen(batch: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the batch whose keys weren't processed before, each key once."""
-    return batch.dropDuplicates(keys).join(done.select(*keys).distinct(), keys, "left_anti")
+    """Rows of the batch whose keys weren't processed before, each key once; a null is a key like any other.
+
+    What was done is first cut to the batch's keys: that side grows without end, and a small batch
+    is broadcast by its measured size, so that it is scanned but not shuffled or sorted.
+    """
+    wanted = batch.select(*keys).distinct().alias("wanted")
+    known = done.select(*keys).alias("done")
+    known = known.join(wanted, reduce(and_, [F.col(f"done.{k}").eqNullSafe(F.col(f"wanted.{k}")) for k in keys]), "left_semi").toDF(*[f"__done_{k}" for k in keys])
+    fresh = batch.dropDuplicates(keys)
+    return fresh.join(known, reduce(and_, [F.col(k).eqNullSafe(F.col(f"__done_{k}")) for k in keys]), "left_anti")
+
+
+def first_targets(queued: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One queued row of every target: that which came first."""
+    return queued.groupBy(*keys).agg(F.min(order).alias(order))
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:

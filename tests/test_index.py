@@ -365,3 +365,20 @@ def test_batch_search_agrees_with_single_searches(spark, built):
     assert found.count() == 0 and report.count() == 0
     found, _ = batch.measure(built, refs, targets, {"file_path": "t_file", "name": "t_name"}, levels=((),), dimensions=("arm",))
     assert {r["query"]: r["rank"] for r in found.collect()}[0] == 1 and found.count() == len(texts)
+
+
+def test_frames_are_checked(spark):
+    from tessera.schema import frame, struct_of
+
+    edges = frame(spark, "edges", [{"source_id": "a", "target_id": "b", "kind": "calls"}], repo_id=1, snapshot_sha="head")
+    assert edges.schema == struct_of("edges") and tuple(edges.first()) == (1, "a", "b", "calls", "head")
+    assert frame(spark, "repos", []).count() == 0
+    for table, rows in (("edges", [{"source_id": "a"}]), ("repos", [{"id": 1, "name": "x"}]), ("chunks", [{"id": "a", "embedding": [1.0]}, {"id": "b", "embedding": [1.0, 2.0]}])):
+        with pytest.raises(ValueError):
+            frame(spark, table, rows)
+
+
+def test_first_by_orders_nulls_first_and_breaks_ties_by_value(spark):
+    rows = spark.createDataFrame([("f", 2, "x"), ("f", 1, "z"), ("f", 1, "y"), ("g", None, "n"), ("g", 1, "m")], "file string, line int, name string")
+    assert sorted(map(tuple, graph.first_by(rows, ["file"], ["line"], "name").collect())) == [("f", "y"), ("g", "n")]
+    assert graph.first_by(rows.limit(0), ["file"], ["line"], "name").count() == 0

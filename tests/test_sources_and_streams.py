@@ -30,3 +30,11 @@ def test_stream_processes_each_row_once(spark, tmp_path):
     run()
     assert sorted(r.id for r in spark.read.parquet(f"{root}/out").collect()) == [1, 2, 3, 4]
     assert sorted(r.n for r in inc.completion_log(spark, root).collect()) == [1, 3]
+
+
+def test_a_null_key_is_processed_once_and_targets_keep_their_first(spark):
+    done = spark.createDataFrame([(1, "a"), (None, "b"), (9, None)], "k int, t string")
+    batch = spark.createDataFrame([(1, "a", 0), (None, "b", 1), (9, None, 2), (2, None, 3), (2, None, 4), (None, None, 5)], "k int, t string, n int")
+    assert sorted(map(str, (tuple(r)[:2] for r in inc.unseen(batch, done, ["k", "t"]).collect()))) == ["(2, None)", "(None, None)"]
+    assert inc.unseen(batch.limit(0), done, ["k", "t"]).count() == 0 and inc.unseen(batch, done.limit(0), ["k", "t"]).count() == 5
+    assert sorted(tuple(r) for r in inc.first_targets(batch.filter("k = 2"), ["k", "t"], "n").collect()) == [(2, None, 3)]

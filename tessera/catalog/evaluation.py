@@ -203,6 +203,17 @@ def j12(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
+@query("j12_anti_join_filled", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)")
+def j12_filled(spark, d):
+    large = table(spark, d, "orders").filter("o_totalprice > 400000")
+    return table(spark, d, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("a19_rare_values", "SELECT n_chars, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) < 3")
+def a19_rare(spark, d):
+    return ev.frequent_groups(table(spark, d, "documents"), "n_chars", 3)[1]
+
+
 @query("j13_undirected", "SELECT DISTINCT a FROM (SELECT l_partkey AS a, l_suppkey AS b FROM lineitem UNION ALL SELECT l_suppkey, l_partkey FROM lineitem) WHERE b IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 = 0)")
 def j13(spark, d):
     li = table(spark, d, "lineitem")

@@ -18,6 +18,12 @@ ROW = "c.id, fs.repo_id, c.blob_sha, c.file_path, c.kind, c.name, c.scope, c.lan
 REFS = "((fs.repo_id = 0 AND fs.snapshot_sha = 'head') OR (fs.repo_id = 1 AND fs.snapshot_sha = 'base'))"
 EREFS = REFS.replace("fs.", "e.")
 TWO = ((0, "head"), (1, "base"))
+#: Repository 1 is empty at head by the fixture's rule, which is a case of its own; 5 holds files there.
+REPOS = ((1, ""), (5, "_filled"))
+
+
+def at_repo(sql: str, repo_id: int) -> str:
+    return sql.replace("repo_id = 1", f"repo_id = {repo_id}")
 
 
 def plain(df):
@@ -36,9 +42,11 @@ def s4(spark, d):
     return st.read_blob(s, "head", s.file_snapshots.filter(F.col("file_path").rlike(r"/m12\.py$")))
 
 
-@query("s5_get_chunks", f"SELECT {ROW} FROM {SEEN} WHERE {AT}", True)
-def s5(spark, d):
-    return plain(st.get_chunks(store(spark, d), 1, "head"))
+for _r, _t in REPOS:
+
+    @query("s5_get_chunks" + _t, at_repo(f"SELECT {ROW} FROM {SEEN} WHERE {AT}", _r), True)
+    def s5(spark, d, r=_r):
+        return plain(st.get_chunks(store(spark, d), r, "head"))
 
 
 @query("p2_optional_predicates", f"SELECT {ROW} FROM {SEEN} WHERE fs.repo_id = 0 AND fs.snapshot_sha = 'head' AND c.kind = 'function'", True)
@@ -46,9 +54,11 @@ def p2(spark, d):
     return plain(st.get_chunks(store(spark, d), 0, "head", kind="function"))
 
 
-@query("s6_content_frame", f"SELECT c.id, c.file_path, c.kind, c.name, c.line_start, c.content FROM {SEEN} WHERE {AT}", True)
-def s6(spark, d):
-    return st.get_chunks(store(spark, d), 1, "head").select("id", "file_path", "kind", "name", "line_start", "content")
+for _r, _t in REPOS:
+
+    @query("s6_content_frame" + _t, at_repo(f"SELECT c.id, c.file_path, c.kind, c.name, c.line_start, c.content FROM {SEEN} WHERE {AT}", _r), True)
+    def s6(spark, d, r=_r):
+        return st.get_chunks(store(spark, d), r, "head").select("id", "file_path", "kind", "name", "line_start", "content")
 
 
 @query("s7_unembedded", f"SELECT c.id, c.name, c.content, c.file_path, c.line_start FROM {SEEN} WHERE fs.repo_id = 0 AND fs.snapshot_sha = 'head' AND NOT c.has_embedding ORDER BY c.file_path, c.line_start, c.id LIMIT 50", True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.catalog.fixture import refs, store, table
-from tessera.catalog.index import AT, REFS, ROW, SEEN, TWO, plain
+from tessera.catalog.index import AT, REFS, REPOS, ROW, SEEN, TWO, at_repo, plain
 from tessera.catalog.registry import query
 from tessera.functions import paths as p
 from tessera.functions import text as tx
@@ -46,9 +46,11 @@ def q17_percent(spark, d):
     return plan.profile(store(spark, d))[1]
 
 
-@query("p1_presence_flag", f"SELECT c.has_embedding, count(*) AS n FROM {SEEN} WHERE {AT} GROUP BY 1", True)
-def p1(spark, d):
-    return st.get_chunks(store(spark, d), 1, "head").groupBy("has_embedding").agg(F.count("*").alias("n"))
+for _r, _t in REPOS:
+
+    @query("p1_presence_flag" + _t, at_repo(f"SELECT c.has_embedding, count(*) AS n FROM {SEEN} WHERE {AT} GROUP BY 1", _r), True)
+    def p1(spark, d, r=_r):
+        return st.get_chunks(store(spark, d), r, "head").groupBy("has_embedding").agg(F.count("*").alias("n"))
 
 
 @query("p5_kind_filter", f"SELECT c.id, fs.repo_id, c.kind FROM {SEEN} WHERE {REFS} AND c.kind NOT IN ('import', 'doc_section')", True)
@@ -62,10 +64,12 @@ def p10(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left").fillna({"n": 0, "total": 0.0})
 
 
-@query("p11_path_scope", f"SELECT c.id, c.file_path FROM {SEEN} WHERE {AT} AND c.file_path IN (SELECT file_path FROM chunks WHERE kind = 'class')", True)
-def p11(spark, d):
-    s = store(spark, d)
-    return st.get_chunks(s, 1, "head").join(s.chunks.filter("kind = 'class'").select("file_path").distinct(), "file_path", "left_semi").select("id", "file_path")
+for _r, _t in REPOS:
+
+    @query("p11_path_scope" + _t, at_repo(f"SELECT c.id, c.file_path FROM {SEEN} WHERE {AT} AND c.file_path IN (SELECT file_path FROM chunks WHERE kind = 'class')", _r), True)
+    def p11(spark, d, r=_r):
+        s = store(spark, d)
+        return st.get_chunks(s, r, "head").join(s.chunks.filter("kind = 'class'").select("file_path").distinct(), "file_path", "left_semi").select("id", "file_path")
 
 
 @query("p12_path_normalise", "SELECT doc_id, lang || '/a/' || doc_id || '.txt' AS path FROM documents")
@@ -74,11 +78,13 @@ def p12(spark, d):
     return table(spark, d, "documents").select("doc_id", p.repo_relative(raw, "/repos/x").alias("path"))
 
 
-@query("j3_scores_join", f"SELECT c.id, fs.repo_id, length(c.name) AS score FROM {SEEN} WHERE {AT} ORDER BY score DESC, c.id, fs.repo_id LIMIT 15", True)
-def j3(spark, d):
-    s = store(spark, d)
-    scores = s.chunks.select("id", F.char_length("name").cast("long").alias("score"))
-    return scores.join(st.at_snapshots(s, repo_id=1, snapshot="head").select("id", "repo_id"), "id").orderBy(F.desc("score"), "id", "repo_id").limit(15)
+for _r, _t in REPOS:
+
+    @query("j3_scores_join" + _t, at_repo(f"SELECT c.id, fs.repo_id, length(c.name) AS score FROM {SEEN} WHERE {AT} ORDER BY score DESC, c.id, fs.repo_id LIMIT 15", _r), True)
+    def j3(spark, d, r=_r):
+        s = store(spark, d)
+        scores = s.chunks.select("id", F.char_length("name").cast("long").alias("score"))
+        return scores.join(st.at_snapshots(s, repo_id=r, snapshot="head").select("id", "repo_id"), "id").orderBy(F.desc("score"), "id", "repo_id").limit(15)
 
 
 @query("j14_parameter_grid", "SELECT p_partkey, w::DOUBLE AS w FROM part, (VALUES (0.0), (0.5), (1.0)) v(w)")
@@ -209,10 +215,12 @@ def k15(spark, d):
     return tables.load(spark, root).chunks.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
 
 
-@query("st1_changed_since", f"SELECT c.id FROM {SEEN} WHERE {AT} AND c.file_path IN (SELECT coalesce(b.file_path, h.file_path) FROM (SELECT * FROM file_snapshots WHERE repo_id = 1 AND snapshot_sha = 'base') b FULL JOIN (SELECT * FROM file_snapshots WHERE repo_id = 1 AND snapshot_sha = 'head') h ON b.file_path = h.file_path WHERE b.blob_sha IS DISTINCT FROM h.blob_sha)", True)
-def st1(spark, d):
-    s = store(spark, d)
-    return st.at_snapshots(s, repo_id=1, snapshot="head").join(st.changed_files(s, 1, "base", "head"), "file_path", "left_semi").select("id")
+for _r, _t in REPOS:
+
+    @query("st1_changed_since" + _t, at_repo(f"SELECT c.id FROM {SEEN} WHERE {AT} AND c.file_path IN (SELECT coalesce(b.file_path, h.file_path) FROM (SELECT * FROM file_snapshots WHERE repo_id = 1 AND snapshot_sha = 'base') b FULL JOIN (SELECT * FROM file_snapshots WHERE repo_id = 1 AND snapshot_sha = 'head') h ON b.file_path = h.file_path WHERE b.blob_sha IS DISTINCT FROM h.blob_sha)", _r), True)
+    def st1(spark, d, r=_r):
+        s = store(spark, d)
+        return st.at_snapshots(s, repo_id=r, snapshot="head").join(st.changed_files(s, r, "base", "head"), "file_path", "left_semi").select("id")
 
 
 @query("q8_build")

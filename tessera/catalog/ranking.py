@@ -214,6 +214,14 @@ def q5(spark, d):
     return st.inbound_refs(s, r, named).select("source_id", "target_id", "kind", "repo_id")
 
 
+@query("q5_find_refs_everywhere", f"WITH r AS (SELECT DISTINCT c.id FROM {SEEN} JOIN indexed_snapshots i ON i.repo_id = fs.repo_id AND i.snapshot_sha = fs.snapshot_sha WHERE c.name ILIKE 'The%' OR c.name ILIKE 'Er%') SELECT e.source_id, e.target_id, e.kind, e.repo_id FROM edges e JOIN indexed_snapshots i ON i.repo_id = e.repo_id AND i.snapshot_sha = e.snapshot_sha WHERE e.target_id IN (SELECT id FROM r)", True)
+def q5_everywhere(spark, d):
+    """References to all symbols of two prefixes, at every indexed snapshot."""
+    s = store(spark, d)
+    named = st.at_snapshots(s, s.indexed_snapshots, once=True).filter(F.col("name").ilike("The%") | F.col("name").ilike("Er%")).select("id")
+    return st.inbound_refs(s, s.indexed_snapshots, named).select("source_id", "target_id", "kind", "repo_id")
+
+
 @query("f18_lexical_query", "SELECT p_partkey, trim(p_name || ' ' || p_brand) AS q FROM part")
 def f18(spark, d):
     return table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("q"))

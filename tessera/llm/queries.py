@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.ann import nearest
+from tessera.llm.importance import resample
 from tessera.llm.line_dedup import drop_shared_lines
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality
@@ -78,7 +79,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_url_filter, op4_nearest, op5_simhash, op6_packing, op7_secrets, op8_token_counts, op9_quality, op10_sentencepiece)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_url_filter, op4_nearest, op5_simhash, op6_packing, op7_secrets, op8_token_counts, op9_quality, op10_sentencepiece, op11_importance)}
 
 _WHITE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -178,4 +184,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND left_chars >= word_chars * 0.5 AS kept FROM m
 """
 
-SQL = {"op1_line_dedup": OP1_SQL, "op3_url_filter": OP3_SQL, "op7_secrets": OP7_SQL, "op9_quality": OP9_SQL}
+#: CRC-32 is folded over the bytes of every distinct word.
+OP11_SQL = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+texts AS (SELECT 'd' AS side, row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT side, r, unnest(list_filter(regexp_split_to_array(text, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS word FROM texts),
+bytes AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM w)),
+hashed AS (SELECT word, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: (strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1),
+  lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM bytes, crc),
+f AS (SELECT side, r, bucket FROM w JOIN hashed USING (word)),
+counts AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM counts),
+gain AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (s_all + 10000)) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS g FROM counts, sums),
+per AS (SELECT r, count(*) AS n, sum(g) AS weight FROM f JOIN gain USING (bucket) WHERE side = 'd' GROUP BY r),
+h AS (SELECT r, doc_id, list_reduce(list_transform(range(8), lambda i: strpos('0123456789abcdef', sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[i + 1]) - 1), lambda a, b: a * 16 + b, 0::BIGINT) AS h FROM texts WHERE side = 'd'),
+scored AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, (coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE))))::BIGINT AS score FROM h LEFT JOIN per USING (r)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank FROM ranked
+"""
+
+SQL = {"op1_line_dedup": OP1_SQL, "op3_url_filter": OP3_SQL, "op7_secrets": OP7_SQL, "op9_quality": OP9_SQL, "op11_importance": OP11_SQL}

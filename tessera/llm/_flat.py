@@ -15,19 +15,19 @@ LONG = 32
 
 
 class Words(NamedTuple):
-    """Bytes of a column, and of every word its start and length there and the row it is in; ``piece`` numbers the pieces between breaks."""
+    """Bytes of a column, which of them are in words, and of every word its start and length there and the row it is in; ``piece`` numbers the pieces between breaks."""
 
     data: np.ndarray
+    inside: np.ndarray
     start: np.ndarray
     length: np.ndarray
     row: np.ndarray
     piece: np.ndarray
 
-    def array(self) -> pa.LargeBinaryArray:
+    def array(self) -> pa.LargeStringArray:
         """The words as an Arrow array."""
-        ends = np.concatenate([[0], np.cumsum(self.length)])
-        keep = np.repeat(self.start - ends[:-1], self.length) + np.arange(ends[-1])
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(self.data[keep])])
+        ends = np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
+        return pa.LargeStringArray.from_buffers(len(self.start), pa.py_buffer(ends), pa.py_buffer(self.data[self.inside]))
 
 
 def classes(gaps: str, breaks: str = "", kept: bytes | None = None) -> np.ndarray:
@@ -66,7 +66,7 @@ def split(texts: pa.Array, kinds: np.ndarray) -> Words:
     cut = kind == BREAK
     cut[edge] = True
     piece = np.cumsum(cut, dtype=np.int64)[start]
-    return Words(data, start, end - start, row, piece)
+    return Words(data, inside, start, end - start, row, piece)
 
 
 def _table() -> np.ndarray:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.ann import nearest
+from tessera.llm.collocations import collocations
 from tessera.llm.importance import resample
 from tessera.llm.line_dedup import drop_shared_lines
 from tessera.llm.packing import pack
@@ -84,7 +85,11 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_url_filter, op4_nearest, op5_simhash, op6_packing, op7_secrets, op8_token_counts, op9_quality, op10_sentencepiece, op11_importance)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_url_filter, op4_nearest, op5_simhash, op6_packing, op7_secrets, op8_token_counts, op9_quality, op10_sentencepiece, op11_importance, op13_collocations)}
 
 _WHITE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -204,4 +209,19 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY s
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank FROM ranked
 """
 
-SQL = {"op1_line_dedup": OP1_SQL, "op3_url_filter": OP3_SQL, "op7_secrets": OP7_SQL, "op9_quality": OP9_SQL, "op11_importance": OP11_SQL}
+OP13_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS x(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+cuts AS (SELECT lang, k, phrase, a, i, array_to_string(w[1:i], ' ') AS lp, array_to_string(w[i + 1:k], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS i FROM cand)),
+scored AS (SELECT c.lang, c.k, c.phrase, a, fl.f AS l, fr.f AS r, i, (2000000::HUGEINT * a // (fl.f::HUGEINT + fr.f))::BIGINT AS score FROM cuts c JOIN f fl ON fl.lang = c.lang AND fl.phrase = c.lp JOIN f fr ON fr.lang = c.lang AND fr.phrase = c.rp),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+inner_ AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM cand)) GROUP BY ALL),
+standing AS (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank FROM best LEFT JOIN inner_ ON best.lang = inner_.lang AND best.phrase = inner_.phrase WHERE NOT coalesce(100 * most >= 80 * a, false))
+SELECT s.lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM standing s JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+SQL = {"op1_line_dedup": OP1_SQL, "op3_url_filter": OP3_SQL, "op7_secrets": OP7_SQL, "op9_quality": OP9_SQL, "op11_importance": OP11_SQL, "op13_collocations": OP13_SQL}

@@ -16,6 +16,7 @@ from tessera.llm.sentencepiece_bpe import encoded
 from tessera.llm.sharding import shard
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.token_counts import document_tokens
+from tessera.llm.toxicity import toxicity
 from tessera.llm.url_filter import judge_urls
 
 #: Separator of the 50k byte-level vocabulary.
@@ -85,11 +86,15 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_url_filter, op4_nearest, op5_simhash, op6_packing, op7_secrets, op8_token_counts, op9_quality, op10_sentencepiece, op11_importance, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_url_filter, op4_nearest, op5_simhash, op6_packing, op7_secrets, op8_token_counts, op9_quality, op10_sentencepiece, op11_importance, op12_toxicity, op13_collocations)}
 
 _WHITE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

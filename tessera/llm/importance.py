@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm import _flat
 from tessera.llm._common import slices, text_or_empty, written
@@ -117,7 +116,7 @@ def resample(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: s
     gain = gains(bucket_counts(docs, text, buckets, longest), bucket_counts(target, target_text, buckets, longest))
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
-    scored = weighted(docs, gain, doc_id, text, longest).withColumn("score", F.col("weight") + noise)
+    scored = written(weighted(docs, gain, doc_id, text, longest).withColumn("score", F.col("weight") + noise), "weighted")  # ranges are sampled from it
     enough = F.col("n_words") >= least_words
     ranked = numbered(scored, (~enough).asc(), F.col("score").desc(), F.col("id").asc_nulls_last())
     drawn = ranked.filter(enough).count() * share // 100

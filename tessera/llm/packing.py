@@ -7,6 +7,7 @@ partition is merged afterwards, level by level, in tasks of bounded size.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,6 +27,25 @@ MERGED = 64
 COLUMNS = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
 
+#: Texts of so many characters are searched for white space runs of that length, which the split pattern can't backtrack through.
+LONG_RUN = 100_000
+#: The white space of the split pattern, as character class. Fixed values.
+BLANK = r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+@lru_cache
+def ranks_of(vocabulary: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """(ranks of byte sequences, identifiers of special tokens) of a vocabulary of the ``tokenizers`` library."""
+    import json
+
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = json.load(f)
+    added = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
+    to_byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    return {bytes(map(to_byte.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in added}, added
+
+
 @lru_cache
 def encoder(vocabulary: str, special: bool = True) -> Callable[[str], np.ndarray]:
     """Identifiers of a text by a byte-level BPE vocabulary of the ``tokenizers`` library.
@@ -33,21 +53,36 @@ def encoder(vocabulary: str, special: bool = True) -> Callable[[str], np.ndarray
     The ranks of the same merges run in ``tiktoken``, which gives the same identifiers several
     times faster; tests hold the two against each other. The strings of special tokens in a text
     become those tokens, as that library does by default, or with ``special`` false ordinary text.
-    """
-    import json
 
+    The split pattern takes a run of white space as one piece, but for the last character where
+    more text follows. Very long runs are cut out that way before the pattern sees the text.
+    """
     import tiktoken
     from public_tokenizers import PATTERN
 
-    with open(vocabulary, encoding="utf-8") as f:
-        spec = json.load(f)
-    added = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
-    to_byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    ranks = {bytes(map(to_byte.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in added}
+    ranks, added = ranks_of(vocabulary)
     enc = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
     allowed = "all" if special else set()
-    return lambda text: enc.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
+    marks = re.compile("(" + "|".join(map(re.escape, added)) + ")") if special and added else None
+    run = re.compile(BLANK + "{" + str(LONG_RUN) + ",}")
+
+    def plain(text: str) -> np.ndarray:
+        return enc.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) < LONG_RUN or not run.search(text):
+            return plain(text)
+        parts = []
+        for segment in marks.split(text) if marks else [text]:
+            at = 0
+            for m in run.finditer(segment):
+                end = m.end() if m.end() == len(segment) else m.end() - 1
+                parts += [plain(segment[at : m.start()]), np.array(enc._encode_single_piece(segment[m.start() : end]), np.uint32)]
+                at = end
+            parts.append(plain(segment[at:]))
+        return np.concatenate(parts)
+
+    return encode
 
 
 class Windows:

@@ -1,6 +1,6 @@
 """Token counts of flat, unindexed token files by a separator scan.
 
-A file is a run of 16-bit token identifiers in which an end-of-document identifier closes every
+A file is a run of token identifiers, of 16 bits or of 32 where the vocabulary needs them, in which an end-of-document identifier closes every
 document; nothing says where documents begin. Files are read in blocks; each block is searched
 for separators with numpy, and a prefix scan over the blocks stitches documents that cross them.
 """
@@ -22,14 +22,23 @@ BLOCK_TOKENS = 1 << 16
 SUPER = 1024  # blocks scanned together in the lower level of the prefix scan
 
 
+def width_of(vocabulary: str, separator: int) -> int:
+    """Bytes of an identifier in flat files: 2, or 4 where one doesn't fit."""
+    from tessera.llm.packing import ranks_of
+
+    ranks, added = ranks_of(vocabulary)
+    return 2 if max(separator, *ranks.values(), *added.values()) < 1 << 16 else 4
+
+
 def flat_blocks(docs: DataFrame, vocabulary: str, separator: int, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Tokens of ``docs`` as flat files, one per partition: (file, block, payload) and, for checking only, (file, ordinal, doc_id) rows with payload null.
 
-    Blocks are cut every ``block_tokens`` identifiers wherever documents end. Texts that spell
+    Identifiers have ``width_of`` bytes. Blocks are cut every ``block_tokens`` identifiers wherever documents end. Texts that spell
     the separator are ordinary text. Null text: no tokens, only its separator.
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
     kind = to_arrow_type(docs.schema[doc_id].dataType)
+    code = f"<u{width_of(vocabulary, separator)}"
 
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessera.llm.packing import encoder
@@ -41,7 +50,7 @@ def flat_blocks(docs: DataFrame, vocabulary: str, separator: int, doc_id: str =
             yield out([file] * len(ids), [None] * len(ids), range(ordinal, ordinal + len(ids)), ids, [None] * len(ids))
             ordinal += len(ids)
             for value in batch.column("text").to_pylist():
-                part = np.append(encode(value), separator).astype("<u2")
+                part = np.append(encode(value), separator).astype(code)
                 rest.append(part)
                 held += len(part)
             if held >= block_tokens:
@@ -61,14 +70,14 @@ def flat_blocks(docs: DataFrame, vocabulary: str, separator: int, doc_id: str =
     return src.mapInArrow(flatten, f"file bigint, block bigint, ordinal bigint, id {id_type}, payload binary")
 
 
-def read_flat_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, payload) of token files on disk, each cut into blocks of ``block_tokens`` 16-bit identifiers.
+def read_flat_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, width: int = 2) -> DataFrame:
+    """(file, block, payload) of token files on disk, each cut into blocks of ``block_tokens`` identifiers of ``width`` bytes.
 
     Spark lists the files; every block is then a byte range that a task reads by itself, so a file
     of any length is spread over tasks and none is held whole. Folders are reached by pyarrow's
     file systems (local paths, hdfs, s3, gs). An empty file has no blocks.
     """
-    size = 2 * block_tokens
+    size = width * block_tokens
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
     blocks = files.filter("length > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("block"))
 
@@ -88,12 +97,12 @@ def read_flat_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TO
     return blocks.repartition(tasks, "file", F.floor(F.col("block") / 16)).mapInArrow(read, "file string, block bigint, payload binary")
 
 
-def _scan(separator: int):
+def _scan(separator: int, width: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             firsts, lasts, sizes, inner = [], [], [], [np.empty(0, np.int64)]
             for payload in batch.column("payload"):
-                tokens = np.frombuffer(payload.as_buffer(), "<u2")
+                tokens = np.frombuffer(payload.as_buffer(), f"<u{width}")
                 ends = np.flatnonzero(tokens == separator)
                 sizes.append(len(tokens))
                 firsts.append(int(ends[0]) if len(ends) else None)
@@ -124,16 +133,19 @@ def _prefix(blocks: DataFrame) -> DataFrame:
     return joined.select("file", "block", "size", "first", "last", "inner", (F.col("tb") + F.col("b")).alias("begin"), (F.col("td") + F.col("d")).alias("docs"), F.coalesce(F.col("tb") + F.col("o"), F.col("to")).alias("open"))
 
 
-def count_tokens(blocks: DataFrame, separator: int) -> DataFrame:
+def count_tokens(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
     """(file, ordinal, n_tokens): tokens of every document of every file, without its separator.
 
     * Two separators in a row: a document of no tokens. Tokens after a file's last separator are
       a last document without one. An empty file has no documents.
+    * A separator that doesn't fit ``width`` bytes is an error.
     * ``blocks`` has file, block (counted from 0 in the file's order) and payload; other columns
       are not read.
     """
+    if not 0 <= separator < 1 << 8 * width:
+        raise ValueError(f"the separator {separator} doesn't fit {width} bytes")
     file_type = blocks.schema["file"].dataType.simpleString()
-    scanned = blocks.select("file", "block", "payload").mapInArrow(_scan(separator), f"file {file_type}, block bigint, size bigint, first bigint, last bigint, inner array<bigint>")
+    scanned = blocks.select("file", "block", "payload").mapInArrow(_scan(separator, width), f"file {file_type}, block bigint, size bigint, first bigint, last bigint, inner array<bigint>")
     at = _prefix(written(scanned, "separators"))
     head = F.array(F.col("begin") + F.col("first") - F.col("open"))
     closed = at.filter(F.col("first").isNotNull()).select("file", "docs", F.posexplode(F.concat(head, "inner")).alias("i", "n_tokens")).select("file", (F.col("docs") + F.col("i")).alias("ordinal"), "n_tokens")
@@ -150,6 +162,6 @@ def document_tokens(docs: DataFrame, vocabulary: str, separator: int, doc_id: st
     Only doc_id and text are read. An empty table gives an empty result.
     """
     flat = written(flat_blocks(docs, vocabulary, separator, doc_id, text), "flat-tokens")
-    counts = count_tokens(flat.filter(F.col("payload").isNotNull()), separator)
+    counts = count_tokens(flat.filter(F.col("payload").isNotNull()), separator, width_of(vocabulary, separator))
     order = flat.filter(F.col("ordinal").isNotNull()).select(F.col("file").alias("f"), F.col("ordinal").alias("o"), F.col("id"))
     return counts.join(order, (F.col("file") == F.col("f")) & (F.col("ordinal") == F.col("o"))).select(F.col("id").alias(doc_id), "n_tokens")

@@ -69,3 +69,21 @@ def test_string_ids_and_the_ranks_give_what_the_library_gives(spark, reference):
     assert [encode(t).tolist() for t in texts] == [reference.encode(t, add_special_tokens=False).ids for t in texts]
     df = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
     judge(pk.pack(df, VOCABULARY).collect(), [(f"d{i}", t) for i, t in enumerate(texts)], reference, 1024)
+
+
+LONG = ["a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "x \t" + "\n 　\x85" * 250_000 + "<|endoftext|>" + " " * 200_000 + "y" + "\r\n" * 100_000]
+
+
+def test_long_runs_of_white_space(spark, reference):
+    df = spark.createDataFrame(list(enumerate(LONG)), "doc_id bigint, text string")
+    judge(pk.pack(df, VOCABULARY).collect(), list(enumerate(LONG)), reference, 1024)
+
+
+@pytest.mark.parametrize("text", [" " * 5_000_000, "\n\t" * 2_500_000 + "end", "a" + " " * 20_000_000 + "b", "x" * 3_000_000, "!?" * 1_500_000, "17" * 1_500_000])
+def test_longest_texts(text, reference):
+    """Identifiers spell the text and, on the same kind of text cut to a size that the library does fast, are the library's."""
+    ids = pk.encoder(VOCABULARY)(text)
+    spell = {i: b for b, i in pk.ranks_of(VOCABULARY)[0].items()}
+    assert b"".join(map(spell.__getitem__, ids.tolist())).decode() == text
+    short = text[:150_000] + text[-150_000:]
+    assert pk.encoder(VOCABULARY)(short).tolist() == reference.encode(short, add_special_tokens=False).ids

@@ -51,5 +51,36 @@ def test_documents_over_several_blocks(spark, tiny, monkeypatch):
     assert sorted((str(r.doc_id), r.n_tokens) for r in got) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_long_runs_of_white_space(spark):
+    from tests.llm.test_packing import LONG
+
+    df = spark.createDataFrame(list(enumerate(LONG)), "doc_id bigint, text string")
+    assert sorted((str(r.doc_id), r.n_tokens) for r in tc.document_tokens(df, VOCABULARY, SEPARATOR).collect()) == brute(enumerate(LONG))
+
+
+def test_identifiers_of_32_bits(spark, tmp_path, monkeypatch):
+    """A vocabulary whose numbers pass 16 bits gives wider files; a separator that doesn't fit is an error, not another number."""
+    import json
+
+    with open(VOCABULARY, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab = spec["model"]["vocab"]
+    moved = {t: i if i < 300 else i + 65_536 for t, i in vocab.items()}
+    spec["model"]["vocab"] = moved
+    spec["added_tokens"] = [t | {"id": moved.get(t["content"], t["id"] + 65_536)} for t in spec["added_tokens"]]
+    path = tmp_path / "wide.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    assert (tc.width_of(str(path), 65_536 + 50_256), tc.width_of(VOCABULARY, SEPARATOR)) == (4, 2)
+    rows = [(1, "some words that are tokens"), (2, None), (3, " and others" * 50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((str(r.doc_id), r.n_tokens) for r in tc.document_tokens(df, str(path), 65_536 + 50_256).collect()) == brute(rows)
+    tokens = np.array([70_000, 5, 0, 65_536, 0], "<u4")
+    (tmp_path / "flat").write_bytes(tokens.tobytes())
+    blocks = tc.read_flat_files(spark, f"file://{tmp_path}/flat", 2, 4)
+    assert [r.n_tokens for r in tc.count_tokens(blocks, 0, 4).orderBy("ordinal").collect()] == [2, 1]
+    with pytest.raises(ValueError):
+        tc.count_tokens(blocks, 70_000)
+
+
 def test_empty(none):
     assert tc.document_tokens(none, VOCABULARY, SEPARATOR).count() == 0

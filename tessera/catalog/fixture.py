@@ -12,7 +12,7 @@ from tessera.functions.text import tokenise_code
 from tessera.operators.retrieval import with_postings, write_postings
 from tessera.operators.store import Store
 from tessera.schema import CHUNK_KINDS
-from tessera.session import scratch_path, spread
+from tessera.session import shared_path, spread
 
 KINDS = ", ".join(f"'{k}'" for k in CHUNK_KINDS)
 PATH = """CASE doc_id % 6 WHEN 0 THEN concat('src/', lang, '/m', doc_id, '.py') WHEN 1 THEN concat('tests/test_m', doc_id, '.py')
@@ -80,7 +80,7 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
     """The index over a data folder: derived and written once a session, as an index is, then read from its tables."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
-        made, root = derived(spark, sf_dir), scratch_path(spark, "index")
+        made, root = derived(spark, sf_dir), shared_path(spark, "index")
         tables = {}
         for f in fields(Store):
             df = getattr(made, f.name)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,16 +33,60 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Where that is unset a temporary folder serves a local master; on a cluster it is an error, since executors would write to disks of their own."""
+def _folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset a temporary folder serves a local master, as in tests; on a cluster it is an error, since executors would write to disks of their own."""
     global _own_folder
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        _own_folder = _own_folder or "file://" + tempfile.mkdtemp(prefix="tessera-")
-        root = _own_folder
-    return f"{root.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    _own_folder = _own_folder or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return _own_folder
+
+
+#: Scratch tables of each application that are still there, but for those of runs that haven't ended.
+_made: dict[str, list[str]] = {}
+_run: ContextVar[list[str] | None] = ContextVar("run", default=None)
+
+
+def _listed(spark: SparkSession) -> list[str]:
+    run = _run.get()
+    return _made.setdefault(spark.sparkContext.applicationId, []) if run is None else run
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares, for what lasts as long as the application."""
+    return f"{_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares, listed for ``release``."""
+    path = shared_path(spark, name)
+    _listed(spark).append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """A run: scratch tables that are made inside are listed in its value, and ``release`` inside touches only those. What is left at its end goes to the list around it."""
+    own: list[str] = []
+    token = _run.set(own)
+    try:
+        yield own
+    finally:
+        _run.reset(token)
+        _listed(spark).extend(own)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes scratch tables: ``paths``, or all of this run, or outside of runs all of the application. DataFrames that read them must have been computed before."""
+    held = _listed(spark)
+    for name in list(held if paths is None else paths):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if name in held:
+            held.remove(name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -46,11 +46,18 @@ def test_odd_rows_and_none(spark, odd, none, tiny):
             stage(spark, docs, tiny).count()
 
 
-def test_run_leaves_one_table(spark, tiny):
-    from tessera.llm import _common
+def test_run_leaves_one_table_and_those_of_others(spark, tiny):
+    from tessera import session
+    from tessera.llm.simhash import near_duplicates
 
+    other = near_duplicates(spark.read.parquet(f"{tiny}/documents.parquet"))
+    before = set(session._made[spark.sparkContext.applicationId])
     packed = cp.run(spark, tiny)
-    assert packed.count() > 0 and len(_common._made[spark.sparkContext.applicationId]) == 1
+    after = set(session._made[spark.sparkContext.applicationId])
+    assert before and before <= after and len(after - before) == 1
+    assert packed.count() > 0 and other.count() > 0
+    session.release(spark, list(after - before))
+    assert set(session._made[spark.sparkContext.applicationId]) == before
 
 
 def test_repeated_and_null_ids_keep_their_own_texts(spark, tiny):

@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import release, scratch_path, written
+from tessera.llm._common import written
 from tessera.llm.line_dedup import drop_shared_lines
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality
 from tessera.llm.queries import vocabulary
 from tessera.llm.secrets import redacted, secret_spans
 from tessera.llm.simhash import near_duplicates
+from tessera.session import release, scratch, scratch_path
 
 
 def _carrying(docs: DataFrame, *but: str) -> DataFrame:
@@ -65,13 +66,16 @@ STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("simhas
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        path = scratch_path(spark, name.replace(" ", "-"))
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
+        with scratch(spark) as made:
+            out = stage(spark, docs, sf_dir)
+            path = scratch_path(spark, name.replace(" ", "-"))
+            out.write.parquet(path)
+            release(spark, [p for p in made if p != path])
         docs = spark.read.schema(out.schema).parquet(path)
-        release(spark, but=(path,))  # what earlier stages wrote isn't needed any more
+        release(spark, before)  # the stage's input isn't needed any more
+        before = [path]
     return docs
 
 

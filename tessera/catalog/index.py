@@ -10,6 +10,7 @@ from tessera.operators import diff, gc, graph
 from tessera.operators import store as st
 from tessera.plans import build as plan
 from tessera.plans import search as hybrid
+from tessera.session import written
 from tessera.sources.languages import Registry
 
 AT = "fs.repo_id = 1 AND fs.snapshot_sha = 'head'"
@@ -365,4 +366,4 @@ def e11(spark, d):
     meta = lambda module, names=none: F.struct(module.alias("module"), names.alias("names"), none.alias("dots"), none.alias("language_hint"))
     sections = base.select("id", "file_path", "language", F.lit("doc_section").alias("kind"), F.lit("body").alias("name"), F.lit(1).alias("line_start"), meta(none).alias("metadata"))
     links = base.select(F.concat(F.lit("i"), "id").alias("id"), "file_path", "language", F.lit("import").alias("kind"), F.lit("link").alias("name"), F.lit(1).alias("line_start"), meta(F.concat(F.lit("./p"), (F.col("page_id") + 1).cast("string"), F.lit(".html"))).alias("metadata"))
-    return graph.infer_edges(sections.unionByName(links), base.select("file_path"), Registry().languages)
+    return graph.infer_edges(written(sections.unionByName(links), "linked"), base.select("file_path"), Registry().languages)

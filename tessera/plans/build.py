@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluation as ev
 from tessera.operators import store as st
-from tessera.operators.graph import infer_edges
+from tessera.operators.graph import edges_after, infer_edges
 from tessera.plans import tables
 from tessera.schema import CHUNK_KINDS
 from tessera.session import written
@@ -18,28 +18,48 @@ from tessera.sources.languages import Registry
 from tessera.sources.symbols import extract_symbols
 
 
+#: What edges are inferred from.
+LINKED = ["id", "file_path", "kind", "name", "language", "line_start", "metadata"]
+
+
 def build(store: st.Store, repo_id: int, snapshot: str, files: DataFrame, registry: Registry | None = None, at=None) -> st.Store:
     """The store with a snapshot of ``files`` (file_path, content) indexed.
 
-    Only blobs that aren't current are parsed. Chunks and their files come together, edges are
-    inferred over the whole snapshot, and the completion row is last.
+    Only blobs that aren't current are parsed, once: their chunks are written, and so is what edges
+    are inferred from. Edges are inferred over the whole snapshot, or, where the repository has an
+    indexed snapshot already, for the imports that the changed files concern. Chunks and their files
+    come together, and the completion row is last.
     """
     registry = registry or Registry()
+    spark = files.sparkSession
     text = files.select("file_path", F.col("content").cast("string").alias("content"), F.md5(F.col("content").cast("binary")).alias("blob_sha"))
     text = text.withColumn("language", registry.detect(F.col("file_path")))
-    serials = files.sparkSession.createDataFrame(registry.serials(), "language string, extraction_serial int")
+    serials = spark.createDataFrame(registry.serials(), "language string, extraction_serial int")
     current = st.blobs_current(store, text.select("blob_sha", "language").distinct(), serials).filter("up_to_date").select("blob_sha")
     present = store.chunks.select("blob_sha", "file_path").distinct()
     due = text.join(text.join(current, "blob_sha", "left_semi").join(present, ["blob_sha", "file_path"], "left_semi").select("blob_sha", "file_path"), ["blob_sha", "file_path"], "left_anti")
-    chunks = st.upsert_chunks(store.chunks, extract_symbols(due, registry.serials(), registry.languages).select(*store.chunks.columns))
-    rows = text.select(F.lit(repo_id).cast("int").alias("repo_id"), F.lit(snapshot).alias("snapshot_sha"), "file_path", "blob_sha", F.col("language").alias("detected_language"))
-    staged = store.but(chunks=chunks, file_snapshots=st.replace_snapshot(store.file_snapshots, repo_id, snapshot, rows))
-    seen = st.at_snapshots(staged, repo_id=repo_id, snapshot=snapshot)
-    edges = infer_edges(seen, rows.select("file_path"), registry.languages)
+    parsed = written(extract_symbols(due, registry.serials(), registry.languages).select(*store.chunks.columns), "parsed")
+    rows = written(text.select(F.lit(repo_id).cast("int").alias("repo_id"), F.lit(snapshot).alias("snapshot_sha"), "file_path", "blob_sha", F.col("language").alias("detected_language")), "files")
+    staged = store.but(chunks=st.upsert_chunks(store.chunks, parsed), file_snapshots=st.replace_snapshot(store.file_snapshots, repo_id, snapshot, rows))
+    seen = written(st.at_snapshots(staged, repo_id=repo_id, snapshot=snapshot).select(*LINKED), "seen")
+    edges = written(_edges(store, repo_id, snapshot, seen, rows, parsed, registry), "edges")
     edges = edges.select(F.lit(repo_id).cast("int").alias("repo_id"), "source_id", "target_id", "kind", F.lit(snapshot).alias("snapshot_sha"))
     return staged.but(edges=st.replace_snapshot(store.edges, repo_id, snapshot, edges), indexed_snapshots=st.mark_indexed(store.indexed_snapshots, repo_id, snapshot, at))
 
 
+def _edges(store: st.Store, repo_id: int, snapshot: str, seen: DataFrame, rows: DataFrame, parsed: DataFrame, registry: Registry) -> DataFrame:
+    """The edges of ``snapshot``, from those of the repository's latest other snapshot where there is one. Files whose blob was parsed anew count as changed, as an extractor may have."""
+    last = st.latest_snapshots(store.but(indexed_snapshots=store.indexed_snapshots.filter((F.col("repo_id") == repo_id) & (F.col("snapshot_sha") != snapshot)))).first()
+    paths = rows.select("file_path")
+    if last is None:
+        return infer_edges(seen, paths, registry.languages)
+    own = (F.col("repo_id") == repo_id) & (F.col("snapshot_sha") == last.snapshot_sha)
+    old = store.file_snapshots.filter(own).select("file_path", F.col("blob_sha").alias("old"))
+    changed = rows.join(old, "file_path", "full").filter(~F.col("blob_sha").eqNullSafe(F.col("old"))).select("file_path").unionByName(parsed.select("file_path"))
+    before = st.at_snapshots(store, repo_id=repo_id, snapshot=last.snapshot_sha).select(*LINKED)
+    return edges_after(store.edges.filter(own), before, seen, paths, written(changed.distinct(), "changed"), registry.languages)
+
+
 def embedding_text(name, content):
     return F.concat_ws("\n", name, content)
 

@@ -65,7 +65,7 @@ def split(texts: pa.Array, kinds: np.ndarray) -> Words:
     row = np.searchsorted(offsets, start, side="right") - 1
     cut = kind == BREAK
     cut[edge] = True
-    piece = np.cumsum(cut, dtype=np.int64)[start]
+    piece = np.cumsum(cut, dtype=np.int32)[start]
     return Words(data, inside, start, end - start, row, piece)
 
 

@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,84 +21,151 @@ from tessera.operators.store import Store, at_snapshots, inbound_degree
 from tessera.plans.search import LEXICAL_POOL, NOT_SEMANTIC, SEMANTIC_POOL
 from tessera.session import written
 
-#: Queries of a batch that are held by every task as a block, at most; larger batches are to be cut.
-MOST_QUERIES = 20_000
+#: Vectors of queries that every task holds as one matrix; larger batches are searched in so many parts.
+MATRIX = 1 << 14
+#: Queries and rows that are multiplied at once.
+TILE = 1024
+#: Names are indexed by their runs of so many characters.
+GRAM = 3
 ROW = ["query", "id", "repo_id"]
 
 
-def _held(queries: DataFrame, *columns: str) -> list:
-    rows = queries.select("query", *columns).limit(MOST_QUERIES + 1).collect()  # a request's queries
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"a batch has at most {MOST_QUERIES} queries")
-    return rows
+def visible(store: Store, refs: DataFrame) -> DataFrame:
+    """(id, repo_id, file_path, kind, name) of the chunks visible at ``refs``, once a repository; written, since every channel reads it."""
+    return written(at_snapshots(store, refs, once=True).select("id", "repo_id", "file_path", "kind", "name"), "visible")
 
 
-def lexical_many(store: Store, refs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def lexical_many(store: Store, refs: DataFrame, queries: DataFrame, k: int, seen: DataFrame | None = None) -> DataFrame:
     """(query, id, repo_id, lexical): every query's ``k`` best by BM25 among the chunks visible at ``refs``."""
     postings, stats = retrieval.postings_for(store)
     scored = retrieval.bm25(postings, stats, queries).withColumn("lexical", F.round("score", 9))
-    seen = at_snapshots(store, refs, once=True).select("id", "repo_id")
+    seen = (at_snapshots(store, refs, once=True) if seen is None else seen).select("id", "repo_id")
     w = Window.partitionBy("query").orderBy(F.desc("lexical"), "id", "repo_id")
     return scored.join(seen, "id").withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= k).select(*ROW, "lexical")
 
 
-def named_many(store: Store, refs: DataFrame, queries: DataFrame) -> DataFrame:
+def _grams(text: Column) -> Column:
+    """The distinct runs of ``GRAM`` characters; a shorter text is its own."""
+    runs = F.transform(F.sequence(F.lit(1), F.char_length(text) - GRAM + 1), lambda i: F.substring(text, i, F.lit(GRAM)))
+    return F.when(F.char_length(text) < GRAM, F.array(text)).otherwise(F.array_distinct(runs))
+
+
+def name_grams(names: DataFrame) -> DataFrame:
+    """(gram, name) of distinct ``names``: the index that substrings are looked up in, with the runs of one and two characters and the empty one that short requests need."""
+    low = F.lower("name")
+    short = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(low) - n + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(n))))
+    return names.select("name", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[short(n) for n in range(1, GRAM)], _grams(low)))).alias("gram"))
+
+
+def named_many(store: Store, refs: DataFrame, queries: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """(query, id, repo_id) of all chunks of the best tier that occurs at all for the query, as ``match_by_name`` has it.
 
-    Each distinct name meets the block of queries once, in Arrow batches; only matches leave the worker.
+    Names that equal the text are an equi-join. The other queries go by the rarest gram of their
+    longest stretch without a wildcard: it is joined with the names' grams, and only names that hold
+    it are compared with the text. A text without such a stretch means every name.
     """
-    asked = [(r["query"], r.text or "") for r in _held(queries, "text")]
-    seen = at_snapshots(store, refs, once=True).select("id", "repo_id", "name")
-    query_type = queries.schema["query"].dataType.simpleString()
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.column("name")
-            for query, text in asked:
-                like = lambda pattern: pc.match_like(names, pattern.replace("\\", "\\\\"), ignore_case=True)  # noqa: B023, E731
-                hit = names.filter(like(f"%{text}%"))
-                if len(hit):
-                    near = lambda pattern: pc.match_like(hit, pattern.replace("\\", "\\\\"), ignore_case=True)  # noqa: B023, E731
-                    tier = pc.if_else(pc.equal(hit, text), 1, pc.if_else(near(text), 2, pc.if_else(near(text + "%"), 3, 4)))
-                    yield pa.RecordBatch.from_arrays([pa.array([query] * len(hit)), hit, tier.cast(pa.int32())], names=["query", "name", "tier"])
-
-    tiers = written(seen.select("name").distinct().filter(F.col("name").isNotNull()).mapInArrow(match, f"query {query_type}, name string, tier int"), "names")
+    seen = (at_snapshots(store, refs, once=True) if seen is None else seen).select("id", "repo_id", "name").filter(F.col("name").isNotNull())
+    names = written(seen.select("name").distinct(), "names")
+    asked = queries.select("query", F.coalesce("text", F.lit("")).alias("text"))
+    equal = asked.join(names, F.col("text") == F.col("name")).select("query", "name", F.lit(1).alias("tier"))
+    stretches = F.split(F.lower("text"), "[%_]")
+    longest = F.get(F.transform(F.array_sort(F.transform(stretches, lambda x: F.struct((-F.char_length(x)).alias("n"), x.alias("x")))), lambda y: y["x"]), F.lit(0))
+    open_ = asked.join(equal.select("query").distinct(), "query", "left_anti").withColumn("part", longest).select("query", "text", F.explode(_grams(F.col("part"))).alias("gram"))
+    index = name_grams(names)
+    sizes = index.join(open_.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = open_.join(sizes, "gram", "left").groupBy("query", "text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))  # a gram that no name has finds none
+    pairs = index.join(written(rarest.filter("g.n > 0").select("query", "text", F.col("g.gram").alias("gram")), "grams"), "gram").select("query", "text", "name")
+    wild, low, sought = F.rlike("text", F.lit("[%_]")), F.lower("name"), F.lower("text")
+    like = lambda pattern, plain: F.when(wild, F.expr(f"name ILIKE {pattern} ESCAPE '\x01'")).otherwise(plain)
+    within = like("concat('%', text, '%')", F.contains(low, sought))
+    tier = F.when(like("text", low == sought), 2).when(like("concat(text, '%')", F.startswith(low, sought)), 3).otherwise(4)
+    tiers = written(equal.unionByName(pairs.filter(within).select("query", "name", tier.alias("tier"))), "name-tiers")
     best = tiers.groupBy("query").agg(F.min("tier").alias("tier"))
     return tiers.join(best, ["query", "tier"]).select("query", "name").join(seen, "name").select(*ROW)
 
 
-def semantic_many(store: Store, refs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, id, repo_id, kind, semantic): every query's ``k`` best by the largest cosine to any of its ``vectors`` (array of vectors).
+class Best:
+    """The ``k`` best rows of every query among those that came so far; of equal scores the one that came first stays."""
 
-    The batch's vectors are one matrix; a task keeps ``k`` rows a query of each Arrow batch.
-    """
-    asked = [(r["query"], v) for r in _held(queries, "vectors") for v in r.vectors or []]
-    query_type = queries.schema["query"].dataType.simpleString()
-    seen = at_snapshots(store, refs, once=True).filter(F.col("embedding").isNotNull()).select("id", "repo_id", "kind", F.col("embedding").cast("array<double>").alias("v"))
-    if not asked:
-        return seen.select(F.lit(None).cast(query_type).alias("query"), "id", "repo_id", "kind", F.lit(0.0).alias("semantic")).limit(0)
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.query, self.row, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def add(self, first: int, scores: np.ndarray, rows: np.ndarray) -> None:
+        """``scores`` of the queries from ``first`` on (down) with ``rows`` (across); -inf and NaN never count."""
+        q, r = np.nonzero(scores > self.least[first : first + len(scores), None])
+        if not len(q):
+            return
+        mine = slice(*np.searchsorted(self.query, [first, first + len(scores)]))
+        query, row, score = (np.concatenate(x) for x in ((self.query[mine], q + first), (self.row[mine], rows[r]), (self.score[mine], scores[q, r])))
+        order = np.lexsort((row, -score, query))
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order], side="left")
+        order = order[place < self.k]
+        full = order[place[place < self.k] == self.k - 1]
+        self.least[query[full]] = score[full]
+        self.query, self.row, self.score = (np.concatenate([x[: mine.start], y[order], x[mine.stop :]]) for x, y in ((self.query, query), (self.row, row), (self.score, score)))
+
+
+def _nearest(asked: list[tuple], query_type: str, k: int):
+    """A pass over rows (id, repo_id, kind, v) in order of id and repo_id that gives each query's ``k`` best."""
+    names = list(dict.fromkeys(q for q, _ in asked))
+    number = {q: i for i, q in enumerate(names)}
+    asked = sorted(asked, key=lambda a: number[a[0]])
     matrix = np.array([v for _, v in asked], np.float64)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    names = list(dict.fromkeys(q for q, _ in asked))
-    owner = np.array([names.index(q) for q, _ in asked])
+    begins = np.searchsorted([number[q] for q, _ in asked], np.arange(len(names) + 1))  # of every query its first vector
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, held, seen = Best(len(names), k), None, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
             x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            norm = np.linalg.norm(x, axis=1)
-            cosine = (matrix @ x.T) / np.where(norm > 0, norm, np.nan)
-            best = np.full((len(names), batch.num_rows), -np.inf)
-            np.maximum.at(best, owner, cosine)
-            top = np.argsort(-best, axis=1, kind="stable")[:, :k]
-            row, at = np.repeat(np.arange(len(names)), top.shape[1]), top.ravel()
-            good = np.isfinite(best[row, at])
-            row, at = row[good], at[good]
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in row.tolist()]), batch.column("id").take(take), batch.column("repo_id").take(take), batch.column("kind").take(take), pa.array(best[row, at].round(9))], names=["query", "id", "repo_id", "kind", "semantic"])
-
-    kept = seen.mapInArrow(near, f"query {query_type}, id string, repo_id int, kind string, semantic double")
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            x = x / np.where(norm > 0, norm, np.nan)
+            for at in range(0, len(x), TILE):
+                rows = np.arange(seen + at, seen + min(at + TILE, len(x)))
+                for q in range(0, len(names), TILE):
+                    cuts = begins[q : q + TILE + 1]
+                    cosine = matrix[cuts[0] : cuts[-1]] @ x[at : at + TILE].T
+                    best.add(q, np.maximum.reduceat(cosine, cuts[:-1] - cuts[0], axis=0).round(9), rows)
+            fresh = batch.select(["id", "repo_id", "kind"])
+            table = pa.Table.from_batches([fresh]).add_column(0, "row", pa.array(np.arange(seen, seen + len(x))))
+            held = table if held is None else pa.concat_tables([held, table])
+            seen += len(x)
+            kept = np.unique(best.row)  # only rows that still count are held
+            held = held.take(pa.array(np.searchsorted(held.column("row").to_numpy(), kept))).combine_chunks()
+        if held is None:
+            return
+        at = np.searchsorted(held.column("row").to_numpy(), best.row)
+        for i in range(0, len(at), 1 << 16):
+            part = held.take(pa.array(at[i : i + (1 << 16)])).combine_chunks()
+            yield from pa.table([pa.array([names[n] for n in best.query[i : i + (1 << 16)].tolist()]), *[part.column(c) for c in ("id", "repo_id", "kind")], pa.array(best.score[i : i + (1 << 16)])], names=["query", "id", "repo_id", "kind", "semantic"]).to_batches()
+
+    return near
+
+
+def semantic_many(store: Store, refs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query, id, repo_id, kind, semantic): every query's ``k`` best by the largest cosine to any of its ``vectors`` (array of vectors).
+
+    A batch's vectors are one matrix, in parts of about ``MATRIX`` vectors by a hash of the query.
+    A task meets them with its rows in tiles and keeps ``k`` rows a query over all of its rows.
+    """
+    query_type = queries.schema["query"].dataType.simpleString()
+    seen = at_snapshots(store, refs, once=True).filter(F.col("embedding").isNotNull()).select("id", "repo_id", "kind", F.col("embedding").cast("array<double>").alias("v"))
+    schema = f"query {query_type}, id string, repo_id int, kind string, semantic double"
+    given = queries.filter(F.size(F.coalesce("vectors", F.array())) > 0).select("query", "vectors")
+    parts = -(-(given.agg(F.sum(F.size("vectors"))).first()[0] or 0) // MATRIX)
+    rows, out = seen.sortWithinPartitions("id", "repo_id"), []
+    for i in range(parts):
+        some = given.filter(F.pmod(F.xxhash64("query"), F.lit(parts)) == i).collect()  # a part of a request
+        asked = [(r["query"], v) for r in some for v in r.vectors]
+        if asked:
+            near = rows.mapInArrow(_nearest(asked, query_type, k), schema)
+            out.append(near if parts == 1 else written(near, "nearest"))
+    if not out:
+        return seen.select(F.lit(None).cast(query_type).alias("query"), "id", "repo_id", "kind", F.lit(0.0).alias("semantic")).limit(0)
+    kept = out[0]
+    for more in out[1:]:
+        kept = kept.unionByName(more)
     w = Window.partitionBy("query").orderBy(F.desc("semantic"), "id", "repo_id")
     return kept.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= k).drop("__n")
 
@@ -110,17 +176,17 @@ def candidates_many(store: Store, refs: DataFrame, queries: DataFrame, k: int =
     The channels and their pools are those of ``search``; ``queries`` may have ``vectors``. The
     result is written, so tuning under many settings reads it and runs no channel again.
     """
-    channels = [(lexical_many(store, refs, queries, LEXICAL_POOL * k), "lexical")]
+    seen = visible(store, refs)
+    channels = [(lexical_many(store, refs, queries, LEXICAL_POOL * k, seen), "lexical")]
     if "vectors" in queries.columns:
         near = semantic_many(store, refs, queries, SEMANTIC_POOL * k).filter(~F.col("kind").isin(*NOT_SEMANTIC))
         w = Window.partitionBy("query").orderBy(F.desc("semantic"), "id", "repo_id")
         channels.append((near.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= LEXICAL_POOL * k).select(*ROW, "semantic"), "semantic"))
-    channels.append((named_many(store, refs, queries).withColumn("by_name", F.lit(0.0)), "by_name"))
+    channels.append((named_many(store, refs, queries, seen).withColumn("by_name", F.lit(0.0)), "by_name"))
     merged = ranking.merge_channels(*channels, keys=tuple(ROW)).drop("by_name")
     if "vectors" not in queries.columns:
         merged = merged.withColumn("semantic", F.lit(0.0))
-    slim = at_snapshots(store, refs, once=True).select("id", "repo_id", "file_path", "kind", "name")
-    rows = merged.join(slim, ["id", "repo_id"]).join(queries.select("query", "text"), "query")
+    rows = merged.join(seen, ["id", "repo_id"]).join(queries.select("query", "text"), "query")
     return written(ranking.signals(rows, F.col("text"), inbound_degree(store, refs)), "batch-candidates")
 
 

@@ -85,25 +85,24 @@ def named_many(store: Store, refs: DataFrame, queries: DataFrame, seen: DataFram
 
 
 class Best:
-    """The ``k`` best rows of every query among those that came so far; of equal scores the one that came first stays."""
+    """The ``k`` best rows of each of some queries among those that came so far; of equal scores the one that came first stays."""
 
     def __init__(self, queries: int, k: int):
-        self.k, self.least = k, np.full(queries, -np.inf)
+        self.k, self.least = k, np.full((queries, 1), -np.inf)
         self.query, self.row, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
 
-    def add(self, first: int, scores: np.ndarray, rows: np.ndarray) -> None:
-        """``scores`` of the queries from ``first`` on (down) with ``rows`` (across); -inf and NaN never count."""
-        q, r = np.nonzero(scores > self.least[first : first + len(scores), None])
+    def add(self, scores: np.ndarray, rows: np.ndarray) -> None:
+        """``scores`` of the queries (down) with ``rows`` (across); -inf and NaN never count."""
+        q, r = np.nonzero(scores > self.least)
         if not len(q):
             return
-        mine = slice(*np.searchsorted(self.query, [first, first + len(scores)]))
-        query, row, score = (np.concatenate(x) for x in ((self.query[mine], q + first), (self.row[mine], rows[r]), (self.score[mine], scores[q, r])))
+        query, row, score = (np.concatenate(x) for x in ((self.query, q), (self.row, rows[r]), (self.score, scores[q, r])))
         order = np.lexsort((row, -score, query))
         place = np.arange(len(order)) - np.searchsorted(query[order], query[order], side="left")
-        order = order[place < self.k]
-        full = order[place[place < self.k] == self.k - 1]
-        self.least[query[full]] = score[full]
-        self.query, self.row, self.score = (np.concatenate([x[: mine.start], y[order], x[mine.stop :]]) for x, y in ((self.query, query), (self.row, row), (self.score, score)))
+        order, place = order[place < self.k], place[place < self.k]
+        self.query, self.row, self.score = query[order], row[order], score[order]
+        full = place == self.k - 1
+        self.least[self.query[full], 0] = self.score[full]
 
 
 def _nearest(asked: list[tuple], query_type: str, k: int):
@@ -116,29 +115,31 @@ def _nearest(asked: list[tuple], query_type: str, k: int):
     begins = np.searchsorted([number[q] for q, _ in asked], np.arange(len(names) + 1))  # of every query its first vector
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, held, seen = Best(len(names), k), None, 0
+        best, held, seen = [Best(min(TILE, len(names) - q), k) for q in range(0, len(names), TILE)], None, 0
         for batch in batches:
             x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             norm = np.linalg.norm(x, axis=1, keepdims=True)
             x = x / np.where(norm > 0, norm, np.nan)
             for at in range(0, len(x), TILE):
                 rows = np.arange(seen + at, seen + min(at + TILE, len(x)))
-                for q in range(0, len(names), TILE):
-                    cuts = begins[q : q + TILE + 1]
+                for n, some in enumerate(best):
+                    cuts = begins[n * TILE : n * TILE + TILE + 1]
                     cosine = matrix[cuts[0] : cuts[-1]] @ x[at : at + TILE].T
-                    best.add(q, np.maximum.reduceat(cosine, cuts[:-1] - cuts[0], axis=0).round(9), rows)
+                    if len(cosine) > len(cuts) - 1:  # queries of several vectors
+                        cosine = np.maximum.reduceat(cosine, cuts[:-1] - cuts[0], axis=0)
+                    some.add(cosine.round(9), rows)
             fresh = batch.select(["id", "repo_id", "kind"])
             table = pa.Table.from_batches([fresh]).add_column(0, "row", pa.array(np.arange(seen, seen + len(x))))
             held = table if held is None else pa.concat_tables([held, table])
             seen += len(x)
-            kept = np.unique(best.row)  # only rows that still count are held
+            kept = np.unique(np.concatenate([b.row for b in best]))  # only rows that still count are held
             held = held.take(pa.array(np.searchsorted(held.column("row").to_numpy(), kept))).combine_chunks()
         if held is None:
             return
-        at = np.searchsorted(held.column("row").to_numpy(), best.row)
-        for i in range(0, len(at), 1 << 16):
-            part = held.take(pa.array(at[i : i + (1 << 16)])).combine_chunks()
-            yield from pa.table([pa.array([names[n] for n in best.query[i : i + (1 << 16)].tolist()]), *[part.column(c) for c in ("id", "repo_id", "kind")], pa.array(best.score[i : i + (1 << 16)])], names=["query", "id", "repo_id", "kind", "semantic"]).to_batches()
+        for n, some in enumerate(best):
+            part = held.take(pa.array(np.searchsorted(held.column("row").to_numpy(), some.row)))
+            mine = pa.array([names[n * TILE + q] for q in some.query.tolist()])
+            yield from pa.table([mine, *[part.column(c) for c in ("id", "repo_id", "kind")], pa.array(some.score)], names=["query", "id", "repo_id", "kind", "semantic"]).to_batches(max_chunksize=1 << 16)
 
     return near
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.paths import chunk_id
 from tessera.functions.text import tokenise_code
-from tessera.operators.retrieval import with_postings, write_postings
+from tessera.operators.retrieval import with_postings, write_postings, written_postings
 from tessera.operators.store import Store
 from tessera.schema import CHUNK_KINDS
 from tessera.session import shared_path, spread
@@ -88,7 +88,7 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
                 df.write.parquet(f"{root}/{f.name}")
                 tables[f.name] = spark.read.schema(df.schema).parquet(f"{root}/{f.name}")
         write_postings(tables["chunks"], root)
-        _written[key] = with_postings(Store(**tables), root)
+        _written[key] = with_postings(Store(**tables), *written_postings(spark, root))
     return _written[key]
 
 

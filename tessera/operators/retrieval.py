@@ -21,8 +21,7 @@ def tokens_of(chunks: DataFrame) -> DataFrame:
 
 def build_postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The inverted index: postings (term, id, tf, dl) and one row of statistics (n, avgdl)."""
-    lengths = chunks.select(F.size(F.filter(F.split(F.concat_ws(" ", "name_tokens", "content_tokens"), " "), lambda t: t != "")).alias("dl"))
-    return tokens_of(chunks).select("term", "id", "tf", "dl"), lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return tokens_of(chunks).select("term", "id", "tf", "dl"), doc_lengths(chunks).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 #: Buckets of terms that written postings are partitioned by.
@@ -33,20 +32,39 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_postings(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Postings by bucket of term, so that a query reads only the buckets of its terms. A very common term's bucket is cut by chunk, so that no task writes all of it."""
-    postings, stats = build_postings(chunks)
-    bucketed = postings.withColumn("bucket", bucket_of(F.col("term"), buckets))
-    spread = bucketed.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term")
-    spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
+POSTINGS = "term string, id string, tf bigint, dl int, bucket int"
+STATS = "n bigint, avgdl double"
 
 
-def with_postings(store: Store, path: str) -> Store:
-    """The store with the full-text index that is written under ``path``, in ``BUCKETS`` buckets."""
-    spark = store.chunks.sparkSession
-    postings = spark.read.schema("term string, id string, tf bigint, dl int, bucket int").parquet(f"{path}/postings")
-    return store.but(chunks=store.chunks, postings=postings, posting_stats=spark.read.schema("n bigint, avgdl double").parquet(f"{path}/stats"))
+def doc_lengths(chunks: DataFrame) -> DataFrame:
+    """(id, dl) of every chunk, those without a term too."""
+    return chunks.select("id", F.size(F.filter(F.split(F.concat_ws(" ", "name_tokens", "content_tokens"), " "), lambda t: t != "")).alias("dl"))
+
+
+def write_postings(chunks: DataFrame | None, path: str, buckets: int = BUCKETS, postings: DataFrame | None = None, docs: DataFrame | None = None, small: bool = False) -> None:
+    """Postings by bucket of term, so that a query reads only the buckets of its terms, their statistics and the lengths of chunks. A very common term's bucket is cut by chunk, so that no task writes all of it.
+
+    Instead of ``chunks``, ``postings`` and ``docs`` that are there already may be given. What is
+    ``small`` is one file in order of buckets, which are then found by its statistics.
+    """
+    made = tokens_of(chunks).select("term", "id", "tf", "dl") if postings is None else postings.select("term", "id", "tf", "dl")
+    bucketed = made.withColumn("bucket", bucket_of(F.col("term"), buckets))
+    spread = bucketed.coalesce(1) if small else bucketed.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
+    spread.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy(*[] if small else ["bucket"]).parquet(f"{path}/postings")
+    (doc_lengths(chunks) if docs is None else docs.select("id", "dl")).write.mode("overwrite").parquet(f"{path}/docs")
+    spark = (postings if chunks is None else chunks).sparkSession
+    sizes = spark.read.schema("id string, dl int").parquet(f"{path}/docs")
+    sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def with_postings(store: Store, postings: DataFrame, stats: DataFrame) -> Store:
+    """The store with a full-text index over its chunks, in ``BUCKETS`` buckets."""
+    return store.but(chunks=store.chunks, postings=postings, posting_stats=stats)
+
+
+def written_postings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) that ``write_postings`` wrote."""
+    return spark.read.schema(POSTINGS).parquet(f"{path}/postings"), spark.read.schema(STATS).parquet(f"{path}/stats")
 
 
 def words_of(spark: SparkSession, text: str) -> tuple[list[str], list[int]]:

@@ -13,7 +13,7 @@ from tessera.operators import store as st
 from tessera.operators.graph import edges_after, infer_edges
 from tessera.plans import tables
 from tessera.schema import CHUNK_KINDS
-from tessera.session import written
+from tessera.session import numbered, scratch_path, written
 from tessera.sources.languages import Registry
 from tessera.sources.symbols import extract_symbols
 
@@ -64,18 +64,23 @@ def embedding_text(name, content):
     return F.concat_ws("\n", name, content)
 
 
-def embed(store: st.Store, model: Callable[[list[str]], list[tuple[list[float], bool]]]) -> st.Store:
-    """Chunks without a vector get one; ``model`` maps texts to (vector, truncated)."""
+def vectors_of(texts: DataFrame, model: Callable[[list[str]], list[tuple[list[float], bool]]]) -> DataFrame:
+    """(id, embedding, embedding_truncated) of ``texts`` (id, text); ``model`` maps texts to (vector, truncated)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), 32):
                 part = batch.iloc[i : i + 32]
                 made = model(part["text"].tolist())
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "embedding": [list(map(float, v)) for v, _ in made], "truncated": [t for _, t in made]})
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "embedding": [list(map(float, v)) for v, _ in made], "embedding_truncated": [t for _, t in made]})
+
+    return texts.mapInPandas(run, tables.VECTORS)
 
+
+def embed(store: st.Store, model: Callable[[list[str]], list[tuple[list[float], bool]]]) -> st.Store:
+    """Chunks without a vector get one."""
     due = store.chunks.filter(F.col("embedding").isNull()).select("id", embedding_text(F.col("name"), F.col("content")).alias("text"))
-    return store.but(chunks=st.update_embeddings(store.chunks, due.mapInPandas(run, "id string, embedding array<float>, truncated boolean")))
+    return store.but(chunks=st.update_embeddings(store.chunks, vectors_of(due, model).withColumnRenamed("embedding_truncated", "truncated")))
 
 
 def hashed_vectors(texts: list[str], size: int = 16) -> list[tuple[list[float], bool]]:
@@ -156,18 +161,19 @@ def opened(store: st.Store, schema: str, model: tuple[str, str]) -> st.Store:
 def embed_pages(spark, root: str, model: Callable[[list[str]], list[tuple[list[float], bool]]], page: int = 100_000) -> int:
     """Embeds what has no vector yet in the store at ``root``, ``page`` chunks to a commit; the pages done now.
 
-    Chunks without a vector are the queue, so whatever ends the work, the next call goes on with
-    the page that wasn't committed.
+    What is due is written once, by page. A page is read alone, goes to the model in tasks of a few
+    hundred texts, and commits its vectors only. Chunks without a vector are the queue, so whatever
+    ends the work, the next call goes on with the pages that weren't committed.
     """
-    pages = 0
-    while True:
-        store = tables.load(spark, root)
-        due = store.chunks.filter(F.col("embedding").isNull()).orderBy("id").limit(page)
-        if due.isEmpty():
-            return pages
-        done = embed(store.but(chunks=due.select(*store.chunks.columns)), model).chunks.select("id", "embedding", F.col("embedding_truncated").alias("truncated"))
-        tables.commit(store.but(chunks=st.update_embeddings(store.chunks, written(done, "vectors"))), root, changed=("chunks",))
-        pages += 1
+    due = tables.load(spark, root).chunks.filter(F.col("embedding").isNull()).select("id", embedding_text(F.col("name"), F.col("content")).alias("text"))
+    rows = numbered(due, "id").withColumn("page", F.floor((F.col("number") - 1) / page)).drop("number")
+    queue = scratch_path(spark, "due")
+    rows.write.partitionBy("page").parquet(queue)
+    counts = spark.read.schema(rows.schema).parquet(queue).groupBy("page").count().orderBy("page").collect()  # one row a page
+    for r in counts:
+        texts = spark.read.schema("id string, text string").parquet(f"{queue}/page={r.page}").repartition(-(-r["count"] // 512))
+        tables.append(spark, root, vectors=vectors_of(texts, model))
+    return len(counts)
 
 
 def profile(store: st.Store) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WHITE, ascii_lower, text_or_empty, written
+from tessera.llm._common import WHITE, ascii_lower, text_or_empty, unclashing, written
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -36,12 +36,14 @@ def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
       row is returned. A null doc_id counts as no document and never is the largest, but
       loses shared lines like any other.
     * Columns other than the two named are not read. An empty table gives an empty result.
-    * The columns named in ``carry`` are returned too, each row's own; their names must not clash.
+    * The columns named in ``carry`` are returned too, each row's own; a name that clashes is an error.
 
     Only hashes of lines, never lines, are shuffled for the count; the partial counts are
     combined before each shuffle, so a line that a third of all documents hold stays cheap.
     """
+    unclashing(carry, doc_id, "n_lines", "n_dropped", "kept_text")
     src = docs.select(F.col(doc_id).alias("__id"), text_or_empty(text).alias("__text"), *carry)
+    whole = [h.alias(n) for h, n in zip(_hashes(F.col("__text")), ("__t1", "__t2"), strict=True)]
     lines = F.split("__text", "\n", -1)
     long_keys = F.array_distinct(F.filter(F.transform(lines, _key), lambda k: F.char_length(k) >= min_chars))
     holders = src.select("__id", F.explode(long_keys).alias("__k")).select("__id", *_hashes(F.col("__k")))
@@ -53,17 +55,17 @@ def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     )
     shared = written(shared, "shared-lines")  # its size is known from here on, and the join below may split hot lines
     placed = (
-        src.select("__id", F.xxhash64("__text").alias("__t"), F.posexplode(F.transform(lines, _key)).alias("__pos", "__k"))
+        src.select("__id", *whole, F.posexplode(F.transform(lines, _key)).alias("__pos", "__k"))
         .filter(F.char_length("__k") >= min_chars)
-        .select("__id", "__t", "__pos", *_hashes(F.col("__k")))
+        .select("__id", "__t1", "__t2", "__pos", *_hashes(F.col("__k")))
     )
     losses = (
         placed.join(shared, ["__h1", "__h2"])
         .filter(F.col("__id").isNull() | (F.col("__id") != F.col("__keeper")))
-        .groupBy(F.col("__id").alias("__lid"), F.col("__t").alias("__lt"))
+        .groupBy(F.col("__id").alias("__lid"), F.col("__t1").alias("__l1"), F.col("__t2").alias("__l2"))
         .agg(F.collect_set("__pos").alias("__lost"))
     )
-    joined = src.withColumn("__t", F.xxhash64("__text")).join(losses, F.col("__id").eqNullSafe(F.col("__lid")) & (F.col("__t") == F.col("__lt")), "left")
+    joined = src.select("*", *whole).join(losses, F.col("__id").eqNullSafe(F.col("__lid")) & (F.col("__t1") == F.col("__l1")) & (F.col("__t2") == F.col("__l2")), "left")
     split = joined.select("__id", "__lost", lines.alias("__lines"), *carry)
     # The lines are bound within the expression: where a filter on the result moves down, they'd else be split again for each line.
     left = lambda b: F.transform(F.array_except(F.sequence(F.lit(0), F.size(b["lines"]) - 1), b["lost"]), lambda p: F.get(b["lines"], p))

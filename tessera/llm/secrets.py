@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import text_or_empty, written
+from tessera.llm._common import text_or_empty, unclashing, written
 from tessera.session import scratch_path
 
 LEDGER_SCHEMA = "blob string, kind string, version int, spans array<struct<start:long,end:long>>"
@@ -36,11 +36,17 @@ class Rule:
 
 
 #: Fixed values of the contract. ``{n,}`` stands where dropping short runs afterwards gives the same spans.
-RULES = (
+BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, r"(?i:password|passwd|secret|token|api_?key)[\"' :=]"),
     Rule("access", r"AKIA[A-Z0-9]{12,}", 0, 16, r"AKIA[A-Z0-9]{12}"),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32, r"[0-9a-f]{32}"),
 )
+#: What the ledger's rules find besides: heads of private keys, and signed web tokens of three parts.
+ADDED = (
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, r"-----BEGIN "),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}", 0, 0, r"eyJ"),
+)
+RULES = (*BASE, *ADDED)
 
 
 def _spans(text: Column, rule: Rule) -> Column:
@@ -91,9 +97,9 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     """Ledger rows for the (blob, rule version) pairs of ``docs`` that ``ledger`` lacks.
 
     Blobs are grouped by their hashes alone. A text moves only if a rule's hint matches it and its
-    blob is due, and of the rows that share a blob only the one with the smallest path; the others'
-    ledger rows have no spans. Texts are dealt by (blob, path), so a blob that a third of all paths
-    hold does not gather in one task.
+    blob is due, and of the rows that share a blob only the one with the smallest path. Texts are
+    dealt by (blob, path), so a blob that a third of all paths hold does not gather in one task; rows
+    that repeat path and text are one before they move. So every due blob is scanned once.
     """
     hinted = F.lit(False)
     for r in rules:
@@ -108,7 +114,7 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     else:
         blobs = blobs.withColumn("__wanted", wanted)
     todo = written(blobs.filter(F.size("__wanted") > 0).select(F.col("__blob").alias("__b"), "__first", "__wanted"), "due-blobs")
-    due = texts.filter(hinted).select("__path", "__text", blob).join(todo, (F.col("__blob") == F.col("__b")) & F.col("__path").eqNullSafe(F.col("__first")))
+    due = texts.filter(hinted).select("__path", "__text", blob).dropDuplicates(["__blob", "__path"]).join(todo, (F.col("__blob") == F.col("__b")) & F.col("__path").eqNullSafe(F.col("__first")))
     results = [F.when(F.array_contains("__wanted", _rule(r)), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), _spans(F.col("__text"), r).alias("spans"))) for r in rules]
     scanned = written(due.select("__blob", F.inline(F.filter(F.array(*results), lambda x: x.isNotNull()))), "scanned")
     clear = todo.join(scanned.select(F.col("__blob").alias("__b")), "__b", "left_anti").select(F.col("__b").alias("__blob"), F.inline("__wanted")).withColumn("spans", F.array().cast("array<struct<start:long,end:long>>"))
@@ -127,12 +133,13 @@ def secret_spans(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     * Null or empty text: no spans. Rows that repeat a path or a text are each returned.
     * A null path is an ordinary path. Spans of different rules may overlap; all are returned.
     * Columns other than the two named are not read; empty tables give empty results.
-    * The first frame also has the columns named in ``carry``, each row's own; their names must not clash.
+    * The first frame also has the columns named in ``carry``, each row's own; a name that clashes is an error.
 
     Findings are gathered by blob and written before they are joined to the paths, so Spark can
     split the paths of a common blob over tasks.
     """
     spark = docs.sparkSession
+    unclashing(carry, path, "blob", "found")
     if folder is not None:
         ledger = stored_ledger(spark, folder)
     fresh = scan_unseen(docs, ledger, rules, path, text).dropDuplicates(["blob", "kind", "version"])

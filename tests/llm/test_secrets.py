@@ -95,3 +95,14 @@ def test_common_blob(spark):
     found, ledger = secret_spans(spark.createDataFrame(rows, "doc_id bigint, text string, blob string"))
     assert sum(len(r.found) for r in found.collect()) == 600
     assert ledger.filter("size(spans) > 0").count() == 1
+
+
+def test_added_rules_and_one_scan_of_repeated_rows(spark):
+    jwt = "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4fw"
+    texts = [f"see {jwt}; -----BEGIN RSA PRIVATE KEY-----\nMII", "eyJ and -----BEGIN CERTIFICATE-----", "token=abcdefgh -----BEGIN PRIVATE KEY-----"]
+    df = spark.createDataFrame([(7, texts[0])] * 40 + [(8, texts[0]), (None, texts[2]), (None, texts[2]), (9, texts[1])], "doc_id bigint, text string").repartition(4)
+    found = {(r.doc_id, tuple((s.kind, s.start, s.end) for s in r.found)) for r in secret_spans(df)[0].collect()}
+    end = texts[0].index("\n")
+    assert found == {(i, (("jwt", 4, 4 + len(jwt)), ("pem", 6 + len(jwt), end))) for i in (7, 8)} | {(9, ()), (None, (("assign", 0, 14), ("pem", 15, len(texts[2]))))}
+    scanned = scan_unseen(df).groupBy("blob", "kind").count().collect()
+    assert len(scanned) == 3 * len(RULES) and all(r["count"] == 1 for r in scanned)

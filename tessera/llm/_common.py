@@ -37,6 +37,12 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", rows: int = 10
             at = stop
 
 
+def unclashing(carry: tuple[str, ...], *own: str) -> None:
+    """An error if a column that is carried along has the name of one of the result's own."""
+    if clash := sorted({*carry} & {*own}) or len(carry) > len({*carry}):
+        raise ValueError(f"columns can't be carried, their names clash: {clash}")
+
+
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WHITE, text_or_empty, words
+from tessera.llm._common import WHITE, text_or_empty, unclashing, words
 
 WORD, BLANK = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
 #: A line whose words end in doubled symbols, one in four or more, is not prose.
@@ -32,6 +32,10 @@ LINK = r"^(?:https?://|www\.).|^[^@]+@[^@]+\.[a-z]+\z"
 NUMBER = r"(?<![^\x20\x09-\x0D])[0-9][0-9.,:/%+-]*+(?![^\x20\x09-\x0D])"
 #: A line of a few words and characters that doesn't end in one of these marks may be an entry of a menu; so many in a row are one.
 TERMINAL, ENTRY_WORDS, ENTRY_CHARS, ENTRIES = r"[.,;:!?\x{2026}\x{3002}\x{FF01}\x{FF1F}\x22')\]\x{201D}\x{2019}\x{BB}][\x20\x09-\x0D]*\z", 4, 200, 4
+#: Marks that end a sentence or a line of one. Where ENDED of the lines do, of ENDED_LINES lines or more, the others go if they are short; a long one is prose that was cut off. The same marks as in TERMINAL.
+MARKS, ENDED, ENDED_LINES = ".,;:!?\u2026\u3002\uff01\uff1f\"')]\u201d\u2019\u00bb", 0.75, 4
+#: A line that stands in a text so often stays once.
+REPEATS = 3
 #: A document is rejected if it keeps less than this share of its word characters.
 LEAST_KEPT = 0.5
 LEAST_WORDS = 50
@@ -77,24 +81,71 @@ def line_fails(line: Column, has: Column) -> Column:
     return (F.btrim(line, F.lit(WHITE)) != "") & (noisy | symbols | links | digits | furniture)
 
 
-def passing(text: Column) -> Column:
-    """The lines of ``text`` that no rule removes: neither by itself nor as one of ``ENTRIES`` or more entries of a menu that follow one another, blank lines apart."""
+def _in_menus(lines: Column) -> Column:
+    """Of every line whether it is one of ``ENTRIES`` or more entries of a menu that follow one another, blank lines apart; null where no line is."""
 
     def kind(line: Column) -> Column:
         entry = (_count(line, WORD) <= ENTRY_WORDS) & ~F.rlike(line, F.lit(TERMINAL))
         return F.when(F.char_length(line) > ENTRY_CHARS, "x").when(F.btrim(line, F.lit(WHITE)) == "", "b").when(entry, "s").otherwise("x")
 
     def marked(kinds: Column) -> Column:
-        """Whether each line is in a run; the pattern takes runs whole and other lines one by one."""
+        """The pattern takes runs whole and other lines one by one."""
         parts = F.regexp_extract_all(kinds, F.lit(rf"s(?:b*+s){{{ENTRIES - 1},}}+|."), F.lit(0))
         return F.flatten(F.transform(parts, lambda p: F.when(F.char_length(p) > 1, F.transform(F.split(p, ""), lambda c: c == "s")).otherwise(F.array(F.lit(False)))))
 
+    run = lambda k: F.when(F.rlike(k, F.lit(rf"s(?:b*s){{{ENTRIES - 1}}}")), marked(k))
+    return F.when(F.size(lines) >= ENTRIES, let(F.array_join(F.transform(lines, kind), ""), run))
+
+
+def _short(line: Column) -> Column:
+    return (F.char_length(line) <= BOILERPLATE_CHARS) & (_count(line, WORD) <= BOILERPLATE_WORDS)
+
+
+def _unended(lines: Column) -> Column:
+    """Of every line of 20 words and 400 characters at most whether it ends in no mark though the text's lines mostly do; null where the text has few lines, or too many such, or none."""
+    ends = F.transform(lines, lambda line: let(F.right(F.btrim(line, F.lit(WHITE)), F.lit(1)), lambda c: F.when(c != "", F.contains(F.lit(MARKS), c))))
+
+    def judged(e: Column) -> Column:
+        worded, ended = F.size(F.filter(e, lambda x: x.isNotNull())), F.size(F.filter(e, lambda x: x))
+        return F.when((worded >= ENDED_LINES) & (ended < worded) & (ended >= worded * ENDED), F.transform(e, lambda x, i: F.coalesce(~x, F.lit(False)) & _short(F.get(lines, i))))
+
+    return F.when(F.size(lines) >= ENDED_LINES, let(ends, judged))
+
+
+def _repeated(lines: Column) -> Column:
+    """Of every line whether it repeats an earlier one of a line that stands ``REPEATS`` times or more in the text; null where none does. Lines are sorted, so a text of many lines costs no more than that."""
+    keyed = F.transform(lines, lambda line, i: F.struct(F.btrim(line, F.lit(WHITE)).alias("k"), i.alias("i")))
+
+    def judged(s: Column) -> Column:
+        same = lambda x, j: F.coalesce(F.get(s, j)["k"] == x["k"], F.lit(False))
+        again = lambda x, j: same(x, j - 1) & (same(x, j - 2) | same(x, j + 1)) & (x["k"] != "")
+        return F.transform(F.sort_array(F.transform(s, lambda x, j: F.struct(x["i"].alias("i"), again(x, j).alias("r")))), lambda x: x["r"])
+
+    worded = F.filter(keyed, lambda x: x["k"] != "")
+    many = F.size(F.array_distinct(F.transform(worded, lambda x: x["k"]))) <= F.size(worded) - (REPEATS - 1)
+    return F.when(F.size(lines) >= REPEATS, F.when(many, let(F.sort_array(keyed), judged)))
+
+
+def passing(text: Column) -> Column:
+    """struct<lines, n_failing, n_menu, n_unended, n_repeated>: the lines of ``text`` that no rule removes, and how many each rule removes; a line may fail several.
+
+    Rules see the line alone (``line_fails``), its neighbours (entries of a menu), or all lines of
+    the text: where most end in a mark of punctuation, a short one that doesn't is a heading, a caption or a
+    button; and a line that stands there again and again is furniture whatever it says, so that only
+    its first stays.
+    """
+
     def cleaned(p: Column) -> Column:
         ls, has = p["lines"], p["signs"]
-        plain = F.filter(ls, lambda line: ~line_fails(line, has))
-        kinds = F.array_join(F.transform(ls, kind), "")
-        run = lambda k: F.when(F.rlike(k, F.lit(rf"s(?:b*s){{{ENTRIES - 1}}}")), let(marked(k), lambda m: F.filter(ls, lambda line, i: ~F.get(m, i) & ~line_fails(line, has)))).otherwise(plain)
-        return F.when(F.size(ls) < ENTRIES, plain).otherwise(let(kinds, run))
+        flags = F.struct(F.transform(ls, lambda line: line_fails(line, has)).alias("failing"), _in_menus(ls).alias("menu"), _unended(ls).alias("unended"), _repeated(ls).alias("repeated"))
+        names = ("failing", "menu", "unended", "repeated")
+
+        def kept(f: Column) -> Column:
+            goes = lambda i: F.coalesce(F.get(f["failing"], i), F.lit(False)) | F.coalesce(F.get(f["menu"], i), F.lit(False)) | F.coalesce(F.get(f["unended"], i), F.lit(False)) | F.coalesce(F.get(f["repeated"], i), F.lit(False))
+            count = lambda name: F.coalesce(F.size(F.filter(f[name], lambda x: x)), F.lit(0)).cast("long")
+            return F.struct(F.filter(ls, lambda line, i: ~goes(i)).alias("lines"), *[F.greatest(count(n), F.lit(0)).alias(f"n_{n}") for n in names])
+
+        return let(flags, kept)
 
     return let(F.struct(F.split(text, "\n", -1).alias("lines"), signs(text).alias("signs")), cleaned)
 
@@ -143,8 +194,11 @@ def _repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(windows, counted))
 
 
+REMOVED = ("n_failing", "n_menu", "n_unended", "n_repeated")
+
+
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_kept: float = LEAST_KEPT, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, kept_text.
+    """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, kept_text, and the lines that each rule removes: n_failing, n_menu, n_unended, n_repeated.
 
     * kept_text has the lines that pass (see ``line_fails`` and ``passing``), joined by \\n. kept is
       false where the base rules fail (under 50 words, or over half of the words in repeated 3-word
@@ -152,8 +206,9 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_k
     * Null or empty text: no words, so base_failed. Repeated rows are judged one by one; a null
       doc_id is returned as it is. Other columns are not read. An empty table gives none.
     * 3-word windows are compared by 64-bit hashes within one document.
-    * The columns named in ``carry`` are returned too, each row's own; their names must not clash.
+    * The columns named in ``carry`` are returned too, each row's own; a name that clashes is an error.
     """
+    unclashing(carry, doc_id, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_text", *REMOVED)
     src = docs.select(F.col(doc_id).alias("__id"), text_or_empty(text).alias("__text"), *carry)
     by_words = lambda w: F.struct(F.size(w).cast("long").alias("n"), F.char_length(F.array_join(w, "")).cast("long").alias("chars"), _repeated_words(w).cast("long").alias("repeat"))
     worded = F.filter(F.split("__text", "\n", -1), lambda line: F.btrim(line, F.lit(WHITE)) != "")
@@ -162,12 +217,12 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_k
         let(words(F.col("__text")), by_words).alias("__w"),
         _count(F.col("__text"), "[#*$%&|<>]").cast("long").alias("n_symbols"),
         let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        let(passing(F.col("__text")), lambda x: F.array_join(x, "\n")).alias("kept_text"),
+        let(passing(F.col("__text")), lambda x: F.struct(F.array_join(x["lines"], "\n").alias("text"), *[x[c] for c in REMOVED])).alias("__p"),
         (F.octet_length("__text")).alias("__octets"),
         *carry,
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    named = counted.select("__id", F.col("__w.n").alias("n_words"), F.col("__w.chars").alias("word_chars"), "n_symbols", "n_dup_lines", F.col("__w.repeat").alias("n_repeat_words"), F.col("__p.text").alias("kept_text"), *[F.col(f"__p.{c}").alias(c) for c in REMOVED], "__octets", *carry)
     whole = F.octet_length("kept_text") == F.col("__octets")  # nothing was removed
     enough = whole | (_word_chars(F.col("kept_text")) >= F.col("word_chars") * F.lit(least_kept))
-    named = counted.select("__id", F.col("__w.n").alias("n_words"), F.col("__w.chars").alias("word_chars"), "n_symbols", "n_dup_lines", F.col("__w.repeat").alias("n_repeat_words"), "kept_text", "__octets", *carry)
-    return named.select(F.col("__id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & enough).alias("kept"), "kept_text", *carry)
+    return named.select(F.col("__id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & enough).alias("kept"), "kept_text", *REMOVED, *carry)

@@ -11,7 +11,7 @@ from tessera.llm.importance import resample
 from tessera.llm.line_dedup import drop_shared_lines
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality
-from tessera.llm.secrets import RULES, secret_spans
+from tessera.llm.secrets import BASE, secret_spans
 from tessera.llm.sentencepiece_bpe import encoded
 from tessera.llm.sharding import shard
 from tessera.llm.simhash import near_duplicates
@@ -61,9 +61,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secret_spans(_table(spark, sf_dir, "documents"))
-    spans = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    kinds = [r.kind for r in BASE]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(r.kind) for r in RULES], spans.alias("spans")).select("doc_id", *[f"n_{r.kind}" for r in RULES], F.sha2("spans", 256).alias("base_sha256"), "spans")
+    base = F.filter("found", lambda s: s["kind"].isin(kinds))
+    return found.select("doc_id", *map(count, kinds), F.sha2(joined(base), 256).alias("base_sha256"), joined("found").alias("spans"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,16 +142,17 @@ SELECT page_id, judged.host, path, rule, coalesce(v, CASE WHEN bad THEN 'block'
 """
 
 _ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
+_PEM, _JWT = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}"
 
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 rules(kind, place, pattern, grp, least) AS (VALUES
-  ('assign', 0, '{_ASSIGN}', 1, 8), ('access', 1, 'AKIA[A-Z0-9]+', 0, 16), ('hex', 2, '[0-9a-f]{{32,}}', 0, 32)),
+  ('assign', 0, '{_ASSIGN}', 1, 8), ('access', 1, 'AKIA[A-Z0-9]+', 0, 16), ('hex', 2, '[0-9a-f]{{32,}}', 0, 32), ('pem', 3, '{_PEM}', 0, 0), ('jwt', 4, '{_JWT}', 0, 0)),
 raw AS (
   SELECT doc_id, text, kind, place, least,
-    CASE kind WHEN 'assign' THEN regexp_extract_all(text, '{_ASSIGN}') WHEN 'access' THEN regexp_extract_all(text, 'AKIA[A-Z0-9]+') ELSE regexp_extract_all(text, '[0-9a-f]{{32,}}') END AS found,
-    CASE kind WHEN 'assign' THEN regexp_extract_all(text, '{_ASSIGN}', 1) WHEN 'access' THEN regexp_extract_all(text, 'AKIA[A-Z0-9]+') ELSE regexp_extract_all(text, '[0-9a-f]{{32,}}') END AS value,
-    CASE kind WHEN 'assign' THEN regexp_split_to_array(text, '{_ASSIGN}') WHEN 'access' THEN regexp_split_to_array(text, 'AKIA[A-Z0-9]+') ELSE regexp_split_to_array(text, '[0-9a-f]{{32,}}') END AS gaps
+    CASE kind WHEN 'assign' THEN regexp_extract_all(text, '{_ASSIGN}') WHEN 'access' THEN regexp_extract_all(text, 'AKIA[A-Z0-9]+') WHEN 'pem' THEN regexp_extract_all(text, '{_PEM}') WHEN 'jwt' THEN regexp_extract_all(text, '{_JWT}') ELSE regexp_extract_all(text, '[0-9a-f]{{32,}}') END AS found,
+    CASE kind WHEN 'assign' THEN regexp_extract_all(text, '{_ASSIGN}', 1) WHEN 'access' THEN regexp_extract_all(text, 'AKIA[A-Z0-9]+') WHEN 'pem' THEN regexp_extract_all(text, '{_PEM}') WHEN 'jwt' THEN regexp_extract_all(text, '{_JWT}') ELSE regexp_extract_all(text, '[0-9a-f]{{32,}}') END AS value,
+    CASE kind WHEN 'assign' THEN regexp_split_to_array(text, '{_ASSIGN}') WHEN 'access' THEN regexp_split_to_array(text, 'AKIA[A-Z0-9]+') WHEN 'pem' THEN regexp_split_to_array(text, '{_PEM}') WHEN 'jwt' THEN regexp_split_to_array(text, '{_JWT}') ELSE regexp_split_to_array(text, '[0-9a-f]{{32,}}') END AS gaps
   FROM d, rules
 ), spans AS (
   SELECT doc_id, kind, place, s, s + length(found[i]) AS e, length(value[i]) >= least AS good FROM (
@@ -159,9 +162,9 @@ raw AS (
 ), kept AS (SELECT * FROM spans WHERE good),
 joined AS (
   SELECT d.doc_id, count(*) FILTER (kind = 'assign')::BIGINT AS n_assign, count(*) FILTER (kind = 'access')::BIGINT AS n_access, count(*) FILTER (kind = 'hex')::BIGINT AS n_hex,
-    coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (kind IS NOT NULL), '') AS spans
+    coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (kind IS NOT NULL), '') AS spans, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (place < 3), '') AS base
   FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id)
-SELECT doc_id, n_assign, n_access, n_hex, sha256(spans) AS base_sha256, spans FROM joined
+SELECT doc_id, n_assign, n_access, n_hex, sha256(base) AS base_sha256, spans FROM joined
 """
 
 _W = r"[\x20\x09-\x0D]"
@@ -186,8 +189,12 @@ judged AS (SELECT *, len(w) > 0 AND (
   len(w) BETWEEN 1 AND 4 AND length(line) <= 200 AND NOT regexp_matches(line, '[.,;:!?…！？"''\])”’»]{_W}*$') AS entry FROM parts),
 run AS (SELECT r, pos, entry AND count(*) OVER (PARTITION BY r, entry, island) >= 4 AS menu FROM (
   SELECT r, pos, entry, row_number() OVER (PARTITION BY r ORDER BY pos) - row_number() OVER (PARTITION BY r, entry ORDER BY pos) AS island FROM judged WHERE len(w) > 0)),
-left_over AS (SELECT judged.r, sum(chars) AS word_chars, sum(chars) FILTER (NOT fails AND NOT coalesce(menu, false)) AS left_chars, count(*) FILTER (len(w) > 0) - count(DISTINCT line) FILTER (len(w) > 0) AS dup
-  FROM judged LEFT JOIN run ON judged.r = run.r AND judged.pos = run.pos GROUP BY judged.r),
+ended AS (SELECT r, pos, n, size, ended, count(ended) OVER w AS worded, count(*) FILTER (ended) OVER w AS n_ended, count(*) OVER k AS again, row_number() OVER (PARTITION BY r, key ORDER BY pos) AS nth, key FROM (
+  SELECT r, pos, len(w) AS n, length(line) AS size, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key, CASE WHEN len(w) > 0 THEN contains('.,;:!?…。！？"'')]”’»', right(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1)) END AS ended FROM judged)
+  WINDOW w AS (PARTITION BY r), k AS (PARTITION BY r, key)),
+doc AS (SELECT r, pos, coalesce(worded >= 4 AND n_ended < worded AND n_ended * 4 >= worded * 3 AND NOT ended AND n <= 20 AND size <= 400, false) OR (key <> '' AND again >= 3 AND nth > 1) AS lost FROM ended),
+left_over AS (SELECT judged.r, sum(chars) AS word_chars, sum(chars) FILTER (NOT fails AND NOT coalesce(menu, false) AND NOT lost) AS left_chars, count(*) FILTER (len(w) > 0) - count(DISTINCT line) FILTER (len(w) > 0) AS dup
+  FROM judged LEFT JOIN run ON judged.r = run.r AND judged.pos = run.pos JOIN doc ON judged.r = doc.r AND judged.pos = doc.pos GROUP BY judged.r),
 m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(left_chars, 0) AS left_chars
   FROM d JOIN w ON d.r = w.r JOIN left_over ON d.r = left_over.r LEFT JOIN rep ON d.r = rep.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,

@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import pytest
+
 from tessera.llm.quality import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,7 +95,15 @@ def cleaned(text):
         else:
             menu |= set(run) if len(run) >= 4 else set()
             run = []
-    left = [x for i, x in enumerate(lines) if i not in menu and not line_goes(x)]
+    key = [x.strip(" \t\n\x0b\x0c\r") for x in lines]
+    ended = {i for i in worded if key[i][-1] in ".,;:!?…。！？\"')]”’»"}
+    strict = len(worded) >= 4 and len(ended) < len(worded) and 4 * len(ended) >= 3 * len(worded)
+    times, repeated = Counter(key[i] for i in worded), set()
+    for i in worded:
+        if times[key[i]] >= 3 and key[i] in key[:i]:
+            repeated.add(i)
+    unended = {i for i in worded if strict and i not in ended and len(WORD.findall(lines[i])) <= 20 and len(lines[i]) <= 400}
+    left = [x for i, x in enumerate(lines) if i not in menu | unended | repeated and not line_goes(x)]
     chars = lambda s: sum(map(len, WORD.findall(s)))
     return "\n".join(left), 2 * chars("\n".join(left)) >= chars(text or "")
 
@@ -111,6 +121,26 @@ def test_kept_like_brute_force(spark, odd, small):
     check_kept(spark.read.parquet(f"{small}/documents.parquet"))
 
 
+def test_rules_that_see_the_whole_text(spark):
+    s = [f"Sentence number {i} has enough words to be a sentence, and it ends." for i in range(9)]
+    texts = [
+        "\n".join([*s[:3], "A heading of the page"]), "\n".join([*s[:2], "one caption", "another caption"]), "\n".join([*s[:2], "no mark"]), "\n".join(s), "\n".join(x[:-1] for x in s), "\n".join([*s[:6], "heading", "", " \t", "button  ", s[6]]),
+        "\n".join([*s[:4], "long " * 21]), "\n".join([*s[:4], "l" * 401]), "\n".join([*s[:4], "long " * 20]), "\n".join([*s[:4], "l" * 400]),
+        "\n".join([*s[:3], "Read more.", s[3], " Read more.", s[4], "Read more.\t", s[5]]), "\n".join(["Twice only."] * 2 + s[:3]), "\n".join(["", "", "", " ", *s[:2]]), "\n".join([s[0]] * 3), "\n".join([s[0], s[1]] * 50), "\n".join(f"{i % 7}." for i in range(3000)),
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    check_kept(df)
+    got = {r.doc_id: r for r in quality(df).collect()}
+    assert got[0].kept_text == "\n".join(s[:3]) and got[0].n_unended == 1 and got[1].n_unended == 0 and got[5].n_unended == 2
+    assert [got[i].n_unended for i in range(6, 10)] == [0, 0, 1, 1]
+    assert got[10].n_repeated == 2 and got[10].kept_text.count("Read more.") == 1 and got[11].n_repeated == got[12].n_repeated == 0 and got[13].kept_text == s[0]
+
+
+def test_names_that_clash_are_an_error(spark):
+    with pytest.raises(ValueError):
+        quality(spark.createDataFrame([(1, "x", 2)], "doc_id bigint, text string, kept int"), carry=("kept",))
+
+
 def test_each_rule_and_its_limits(spark):
     prose = "A sentence of plain words stands here, and another one follows it. " * 2
     menu = ["Home", "Produkte und Preise", "Über uns", "Kontakt"]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _flat
 from tessera.llm._common import slices, text_or_empty, written
+from tessera.session import numbered
 
 BUCKETS = 10_000
 LONGEST_RUN = 1
@@ -83,24 +84,6 @@ def weighted(docs: DataFrame, gain: np.ndarray, doc_id: str = "doc_id", text: st
     return src.mapInArrow(weigh, f"id {id_type}, n_words bigint, n_features bigint, weight bigint")
 
 
-def numbered(df: DataFrame, *order) -> DataFrame:
-    """``df`` with ``number``, the place of every row in ``order`` from 1.
-
-    Rows are range-partitioned and sorted; a row's number is its place within its partition and the
-    size of those before, so no task holds more than a range.
-    """
-    spark = df.sparkSession
-    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), "ranged")
-    part = F.shiftright("__m", 33)
-    before, offsets = 0, []
-    for r in rows.groupBy(part.alias("p")).count().orderBy("p").collect():  # one row a partition
-        offsets.append((r.p, before))
-        before += r["count"]
-    starts = spark.createDataFrame(offsets, "p bigint, before bigint")
-    place = F.col("before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return rows.join(F.broadcast(starts), part == F.col("p")).withColumn("number", place).drop("__m", "p", "before")  # one row a partition
-
-
 def resample(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", target_text: str = "text", buckets: int = BUCKETS, longest: int = LONGEST_RUN, least_words: int = LEAST_WORDS, share: int = SHARE, seed: str = SEED) -> DataFrame:
     """doc_id, n_words, n_features, weight, score and rank of every row of ``docs``; rank is null where the row isn't drawn.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.catalog.fixture import table
+from tessera.catalog.fixture import store, table
 from tessera.catalog.registry import query
 from tessera.operators import evaluation as ev
 from tessera.operators.graph import first_by
@@ -108,9 +108,26 @@ def j16(spark, d):
     return ev.frequent_groups(table(spark, d, "documents"), "source", 50)[0].select("doc_id", "source")
 
 
-@query("a22_content_digest", "SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+_ROWS = "WITH h AS (SELECT lang, doc_id, sha256('=' || doc_id || chr(31) || coalesce('=' || text, '-')) AS h FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, h) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM h)"
+
+
+@query("a22_content_digest", _ROWS + ", b AS (SELECT lang, n, pos // 64 AS b, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM n GROUP BY ALL) SELECT lang, n, sha256(string_agg(h, '' ORDER BY b)) AS digest FROM b GROUP BY ALL")
 def a22(spark, d):
-    return ev.content_digest(table(spark, d, "documents"), ["lang"], ["doc_id", "text"]).select("lang", "n")
+    """The documents of every language in order, in blocks of 64 and then of blocks: two levels at the sizes that are compared."""
+    return ev.content_digest(table(spark, d, "documents"), ["lang"], ["doc_id"], ["doc_id", "text"], block=64)
+
+
+@query("a22_edges_digest", "WITH h AS (SELECT repo_id, source_id, target_id, kind, sha256('=' || source_id || chr(31) || '=' || target_id || chr(31) || '=' || kind) AS h FROM edges WHERE snapshot_sha = 'head') SELECT repo_id, count(*) AS n, sha256(string_agg(h, '' ORDER BY source_id, target_id, h)) AS digest FROM h GROUP BY 1", True)
+def a22_edges(spark, d):
+    """The edges of every repository at head, in blocks that no repository fills twice at the sizes that are compared."""
+    edges = store(spark, d).edges.filter("snapshot_sha = 'head'")
+    return ev.content_digest(edges, ["repo_id"], ["source_id", "target_id"], ["source_id", "target_id", "kind"], block=1 << 20)
+
+
+@query("a19_rare_pairs", "SELECT concat(lang, ' ', source) AS pair, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) < 50")
+def a19_pairs(spark, d):
+    docs = table(spark, d, "documents").withColumn("pair", F.concat_ws(" ", "lang", "source"))
+    return ev.frequent_groups(docs, "pair", 50)[1]
 
 
 @query("t6_stratified_sample", "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id || '|7'), doc_id) AS n FROM documents) SELECT doc_id, lang FROM r WHERE n <= 10")

@@ -18,11 +18,12 @@ from tessera.session import scratch_path
 from tessera.sources.languages import Registry
 
 
-@query("s11_meta_lookup", "SELECT key, value FROM (VALUES ('schema_version', '2024.6.1'), ('embedding_model', 'm')) v(key, value)")
+@query("s11_meta_lookup", "SELECT n_name AS key, CASE n_name WHEN 'NATION_1' THEN 'later' ELSE n_regionkey::VARCHAR END AS value FROM nation WHERE n_name IN ('NATION_1', 'NATION_2', 'ABSENT') UNION ALL SELECT 'own', '2' WHERE EXISTS (SELECT 1 FROM nation)")
 def s11(spark, d):
-    """A value that is set again replaces the one before."""
-    s = st.set_meta(store(spark, d), schema_version="2023.1.0", embedding_model="m", other="x")
-    return st.get_meta(st.set_meta(s, schema_version="2024.6.1"), "schema_version", "embedding_model", "absent")
+    """Nations as settings; a value that is set again replaces the one before, and a key that isn't set has none."""
+    s = store(spark, d).but(meta=table(spark, d, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value")))
+    s = st.set_meta(st.set_meta(s, NATION_1="once", own="1"), NATION_1="later", own="2")
+    return st.get_meta(s, "NATION_1", "NATION_2", "ABSENT", "own")
 
 
 _REFS = "refs(repo_id, name, sha) AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'main' ELSE 'origin/main' END, CASE WHEN id % 3 = 0 THEN 'base' ELSE 'head' END FROM repos WHERE id % 5 <> 0)"
@@ -160,6 +161,12 @@ def u1(spark, d):
     return side("head").unionByName(side("base"))
 
 
+@query("f10_has_semantic_by_key", "SELECT vec_id % 7 AS key, max(label - 3 - vec_id % 7) <> 0 AS has_semantic FROM embeddings GROUP BY 1")
+def f10_keys(spark, d):
+    """Similarities from above zero to below: a key whose largest is 0 has none, one whose largest is negative has."""
+    return ranking.has_semantic(table(spark, d, "embeddings").select((F.col("vec_id") % 7).alias("key"), (F.col("label") - 3 - F.col("vec_id") % 7).alias("semantic")), ["key"])
+
+
 @query("f10_has_semantic", "SELECT max(label) <> 0 AS has FROM embeddings")
 def f10(spark, d):
     return ranking.has_semantic(table(spark, d, "embeddings"), column="label").withColumnRenamed("has_semantic", "has")

@@ -128,10 +128,14 @@ def w4(spark, d):
     return ranking.scaled(o, ["o_totalprice"], ["o_orderpriority"]).select("o_orderkey", "o_orderpriority", F.round("scaled_o_totalprice", 8).alias("scaled"))
 
 
-@query("f9_weights", "SELECT * FROM (VALUES ('concept', 0, 0.8, 0.2), ('concept', 1, 0.4, 0.1), ('identifier', 0, 0.210526, 0.789474), ('identifier', 1, 0.2, 0.75), ('code', 0, 0.315789, 0.684211), ('code', 1, 0.3, 0.65)) v(kind, semantic, beta, gamma)".replace("SELECT *", "SELECT kind, semantic::INT AS semantic, beta::DOUBLE AS beta, gamma::DOUBLE AS gamma"))
+_W = "(VALUES ('concept', false, 0.0, 0.8, 0.2), ('concept', true, 0.5, 0.4, 0.1), ('identifier', false, 0.0, 0.210526, 0.789474), ('identifier', true, 0.05, 0.2, 0.75), ('code', false, 0.0, 0.315789, 0.684211), ('code', true, 0.05, 0.3, 0.65)) w(kind, has, alpha, beta, gamma)"
+
+
+@query("f9_weights", f"SELECT p_partkey, alpha::DOUBLE AS alpha, beta::DOUBLE AS beta, gamma::DOUBLE AS gamma FROM part JOIN {_W} ON kind = ['concept', 'identifier', 'code'][p_size % 3 + 1] AND has = (p_partkey % 2 = 0)")
 def f9(spark, d):
-    rows = [(k, int(s), *[round(x, 6) for x in ranking.weights_for(k, s)[1:]]) for k in ranking.WEIGHTS for s in (False, True)]
-    return spark.createDataFrame(rows, "kind string, semantic int, beta double, gamma double")
+    """Parts as requests of a class, half of them without a semantic signal."""
+    kind = F.element_at(F.array(F.lit("concept"), F.lit("identifier"), F.lit("code")), (F.col("p_size") % 3 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", *[F.round(w, 6).alias(n) for n, w in zip(("alpha", "beta", "gamma"), ranking.weight_columns(kind, F.col("p_partkey") % 2 == 0), strict=True)])
 
 
 @query("f15_blend", _FUSE + ", r AS (SELECT f.id, score, p_retailprice AS second FROM f JOIN part ON p_partkey = f.id), x AS (SELECT min(second) a, max(second) b FROM r) SELECT id, round(0.25 * score + 0.75 * (second - a) / (b - a), 8) AS blended FROM r, x")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import numbered
+
 ALL = "__all__"
 
 
@@ -138,10 +140,26 @@ def simplex(u: Column, v: Column) -> tuple[Column, Column, Column]:
     return u, v * (1 - u), (1 - u) * (1 - v)
 
 
-def content_digest(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """A digest of every group's rows that doesn't depend on their order: hashes of rows are summed, not gathered."""
-    row = F.xxhash64(*[F.col(c) for c in columns]).cast("decimal(38,0)")
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(row).alias("digest"))
+def content_digest(df: DataFrame, by: list[str], key: list[str], columns: list[str], block: int = 1024) -> DataFrame:
+    """(by, n, digest): a SHA-256 of every group's rows in order of ``key``.
+
+    Rows are numbered by range, and hashes are folded ``block`` at a time, level by level, until the
+    largest group has one; so no task sees more than a block, whatever the size of a group. A null
+    counts as one, distinct from every text.
+    """
+    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    rows = numbered(df.select(*by, *key, F.sha2(F.concat_ws("\x1f", *map(text, columns)), 256).alias("__h")), *by, *key, "__h")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("number").alias("__first"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    mine = sizes.select(*[F.col(c).alias(f"__{c}") for c in by], "n", "__first")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    level = rows.join(mine, same).select(*by, (F.col("number") - F.col("__first")).alias("__at"), "__h", "n")
+    while True:
+        parts = F.array_sort(F.collect_list(F.struct("__at", "__h")))  # at most ``block``
+        level = level.groupBy(*by, "n", F.floor(F.col("__at") / block).alias("__b")).agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["__h"]), ""), 256).alias("__h")).withColumnRenamed("__b", "__at")
+        if most <= block:
+            return level.select(*by, "n", F.col("__h").alias("digest"))
+        most = -(-most // block)
 
 
 def list_stats(df: DataFrame, by: list[str], column: str) -> DataFrame:

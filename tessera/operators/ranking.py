@@ -39,8 +39,8 @@ def scaled(df: DataFrame, columns: list[str], over: list[str] | None = None) ->
 
 
 def has_semantic(candidates: DataFrame, over: list[str] | None = None, column: str = "semantic") -> DataFrame:
-    """``has_semantic``: whether any candidate has a similarity other than 0; one row, or one for each key of ``over``."""
-    return candidates.groupBy(*over or []).agg((F.coalesce(F.max(F.abs(column)), F.lit(0.0)) != 0).alias("has_semantic"))
+    """``has_semantic``: whether the largest similarity is other than 0; one row, or one for each key of ``over``. Where some candidate has 0, which stands for none, negative ones don't count."""
+    return candidates.groupBy(*over or []).agg((F.coalesce(F.max(column), F.lit(0.0)) != 0).alias("has_semantic"))
 
 
 def merge_channels(*channels: tuple[DataFrame, str], keys: tuple[str, ...] = ("id", "repo_id")) -> DataFrame:

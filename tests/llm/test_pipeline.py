@@ -1,7 +1,12 @@
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
+from tessera.llm.queries import vocabulary
 from tests.llm.test_line_dedup import brute as line_brute
+from tests.llm.test_packing import judge
+from tests.llm.test_quality import base as quality_base
+from tests.llm.test_quality import cleaned as quality_cleaned
 from tests.llm.test_secrets import brute as secret_brute
 from tests.llm.test_simhash import brute as simhash_brute
 
@@ -15,6 +20,8 @@ def test_each_stage_against_brute_force(spark, tiny):
     assert [n for n, _ in cp.STAGES] == ["quality rules", "line dedup", "simhash near-dedup", "secret scans", "packing"]
     cleaned = cp.quality_rules(spark, docs, tiny).cache()
     assert cleaned.columns == docs.columns and 0 < cleaned.count() < docs.count()
+    judged = [(r.doc_id, quality_base(r.text)[-1], *quality_cleaned(r.text)) for r in docs.collect()]
+    assert sorted((r.doc_id, r.text) for r in cleaned.collect()) == sorted((i, left) for i, failed, left, enough in judged if enough and not failed)
     assert all(r.n_chars == len(r.text) for r in cleaned.collect())
 
     lined = cp.line_dedup(spark, cleaned, tiny).cache()
@@ -33,7 +40,15 @@ def test_each_stage_against_brute_force(spark, tiny):
         assert r.n_chars == len(r.text)
 
     packed = cp.packing(spark, clean, tiny)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(before)
+    reference = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    fill = judge(packed.collect(), [(r.doc_id, r.text) for r in clean.collect()], reference, 1024)  # identifiers, offsets and sequences
+    assert sum(fill.values()) >= 0.9 * 1024 * (len(fill) - 1)
+
+
+def test_packing_stage_takes_long_white_space(spark, tiny):
+    texts = ["a" + " " * 1_000_000 + "b", "\n" * 1_000_000, " \t\n" * 400_000 + "end"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint")
+    judge(cp.packing(spark, docs, tiny).collect(), list(enumerate(texts)), Tokenizer.from_file(vocabulary("byte_bpe_50k.json")), 1024)
 
 
 def test_odd_rows_and_none(spark, odd, none, tiny):

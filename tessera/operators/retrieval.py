@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import tokenise_code
 from tessera.functions.vectors import best_cosine
 from tessera.operators.store import Store, at_snapshots
+from tessera.session import written
 
 K1, B = 1.2, 0.75
 
@@ -106,17 +107,27 @@ def _part(k1: float, b: float) -> Column:
     return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
 
 
-def lexical(store: Store, refs: DataFrame, query: str, k: int) -> DataFrame:
-    """The ``k`` best chunks by BM25 among those visible at ``refs``; ties go to the smaller id and repository."""
+#: What the channels of a search need to know of a chunk.
+SEEN = ["id", "repo_id", "file_path", "kind", "name"]
+
+
+def visible(store: Store, refs: DataFrame) -> DataFrame:
+    """(id, repo_id, file_path, kind, name) of the chunks visible at ``refs``, once a repository; written, since every channel of a search reads it."""
+    return written(at_snapshots(store, refs, once=True).select(*SEEN), "visible")
+
+
+def lexical(store: Store, refs: DataFrame, query: str, k: int, seen: DataFrame | None = None) -> DataFrame:
+    """The ``k`` best chunks by BM25 among those visible at ``refs`` (``seen``, if that is written already); ties go to the smaller id and repository."""
     postings, stats = postings_for(store, *words_of(store.chunks.sparkSession, query))
-    seen = at_snapshots(store, refs, once=True).select("id", "repo_id")
+    seen = (at_snapshots(store, refs, once=True) if seen is None else seen).select("id", "repo_id")
     return bm25(postings, stats).join(seen, "id").orderBy(F.desc("score"), "id", "repo_id").limit(k).withColumnRenamed("score", "lexical")
 
 
-def semantic(store: Store, refs: DataFrame, queries: list[list[float]], k: int) -> DataFrame:
-    """The ``k`` best chunks by the largest cosine to any query vector; vectors are read once for all of them, without a join."""
-    seen = at_snapshots(store, refs, once=True).filter(F.col("embedding").isNotNull())
-    return seen.withColumn("semantic", best_cosine(F.col("embedding"), queries)).filter(F.col("semantic").isNotNull()).orderBy(F.desc("semantic"), "id", "repo_id").limit(k)
+def semantic(store: Store, refs: DataFrame, queries: list[list[float]], k: int, seen: DataFrame | None = None) -> DataFrame:
+    """The ``k`` best chunks by the largest cosine to any query vector. Vectors are read once for all of them and go no further: what meets the visible chunks is each one's similarity."""
+    scored = store.chunks.filter(F.col("embedding").isNotNull()).select("id", best_cosine(F.col("embedding"), queries).alias("semantic")).filter(F.col("semantic").isNotNull())
+    seen = at_snapshots(store, refs, once=True).select(*SEEN) if seen is None else seen
+    return scored.join(seen, "id").orderBy(F.desc("semantic"), "id", "repo_id").limit(k)
 
 
 def kept_of_pool(pool: DataFrame, keep: Column, k: int, score: str, *ties: str) -> DataFrame:
@@ -139,9 +150,9 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def match_by_name(store: Store, refs: DataFrame, name: str) -> DataFrame:
-    """All chunks of the best tier that occurs at all; there is no limit."""
-    ranked = name_tiers(at_snapshots(store, refs, once=True), name)
+def match_by_name(store: Store, refs: DataFrame, name: str, seen: DataFrame | None = None) -> DataFrame:
+    """All chunks of the best tier that occurs at all, with the columns of ``seen``, if that is given; there is no limit."""
+    ranked = name_tiers(at_snapshots(store, refs, once=True) if seen is None else seen, name)
     best = ranked.agg(F.min("match_tier").alias("best"))
     return ranked.join(F.broadcast(best), F.col("match_tier") == F.col("best")).drop("best", "match_tier")
 

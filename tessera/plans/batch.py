@@ -30,11 +30,6 @@ GRAM = 3
 ROW = ["query", "id", "repo_id"]
 
 
-def visible(store: Store, refs: DataFrame) -> DataFrame:
-    """(id, repo_id, file_path, kind, name) of the chunks visible at ``refs``, once a repository; written, since every channel reads it."""
-    return written(at_snapshots(store, refs, once=True).select("id", "repo_id", "file_path", "kind", "name"), "visible")
-
-
 def lexical_many(store: Store, refs: DataFrame, queries: DataFrame, k: int, seen: DataFrame | None = None) -> DataFrame:
     """(query, id, repo_id, lexical): every query's ``k`` best by BM25 among the chunks visible at ``refs``."""
     postings, stats = retrieval.postings_for(store)
@@ -177,7 +172,7 @@ def candidates_many(store: Store, refs: DataFrame, queries: DataFrame, k: int =
     The channels and their pools are those of ``search``; ``queries`` may have ``vectors``. The
     result is written, so tuning under many settings reads it and runs no channel again.
     """
-    seen = visible(store, refs)
+    seen = retrieval.visible(store, refs)
     channels = [(lexical_many(store, refs, queries, LEXICAL_POOL * k, seen), "lexical")]
     if "vectors" in queries.columns:
         near = semantic_many(store, refs, queries, SEMANTIC_POOL * k).filter(~F.col("kind").isin(*NOT_SEMANTIC))

@@ -9,7 +9,7 @@ from tessera.catalog.functions import TOKENS
 from tessera.catalog.index import REFS, ROW, SEEN, TWO
 from tessera.catalog.registry import query
 from tessera.functions.text import tokenise_code
-from tessera.operators import ranking, retrieval
+from tessera.operators import impacts, ranking, retrieval
 from tessera.operators import store as st
 from tessera.plans import search as hybrid
 from tessera.session import scratch_path
@@ -237,6 +237,21 @@ def k17(spark, d):
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
+_FREQUENT = ["the", "of", "licensed", "tion", "absent"]
+_TOP = "WITH docs AS (SELECT doc_id, " + TOKENS.format(t="text") + " AS t FROM documents), a AS (SELECT avg(len(t)) AS a FROM docs), h AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM docs), b AS (SELECT doc_id, sum(2.2 / (1 + 1.2 * (0.25 + 0.75 * dl / a))) AS s FROM h, a WHERE term IN ('" + "', '".join(_FREQUENT) + "') GROUP BY 1) SELECT doc_id::VARCHAR AS id, round(s, 6) AS score FROM b ORDER BY round(s, 9) DESC, id LIMIT 10"
+
+
+@query("f11_best_by_blocks", _TOP)
+def f11_blocks(spark, d):
+    """The ten best documents for frequent words, from the blocks of postings that can hold one of them."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), tokenise_code(F.col("text")).alias("content_tokens"), F.lit("").alias("name_tokens"))
+    root = scratch_path(spark, "blocks")
+    retrieval.write_postings(docs, root)
+    impacts.write_blocks(*retrieval.written_postings(spark, root), f"{root}/blocks")
+    found, _ = impacts.best(impacts.read_blocks(spark, f"{root}/blocks"), _FREQUENT, 10)
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
 @query("flagship", "WITH docs AS (SELECT doc_id, " + TOKENS.format(t="text") + " AS t FROM documents), a AS (SELECT avg(len(t)) AS a FROM docs), h AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM docs), b AS (SELECT doc_id, sum(2.2 / (1 + 1.2 * (0.25 + 0.75 * dl / a))) AS s FROM h, a WHERE term IN ('licensed', 'under', 'version') GROUP BY 1) SELECT doc_id, round(s, 6) AS score FROM b ORDER BY round(s, 9) DESC, doc_id LIMIT 10")
 def flagship(spark, d):
     """The ten documents that match a question best: tokens, postings and BM25 end to end."""

@@ -94,15 +94,15 @@ def bm25(postings: DataFrame, stats: DataFrame, query: str | DataFrame | None =
     """
     spark = postings.sparkSession
     if query is None:
-        return postings.crossJoin(F.broadcast(stats)).groupBy("id").agg(F.sum(_part(k1, b)).alias("score"))
+        return postings.crossJoin(F.broadcast(stats)).groupBy("id").agg(F.sum(impact(k1, b)).alias("score"))
     queries = spark.createDataFrame([(0, query)], "query bigint, text string") if isinstance(query, str) else query.select("query", "text")
     terms = queries.select("query", F.explode(F.split(tokenise_code(F.col("text")), " ")).alias("term")).filter("term <> ''").distinct()
     hits = postings.join(terms, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    out = hits.groupBy("query", "id").agg(F.sum(_part(k1, b)).alias("score"))
+    out = hits.groupBy("query", "id").agg(F.sum(impact(k1, b)).alias("score"))
     return out.drop("query") if isinstance(query, str) else out
 
 
-def _part(k1: float, b: float) -> Column:
+def impact(k1: float = K1, b: float = B) -> Column:
     """What a posting adds to a chunk's score."""
     return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
 

@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by largest inner product: an inverted file with product-quantised residuals.
 
 Coarse centroids and codebooks are fitted on a bounded sample; every vector is filed in the cell of
-its centroid, with the codes of its residual. A query probes the cells whose centroids are nearest
-and reads approximate products from asymmetric distance tables; the best of all its cells together
-are reranked exactly, on the original vectors.
+its centroid, with the codes of its residual and its distance from what they say. A query probes the
+cells whose centroids are nearest and reads approximate products from asymmetric distance tables;
+every vector of theirs that may be among the best, by that distance, is reranked exactly.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ BOOK_SAMPLE = 4_096
 #: Centroids of either level, at most: a second level cuts every cell by the residual, so cells grow with the table to four million.
 CENTROIDS = 2_048
 #: Rows of a cell, and queries, that meet in one task's group.
-BLOCK_ROWS, BLOCK_QUERIES = 8_192, 1_024
-#: Approximate candidates of a query that are reranked, as a multiple of the neighbours asked for.
-RERANK = 4
-#: Share of the sample's true neighbours that the probed cells must hold.
+BLOCK_ROWS, BLOCK_QUERIES = 8_192, 4_096
+#: Pairs whose exact products are taken at once.
+PAIRS = 1 << 16
+#: Sampled queries whose true neighbours decide how many cells are probed.
+JUDGED = 256
+#: Share of their true neighbours that the probed cells must hold.
 COVERAGE = 0.985
 #: A query's probed cells hold this many times the neighbours asked for, at least.
 LEAST_HELD = 8
@@ -60,6 +62,12 @@ class Index:
         residual = (x - self.centroid(cell)).reshape(len(x), parts, width)
         return np.stack([_closest(residual[:, i], b) for i, b in enumerate(self.books)], axis=1).astype(np.uint8)
 
+    def offsets(self, x: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Every row's distance from its centroid and codes, and some more for rounding: times a query's length, the most that its approximate product can be wrong by."""
+        centre = self.centroid(cell)
+        said = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1)
+        return np.linalg.norm(x - centre - said, axis=1) * (1 + 1e-6) + 1e-5 * (np.linalg.norm(x, axis=1) + np.linalg.norm(centre, axis=1))
+
     def cell_products(self, q: np.ndarray) -> np.ndarray:
         """Inner products of every query with every cell's centroid."""
         return ((q @ self.coarse.T)[:, :, None] + (q @ self.fine.T)[:, None, :]).reshape(len(q), self.cells)
@@ -105,21 +113,30 @@ def fit(sample: np.ndarray, total: int, k: int = NEIGHBOURS, coverage: float = C
     residual = (sample - index.centroid(cell)).reshape(n, d // width, width)
     some = residual[rng.choice(n, min(n, BOOK_SAMPLE), replace=False)]
     index.books = np.stack([_kmeans(some[:, i], min(256, n), 4, rng) for i in range(d // width)])
-    ask = rng.choice(n, min(n, 256), replace=False)
+    ask = rng.choice(n, min(n, JUDGED), replace=False)
     needed = []
     for at in range(0, len(ask), 16):
         q = sample[ask[at : at + 16]]
         products = q @ sample.T
         products[np.arange(len(q)), ask[at : at + 16]] = -np.inf
         near = np.argpartition(-products, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)] if n > 1 else np.empty((len(q), 0), int)
-        by_cell = index.cell_products(q)
-        order = np.sort(-by_cell, axis=1)
-        needed += [np.searchsorted(o, -b[cell[x]], side="right") for o, b, x in zip(order, by_cell, near, strict=True)]
-    needed = np.sort(np.concatenate(needed))
-    index.probes = int(needed[min(len(needed) - 1, int(np.ceil(coverage * len(needed))))]) if len(needed) else index.cells
+        needed.append(_places(index, q, cell[near]).ravel())
+    index.probes = _enough(index, np.concatenate(needed), coverage)
     return index
 
 
+def _places(index: Index, q: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """For each query and each of its ``cells``, the number of cells to probe until that one is."""
+    by_cell = index.cell_products(q)
+    return np.stack([np.searchsorted(np.sort(-b), -b[c], side="right") for b, c in zip(by_cell, cells, strict=True)])
+
+
+def _enough(index: Index, places: np.ndarray, coverage: float) -> int:
+    """The number of cells to probe that holds ``coverage`` of the neighbours at ``places``."""
+    places = np.sort(places)
+    return int(places[min(len(places) - 1, int(np.ceil(coverage * len(places))))]) if len(places) else index.cells
+
+
 def probed(index: Index, q: np.ndarray, held: np.ndarray, least: int) -> list[np.ndarray]:
     """The cells that each query probes: the ``index.probes`` nearest, and more until they hold ``least`` of the vectors, ``held`` by cell."""
     out = []
@@ -135,8 +152,11 @@ def probed(index: Index, q: np.ndarray, held: np.ndarray, least: int) -> list[np
     return out
 
 
-def floors(index: Index, q: np.ndarray, cells: list[np.ndarray], sample_cell: np.ndarray, sample_codes: np.ndarray, total: int, most: int, k: int) -> np.ndarray:
-    """For each query a product that its ``most`` best of the table surely reach: the sample's share of them and some more, read from the tables over the sample's rows in its cells; -inf where the cells hold too few of those."""
+def floors(index: Index, q: np.ndarray, cells: list[np.ndarray], sample_cell: np.ndarray, sample_codes: np.ndarray, total: int, most: int, k: int, sample: np.ndarray | None = None) -> np.ndarray:
+    """For each query a product that its ``most`` best of the table surely reach: the sample's share of them and some more, read from the tables over the sample's rows in its cells; -inf where the cells hold too few of those.
+
+    With the vectors of the ``sample`` the products are exact, but for rounding, which is taken off. Then ``most`` 0 gives what the ``k`` best reach in any case.
+    """
     n = len(sample_cell)
     mean = most * n / max(1, total)
     wanted = max(k, int(np.ceil(mean + 4 * mean**0.5 + 1)))
@@ -145,9 +165,12 @@ def floors(index: Index, q: np.ndarray, cells: list[np.ndarray], sample_cell: np
         return out
     for at in range(0, len(q), 64):
         part = q[at : at + 64]
-        tables, approx = index.tables(part), index.cell_products(part)[:, sample_cell].astype(np.float32)
-        for p in range(len(tables)):
-            approx += np.take(tables[p], sample_codes[:, p], axis=0).T
+        if sample is None:
+            tables, approx = index.tables(part), index.cell_products(part)[:, sample_cell].astype(np.float32)
+            for p in range(len(tables)):
+                approx += np.take(tables[p], sample_codes[:, p], axis=0).T
+        else:
+            approx = part @ sample.T - 1e-12 * np.linalg.norm(part, axis=1)[:, None] * np.linalg.norm(sample, axis=1)
         for i, row in enumerate(approx):
             mine = np.zeros(index.cells, bool)
             mine[cells[at + i]] = True
@@ -157,24 +180,36 @@ def floors(index: Index, q: np.ndarray, cells: list[np.ndarray], sample_cell: np
     return out
 
 
-def search_block(index: Index, cell: int, codes: np.ndarray, queries: np.ndarray, floor: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, approximate product) of one cell's vectors that reach the query's floor, its ``most`` best at most; by the distance tables alone."""
-    q_rows, v_rows, products = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+def search_block(index: Index, cell: int, codes: np.ndarray, queries: np.ndarray, floor: np.ndarray, most: int, exact: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vector row, product) of one cell's vectors that reach the query's floor, its ``most`` best at most.
+
+    By the distance tables alone, or with ``exact``, the vectors and their ``offsets``: then every
+    vector that may be one of the ``most`` best meets the query, and the products are exact; of equal
+    ones the first rows stay.
+    """
+    q_rows, v_rows, products = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float64 if exact else np.float32)]
     base, by_part = queries @ index.centroid(np.array([cell]))[0], np.ascontiguousarray(codes.T)
     for at in range(0, len(queries), 64):
-        tables = index.tables(queries[at : at + 64])
+        part, least = queries[at : at + 64], floor[at : at + 64]
+        tables = index.tables(part)
         approx = np.tile(base[at : at + 64].astype(np.float32), (len(codes), 1))
         for p in range(len(tables)):
             approx += np.take(tables[p], by_part[p], axis=0)
         approx = np.ascontiguousarray(approx.T)
+        slack = np.linalg.norm(part, axis=1)[:, None] * exact[1] if exact else np.float32(0)
         if len(codes) > most:
-            last = np.partition(approx, len(codes) - most, axis=1)[:, len(codes) - most]
-            row, col = np.nonzero(approx >= np.maximum(last, floor[at : at + 64])[:, None])
-        else:
-            row, col = np.nonzero(approx >= floor[at : at + 64, None])
+            least = np.maximum(np.partition(approx - slack, len(codes) - most, axis=1)[:, len(codes) - most], least)
+        row, col = np.nonzero(approx + slack >= least[:, None])
+        product = approx[row, col]
+        if exact:
+            steps = range(0, len(row), PAIRS)
+            product = np.concatenate([np.empty(0), *[np.einsum("ij,ij->i", exact[0][col[i : i + PAIRS]], part[row[i : i + PAIRS]]) for i in steps]])
+            order = np.lexsort((col, -product, row))
+            order = order[(np.arange(len(order)) - np.searchsorted(row[order], row[order], side="left") < most) & (product[order] >= floor[at : at + 64][row[order]])]
+            row, col, product = row[order], col[order], product[order]
         q_rows.append(row + at)
         v_rows.append(col)
-        products.append(approx[row, col])
+        products.append(product)
     return np.concatenate(q_rows), np.concatenate(v_rows), np.concatenate(products)
 
 
@@ -187,7 +222,7 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """The ``k`` nearest of each query (ids divisible by ``every``): query_id, rank from 1, vec_id and score.
 
     Score is the inner product in double precision; ties go to the smaller vec_id; a query is not
@@ -200,9 +235,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, vec_id: st
     * Only the two columns are read. Without usable vectors the result is empty.
 
     Cells are cut into blocks of bounded rows and bounded queries, so neither a popular cell nor a
-    large table gathers in one task; what meets there is codes and queries, not vectors. A query's
-    ``rerank`` * (k + 1) best by the tables, over all its cells, meet their vectors for the exact
-    product. The driver holds the sample and one number a cell.
+    large table gathers in one task. There every vector whose approximate product, with its distance
+    from its codes, may reach the query's k + 1 best meets the query for the exact product: within the
+    probed cells nothing is lost, however alike the vectors are. How many are probed is judged by the
+    true neighbours of ``JUDGED`` sampled queries among all rows. The driver holds the sample, those
+    neighbours' cells and one number a cell.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -223,68 +260,62 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, vec_id: st
     drawn = classes.filter(F.pmod(draw, F.lit(parts)) == 0).orderBy(draw, "class").limit(sample).toPandas()
     if drawn.empty:
         drawn = classes.orderBy(draw, "class").limit(sample).toPandas()
-    drawn = np.stack(drawn["v"]).astype(np.float64)
+    judged, drawn = drawn["class"].to_numpy()[:JUDGED], np.stack(drawn["v"]).astype(np.float64)
     index = fit(drawn, total, k)
     sample_cell = index.assign(drawn)
     sample_codes = index.codes(drawn, sample_cell)
+    kept = drawn.astype(stored)
 
     def file_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
                 cell = index.assign(x)
-                yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(cell, pa.int32()), _bytes(index.codes(x, cell)), _bytes(x.astype(stored))], names=["class", "cell", "codes", "vec"])
+                codes = index.codes(x, cell)
+                off = pa.array(index.offsets(x, cell, codes).astype(np.float32))
+                yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(cell, pa.int32()), _bytes(codes), off, _bytes(x.astype(stored))], names=["class", "cell", "codes", "off", "vec"])
 
-    filed = written(classes.mapInArrow(file_rows, "class bigint, cell int, codes binary, vec binary"), "inverted-file")
+    filed = written(classes.mapInArrow(file_rows, "class bigint, cell int, codes binary, off float, vec binary"), "inverted-file")
+    index.probes = _judge(filed, index, judged, kept[: len(judged)], k)
     in_cell = {r.cell: r["count"] for r in filed.groupBy("cell").count().collect()}  # one number a cell
     held = np.zeros(index.cells, np.int64)
     held[list(in_cell)] = list(in_cell.values())
 
     asked = rows.filter(F.col("id") % every == 0).select("id", F.col("v").alias("qv"))
     asked = written(asked.join(classes, F.col("qv") == F.col("v")).select(F.col("id").alias("query_id"), F.col("class").alias("qclass")), "queries")
-    most = rerank * (k + 1)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 q = _vectors(batch.column("vec"), stored, d)
                 cells = probed(index, q, held, LEAST_HELD * (k + 1))
-                floor = floors(index, q, cells, sample_cell, sample_codes, int(held.sum()), most, k + 1)
+                floor = floors(index, q, cells, sample_cell, sample_codes, int(held.sum()), 0, k + 1, kept.astype(np.float64))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cells)]), pa.int32()), pa.array(np.concatenate(cells), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("vec"), pa.array(floor.astype(np.float32)), lists], names=["class", "vec", "floor", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("vec"), pa.array(floor), lists], names=["class", "vec", "floor", "cells"])
 
     one_each = asked.select("qclass").distinct()
-    probing = one_each.join(filed, F.col("qclass") == F.col("class")).select("class", "vec").mapInArrow(probe, "class bigint, vec binary, floor float, cells array<int>")
+    probing = one_each.join(filed, F.col("qclass") == F.col("class")).select("class", "vec").mapInArrow(probe, "class bigint, vec binary, floor double, cells array<int>")
     probing = written(probing.select(F.col("class").alias("q"), F.col("vec").alias("qvec"), "floor", "cells"), "probes")
     sought = probing.select("q", "qvec", "floor", F.explode("cells").alias("cell"))
     blocks = lambda df, size, name: df.groupBy(F.col("cell").alias("c")).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     counts = written(blocks(filed, BLOCK_ROWS, "nr").join(blocks(sought, BLOCK_QUERIES, "nq"), "c"), "blocks")  # one row a cell
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda id, n: F.pmod(F.xxhash64(id, F.lit("block")), F.col(n)).cast("int")
-    left = filed.select("class", "cell", "codes").join(counts, F.col("cell") == F.col("c")).select("class", "cell", "codes", deal("class", "nr").alias("rb"), upto("nq").alias("qb"))
+    left = filed.join(counts, F.col("cell") == F.col("c")).select("class", "cell", "codes", "off", "vec", deal("class", "nr").alias("rb"), upto("nq").alias("qb"))
     right = sought.join(counts, F.col("cell") == F.col("c")).select("q", "qvec", "floor", "cell", deal("q", "nq").alias("qb"), upto("nr").alias("rb"))
 
     def meet(key: tuple, x: pa.Table, q: pa.Table) -> pa.Table:
         qs, vs, s = [], [], []
         if x.num_rows and q.num_rows:
-            codes = _vectors(x.column("codes"), np.dtype(np.uint8), index.books.shape[0])
-            qs, vs, s = search_block(index, key[0].as_py(), codes, _vectors(q.column("qvec"), stored, d), q.column("floor").to_numpy(), most)
+            x = x.sort_by("class")
+            codes, exact = _vectors(x.column("codes"), np.dtype(np.uint8), index.books.shape[0]), (_vectors(x.column("vec"), stored, d), x.column("off").to_numpy())
+            qs, vs, s = search_block(index, key[0].as_py(), codes, _vectors(q.column("qvec"), stored, d), q.column("floor").to_numpy(), k + 1, exact)
         at = lambda column, i: column.to_numpy()[i] if len(i) else np.empty(0, np.int64)
-        return pa.table({"q": at(q.column("q"), qs), "class": at(x.column("class"), vs), "near": np.asarray(s, np.float32)})
-
-    found = left.groupBy("cell", "rb", "qb").cogroup(right.groupBy("cell", "rb", "qb")).applyInArrow(meet, "q bigint, class bigint, near float")
-    by_table = Window.partitionBy("q").orderBy(F.desc("near"), "class")
-    pairs = written(found.withColumn("n", F.row_number().over(by_table)).filter(F.col("n") <= most).select("q", "class"), "candidates")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = np.einsum("ij,ij->i", _vectors(batch.column("vec"), stored, d), _vectors(batch.column("qvec"), stored, d))
-            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("class"), pa.array(score)], names=["q", "class", "score"])
+        return pa.table({"q": at(q.column("q"), qs), "class": at(x.column("class"), vs), "score": np.asarray(s, np.float64)})
 
-    with_vector = pairs.join(filed.select(F.col("class").alias("c"), "vec"), F.col("class") == F.col("c")).select("q", "class", "vec")
-    both = with_vector.join(probing.select(F.col("q").alias("p"), "qvec"), F.col("q") == F.col("p")).select("q", "class", "vec", "qvec")
+    found = left.groupBy("cell", "rb", "qb").cogroup(right.groupBy("cell", "rb", "qb")).applyInArrow(meet, "q bigint, class bigint, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "class")
-    top = both.mapInArrow(exact, "q bigint, class bigint, score double").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).select("q", F.col("class").alias("c"), "score")
+    top = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).select("q", F.col("class").alias("c"), "score")
     spread = members.select(F.col("class"), F.col("id").alias("member"))
     listed = top.join(spread, F.col("c") == F.col("class")).withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "member"))).filter(F.col("n") <= k + 1)
     listed = listed.select("q", "member", "score")
@@ -293,6 +324,31 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, vec_id: st
     return final.select("query_id", "rank", F.col("member").alias("vec_id"), "score")
 
 
+def _judge(filed: DataFrame, index: Index, judged: np.ndarray, vectors: np.ndarray, k: int) -> int:
+    """The number of cells to probe that holds ``COVERAGE`` of the true ``k`` nearest, among all filed rows, of some queries (their classes and vectors)."""
+    d, n, stored = vectors.shape[1], len(judged), vectors.dtype
+
+    def nearest_of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, cell, q = np.full((n, k), -np.inf), np.zeros((n, k), np.int32), vectors.astype(np.float64)
+        for batch in batches:
+            own, cells, x = batch.column("class").to_numpy(), batch.column("cell").to_numpy(), _vectors(batch.column("vec"), stored, d)
+            for at in range(0, len(x), 4096):
+                products = q @ x[at : at + 4096].T
+                products[judged[:, None] == own[at : at + 4096]] = -np.inf
+                products = np.concatenate([score, products], axis=1)
+                held = np.concatenate([cell, np.broadcast_to(cells[at : at + 4096], (n, products.shape[1] - k))], axis=1)
+                best = np.argpartition(-products, k - 1, axis=1)[:, :k]
+                score, cell = np.take_along_axis(products, best, 1), np.take_along_axis(held, best, 1)
+        row, col = np.nonzero(score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(cell[row, col], pa.int32()), pa.array(score[row, col])], names=["i", "cell", "score"])
+
+    place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score"), "cell"))
+    rows = filed.select("class", "cell", "vec").mapInArrow(nearest_of_all, "i bigint, cell int, score double").withColumn("n", place).filter(F.col("n") <= k).select("i", "cell").collect()  # k a query
+    at = [(r.i, r.cell) for r in rows]
+    places = [_places(index, vectors[i : i + 1].astype(np.float64), np.array([[c for j, c in at if j == i]], int)).ravel() for i in sorted({i for i, _ in at})]
+    return _enough(index, np.concatenate([np.empty(0, int), *places]), COVERAGE)
+
+
 def _bytes(rows: np.ndarray) -> pa.Array:
     """Every row's bytes as a binary value."""
     rows = np.ascontiguousarray(rows)

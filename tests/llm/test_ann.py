@@ -100,3 +100,20 @@ def test_second_level_in_spark(spark, monkeypatch):
     assert recall(answers(got), brute(list(range(3000)), x, 20, 20)) >= 0.9
     for r in got.filter("rank <= 2").collect():
         assert abs(r.score - float(x[r.query_id] @ x[r.vec_id])) < 1e-9
+
+
+@pytest.mark.parametrize("kind", ["unit clusters", "near copies", "heavy norms"])
+def test_within_cells_nothing_is_lost(spark, kind):
+    """Rows that lie closer together than codes can tell, and lengths of all sizes: the tables' best alone miss many of the nearest."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(6000, 32))
+    if kind == "unit clusters":
+        x = rng.normal(size=(20, 32))[rng.integers(0, 20, 6000)] + 0.02 * x
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    elif kind == "near copies":
+        x = rng.normal(size=(15, 32))[rng.integers(0, 15, 6000)] + 0.0005 * x
+    else:
+        x /= np.abs(rng.normal(size=(6000, 1)))
+    x = x.astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    assert recall(answers(nearest(df)), brute(list(range(6000)), x, 20, 20)) >= 0.95

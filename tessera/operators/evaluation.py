@@ -140,12 +140,16 @@ def simplex(u: Column, v: Column) -> tuple[Column, Column, Column]:
     return u, v * (1 - u), (1 - u) * (1 - v)
 
 
-def content_digest(df: DataFrame, by: list[str], key: list[str], columns: list[str], block: int = 1024) -> DataFrame:
+def content_digest(df: DataFrame, by: list[str], key: list[str], columns: list[str], block: int = 1024, levels: int | None = None) -> DataFrame:
     """(by, n, digest): a SHA-256 of every group's rows in order of ``key``.
 
     Rows are numbered by range, and hashes are folded ``block`` at a time, level by level, until the
     largest group has one; so no task sees more than a block, whatever the size of a group. A null
     counts as one, distinct from every text.
+
+    The number of levels so found, and with it every digest, depends on the largest group. With
+    ``levels`` given every group has just as many, and its own rows alone decide its digest; the last
+    level then folds all that is left of a group, 64 bytes for ``block`` ** (``levels`` - 1) rows.
     """
     text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     rows = numbered(df.select(*by, *key, F.sha2(F.concat_ws("\x1f", *map(text, columns)), 256).alias("__h")), *by, *key, "__h")
@@ -154,10 +158,14 @@ def content_digest(df: DataFrame, by: list[str], key: list[str], columns: list[s
     mine = sizes.select(*[F.col(c).alias(f"__{c}") for c in by], "n", "__first")
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
     level = rows.join(mine, same).select(*by, (F.col("number") - F.col("__first")).alias("__at"), "__h", "n")
+    depth = 0
     while True:
-        parts = F.array_sort(F.collect_list(F.struct("__at", "__h")))  # at most ``block``
-        level = level.groupBy(*by, "n", F.floor(F.col("__at") / block).alias("__b")).agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["__h"]), ""), 256).alias("__h")).withColumnRenamed("__b", "__at")
-        if most <= block:
+        depth += 1
+        last = most <= block if levels is None else depth == levels
+        bucket = F.lit(0) if last else F.floor(F.col("__at") / block)
+        parts = F.array_sort(F.collect_list(F.struct("__at", "__h")))  # at most ``block``, but for a last level of given ``levels``
+        level = level.groupBy(*by, "n", bucket.alias("__b")).agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["__h"]), ""), 256).alias("__h")).withColumnRenamed("__b", "__at")
+        if last:
             return level.select(*by, "n", F.col("__h").alias("digest"))
         most = -(-most // block)
 

@@ -47,19 +47,16 @@ def queries(spark, d):
     return head.select(F.col("doc_id").alias("query"), F.col("name").alias("text"), F.col("lang").alias("language"), F.col("file_path").alias("t_file"), F.col("name").alias("t_name"))
 
 
-def candidates(spark, d):
-    s = store(spark, d)
-    return batch.candidates_many(s, st.latest_snapshots(s), queries(spark, d))
-
-
 @query("q22_candidates", CANDIDATES + " SELECT query, id, repo_id, round(lexical, 6) AS lexical, name_score, kind_boost, file_penalty, round(importance, 6) AS importance FROM cand", True)
 def q22(spark, d):
-    return candidates(spark, d).select("query", "id", "repo_id", F.round("lexical", 6).alias("lexical"), "name_score", "kind_boost", "file_penalty", F.round("importance", 6).alias("importance"))
+    s = store(spark, d)
+    return batch.candidates_many(s, st.latest_snapshots(s), queries(spark, d)).select("query", "id", "repo_id", F.round("lexical", 6).alias("lexical"), "name_score", "kind_boost", "file_penalty", F.round("importance", 6).alias("importance"))
 
 
 @query("q1_search_many", RANKED + " SELECT query, id, repo_id, rank FROM ranked WHERE rank <= 10", True)
 def q1_many(spark, d):
-    return batch.ranked(candidates(spark, d), 10).select("query", "id", "repo_id", F.col("rank").cast("long").alias("rank"))
+    s = store(spark, d)
+    return batch.search_many(s, st.latest_snapshots(s), queries(spark, d), 10).select("query", "id", "repo_id", F.col("rank").cast("long").alias("rank"))
 
 
 _METRICS = "count(*) AS n_queries, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 8) AS hit_at_1, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 8) AS hit_at_10, round(avg(coalesce(1.0 / rank, 0)), 8) AS mrr, round(avg(coalesce(1.0 / log2(rank + 1), 0)), 8) AS ndcg_at_10"
@@ -75,8 +72,8 @@ def q14(spark, d):
 @query("j15_target_ranks", OUTCOMES + " SELECT query, language, rank FROM outcome", True)
 def j15(spark, d):
     """Queries whose target isn't found stay, with a null rank."""
-    q = queries(spark, d)
-    return batch.outcomes(batch.ranked(candidates(spark, d), 10), q, TARGET).select("query", "language", F.col("rank").cast("long").alias("rank"))
+    s, q = store(spark, d), queries(spark, d)
+    return batch.outcomes(batch.search_many(s, st.latest_snapshots(s), q, 10), q, TARGET).select("query", "language", F.col("rank").cast("long").alias("rank"))
 
 
 _TRIALS = [(0, 0.0, 0.0, 1.0), (1, 0.0, 0.3, 0.7), (2, 0.0, 0.7, 0.3), (3, 0.0, 1.0, 0.0)]
@@ -91,7 +88,8 @@ _TUNE = (
 @query("q15_tune_weights", _TUNE + " SELECT 'identifier' AS query_kind, trial, n, round(mrr, 8) AS mrr, trial = (SELECT min_by(trial, (-mrr, trial)) FROM t) AS best FROM t", True)
 def q15(spark, d):
     grid = spark.createDataFrame(_TRIALS, "trial int, alpha double, beta double, gamma double")
-    trials, best = batch.tune(candidates(spark, d), queries(spark, d), TARGET, grid)
+    s, q = store(spark, d), batch.with_leads(queries(spark, d))
+    trials, best = batch.tune(batch.lead_candidates(s, st.latest_snapshots(s), q), q, TARGET, grid)
     return trials.join(best.select("query_kind", F.col("trial").alias("b")), "query_kind").select("query_kind", "trial", "n", F.round("mrr", 8).alias("mrr"), (F.col("trial") == F.col("b")).alias("best"))
 
 
@@ -110,5 +108,6 @@ _RERANK = (
 @query("q16_tune_reranker", _RERANK + " SELECT 'identifier' AS query_kind, pool, blend, n, round(mrr, 8) AS mrr FROM t WHERE mrr >= (SELECT max(mrr) FROM t) - 0.02 ORDER BY pool, mrr DESC, blend LIMIT 1", True)
 def q16(spark, d):
     grid = spark.createDataFrame(_SETTINGS, "pool int, blend double")
-    _, chosen = batch.tune_reranker(store(spark, d), candidates(spark, d), queries(spark, d), TARGET, grid, tolerance=0.02)
+    s, q = store(spark, d), batch.with_leads(queries(spark, d))
+    _, chosen = batch.tune_reranker(s, batch.lead_candidates(s, st.latest_snapshots(s), q), q, TARGET, grid, tolerance=0.02)
     return chosen.select("query_kind", "pool", "blend", "n", F.round("mrr", 8).alias("mrr"))

@@ -1,8 +1,10 @@
 """Many queries at once: candidates of every query with their signals, ranked hits, measurement, and the tuning of weights and of a second scorer.
 
 A batch of queries is a DataFrame (query, text) with more columns as each plan states. The query is
-a partition key throughout, so a batch is one plan however many queries it has. Scores are rounded
-to nine digits before they rank, so that the order of summation can't decide ties.
+a partition key throughout, so a batch is one plan however many queries it has. Queries of equal
+texts and vectors are searched, scored and ranked once, under the one that leads them
+(``with_leads``); ``of_all`` gives what was found to each of them. Scores are rounded to nine digits
+before they rank, so that the order of summation can't decide ties.
 """
 
 from __future__ import annotations
@@ -30,13 +32,36 @@ GRAM = 3
 ROW = ["query", "id", "repo_id"]
 
 
+def with_leads(queries: DataFrame) -> DataFrame:
+    """``queries`` with ``lead``, the smallest query of the same text (and vectors); written."""
+    same = [c for c in ("text", "vectors") if c in queries.columns]
+    leads = queries.groupBy(*[F.col(c).alias(f"__{c}") for c in same]).agg(F.min("query").alias("lead"))
+    equal = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in same]
+    return written(queries.join(leads, equal).select(*queries.columns, "lead"), "batch-queries")
+
+
+def of_all(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """``rows`` of leading queries as rows of every query that they lead."""
+    return rows.withColumnRenamed("query", "lead").join(queries.select("query", "lead"), "lead").select(*rows.columns)
+
+
 def lexical_many(store: Store, refs: DataFrame, queries: DataFrame, k: int, seen: DataFrame | None = None) -> DataFrame:
-    """(query, id, repo_id, lexical): every query's ``k`` best by BM25 among the chunks visible at ``refs``."""
+    """(query, id, repo_id, lexical): every query's ``k`` best by BM25 among the chunks visible at ``refs``.
+
+    Queries of the same terms are scored once. A posting is the score of its term; only several terms are summed by chunk.
+    """
     postings, stats = retrieval.postings_for(store)
-    scored = retrieval.bm25(postings, stats, queries).withColumn("lexical", F.round("score", 9))
+    terms = F.array_sort(F.array_distinct(F.filter(F.split(tx.tokenise_code(F.col("text")), " "), lambda t: t != "")))
+    asked = written(queries.select("query", "text", F.array_join(terms, " ").alias("terms")).filter("terms <> ''"), "batch-terms")
+    sets = written(asked.groupBy("terms").agg(F.min("text").alias("text")), "batch-sets")  # a few rows, which Spark then sees
+    single = ~F.contains("terms", F.lit(" "))
+    one = postings.join(sets.filter(single).select("terms", F.col("terms").alias("term")), "term").crossJoin(F.broadcast(stats))  # stats is one row
+    several = retrieval.bm25(postings, stats, sets.filter(~single).select(F.col("terms").alias("query"), "text"))
+    scored = one.select("terms", "id", retrieval.impact().alias("score")).unionByName(several.withColumnRenamed("query", "terms")).withColumn("lexical", F.round("score", 9))
     seen = (at_snapshots(store, refs, once=True) if seen is None else seen).select("id", "repo_id")
-    w = Window.partitionBy("query").orderBy(F.desc("lexical"), "id", "repo_id")
-    return scored.join(seen, "id").withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= k).select(*ROW, "lexical")
+    w = Window.partitionBy("terms").orderBy(F.desc("lexical"), "id", "repo_id")
+    best = scored.join(seen, "id").withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= k)
+    return best.join(asked.select("query", "terms"), "terms").select(*ROW, "lexical")
 
 
 def _grams(text: Column) -> Column:
@@ -169,9 +194,15 @@ def semantic_many(store: Store, refs: DataFrame, queries: DataFrame, k: int) ->
 def candidates_many(store: Store, refs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """One row per query and candidate: query, text, id, repo_id, file_path, kind, name, and the signals that fusion takes.
 
-    The channels and their pools are those of ``search``; ``queries`` may have ``vectors``. The
-    result is written, so tuning under many settings reads it and runs no channel again.
+    The channels and their pools are those of ``search``; ``queries`` may have ``vectors``.
     """
+    queries = with_leads(queries)
+    return of_all(lead_candidates(store, refs, queries, k), queries)
+
+
+def lead_candidates(store: Store, refs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``candidates_many`` of the leading ones of ``queries``, which have ``lead``. The result is written, so tuning under many settings reads it and runs no channel again."""
+    queries = queries.filter(F.col("query") == F.col("lead"))
     seen = retrieval.visible(store, refs)
     channels = [(lexical_many(store, refs, queries, LEXICAL_POOL * k, seen), "lexical")]
     if "vectors" in queries.columns:
@@ -199,7 +230,8 @@ def ranked(candidates: DataFrame, k: int, weights: tuple[Column, Column, Column]
 
 def search_many(store: Store, refs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` best chunks of every query, ranked from 1."""
-    return ranked(candidates_many(store, refs, queries, k), k)
+    queries = with_leads(queries)
+    return of_all(ranked(lead_candidates(store, refs, queries, k), k), queries)
 
 
 def outcomes(hits: DataFrame, queries: DataFrame, target: dict[str, str]) -> DataFrame:
@@ -224,7 +256,9 @@ def measure(store: Store, refs: DataFrame, queries: DataFrame, target: dict[str,
 
 
 def _hit_mrr(scored: DataFrame, queries: DataFrame, target: dict[str, str], setting: list[str], by: list[str]) -> DataFrame:
-    """Mean reciprocal rank of the targets by ``setting`` and ``by``; a query that misses its target under a setting counts as 0."""
+    """Mean reciprocal rank of the targets by ``setting`` and ``by``; a query that misses its target under a setting counts as 0. Where ``queries`` have ``lead``, ``scored`` holds the leading ones."""
+    if "lead" in queries.columns:
+        scored = of_all(scored, queries)
     same = F.lit(True)
     for field, column in target.items():
         same = same & (F.col(field) == F.col(column))
@@ -237,7 +271,8 @@ def _hit_mrr(scored: DataFrame, queries: DataFrame, target: dict[str, str], sett
 def tune(candidates: DataFrame, queries: DataFrame, target: dict[str, str], grid: DataFrame, k: int = 10, by: str = "query_kind") -> tuple[DataFrame, DataFrame]:
     """(MRR of every trial and class of query, the best trial of every class): candidates collected once are scored anew under each (trial, alpha, beta, gamma).
 
-    ``grid`` is a handful of parameter rows. Equal values go to the smaller trial.
+    ``grid`` is a handful of parameter rows. Equal values go to the smaller trial. ``candidates`` are
+    those of all ``queries`` or, where these have ``lead``, of the leading ones.
     """
     if by not in queries.columns:
         queries = queries.withColumn(by, tx.classify_query(F.col("text")))
@@ -257,6 +292,7 @@ def tune_reranker(store: Store, candidates: DataFrame, queries: DataFrame, targe
 
     Every query's candidates are ranked once, down to the largest pool; the second scorer sees each
     of them once, whatever the number of settings. ``grid`` is a handful of parameter rows.
+    ``candidates`` are those of all ``queries`` or, where these have ``lead``, of the leading ones.
     """
     if "query_kind" not in queries.columns:
         queries = queries.withColumn("query_kind", tx.classify_query(F.col("text")))

@@ -95,3 +95,31 @@ def test_batches_have_no_limit_of_queries(spark):
     many = spark.range(30_000).select(F.col("id").alias("query"), F.when(F.col("id") % 2 == 0, "name").otherwise("the").alias("text"), F.array(F.array(F.lit(1.0), F.col("id").cast("double"))).alias("vectors"))
     assert {tuple(r) for r in batch.named_many(s, refs, many).groupBy("id").count().collect()} == {("1", 15_000), ("2", 15_000)}
     assert batch.semantic_many(s, refs, many, 1).count() == 30_000
+
+
+def test_equal_texts_are_searched_once(spark):
+    """What is written for the channels grows with distinct texts, and every query gets what it would get alone."""
+    s, refs = store_of(spark, [(f"{i:03}", ["alpha", "Alpha", "beta", "gammaDelta"][i % 4], "function", None) for i in range(40)])
+    s = s.but(chunks=s.chunks.withColumns({"name_tokens": F.lower("name"), "content_tokens": F.lit("delta gamma")}))
+    texts = ["alpha", "Alpha", "gammaDelta", None, "beta delta"]
+    asked = spark.createDataFrame([(i, texts[i % 5]) for i in range(200)], "query bigint, text string")
+    led = batch.with_leads(asked)
+    assert sorted(r.lead for r in led.select("lead").distinct().collect()) == [0, 1, 2, 3, 4]
+    assert batch.lead_candidates(s, refs, led).select("query").distinct().filter("query > 4").count() == 0
+    rows = {}
+    for r in batch.candidates_many(s, refs, asked).collect():
+        rows.setdefault(r["query"], set()).add((r.id, r.lexical, r.name_score))
+    alone = {}
+    for r in batch.candidates_many(s, refs, asked.filter("query < 5")).collect():
+        alone.setdefault(r["query"], set()).add((r.id, r.lexical, r.name_score))
+    assert set(alone) >= {0, 1, 2, 4} and rows == {q: alone[q % 5] for q in range(200) if q % 5 in alone}
+
+
+def test_gathered_tokens_are_the_tokens(spark):
+    rows = [("a", "x y", "y z z"), ("b", None, "x"), ("c", "", ""), ("d", "w", None), ("e", " ".join(f"t{i}" for i in range(300)), "t7 t7 u")]
+    chunks = spark.createDataFrame(rows, "id string, name_tokens string, content_tokens string")
+    gathered = retrieval.gathered_tokens(chunks)
+    want = {tuple(r) for r in retrieval.tokens_of(chunks).select("term", "id", "tf", "dl", retrieval.bucket_of(F.col("term"))).collect()}
+    got = [tuple(r) for r in gathered.select("term", "id", "tf", "dl", "bucket").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert gathered._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
